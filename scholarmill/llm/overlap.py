@@ -84,11 +84,11 @@ def _lists(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
     return (flat[a:b] for a, b in zip(ends, ends[1:]))
 
 
-def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in at least one text of OFTEN, with weights, sorted; found over all texts.
+def frequent_shingles(rows: DataFrame, one_in: int = OFTEN) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in at least one text of ``one_in``, with weights, sorted; found over all texts.
 
     A shingle that is so frequent over all is as frequent in some run of texts; each run names only those, at most
-    OFTEN for each shingle of a text, and the counts are added. They order shingles and decide nothing else.
+    ``one_in`` for each shingle of a text, and the counts are added. They order shingles and decide nothing else.
     """
     texts_n = rows.count()
 
@@ -98,7 +98,7 @@ def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         def count() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(2, len(held) // OFTEN)
+            often = n >= max(2, len(held) // one_in)
             return pa.RecordBatch.from_arrays([pa.array(h[often]), pa.array(n[often].astype(np.int64))], names=["h", "c"])
 
         for batch in batches:
@@ -112,7 +112,7 @@ def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield count()
 
     counts = rows.select("words").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    kept = counts.filter(F.col("c") >= max(3, texts_n // OFTEN)).orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
+    kept = counts.filter(F.col("c") >= max(3, texts_n // one_in)).orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
     h, c = np.array([r[0] for r in kept], np.int64), np.array([r[1] for r in kept], np.float64)
     order = np.argsort(h)
     return h[order], (10_000 + np.round(16 * np.log2(c[order] + 1))).astype(np.int32)

@@ -5,12 +5,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarmill.llm import bpe, langid, leaks, ledger, lookalike, overlap, pieces
+from scholarmill.llm import bpe, entities, langid, leaks, ledger, lookalike, overlap, pieces
 from scholarmill.sources.tables import table
 
 LIMITS = {"paper": (6000, 200), "targets": (700, 60)}
 
 
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Records of corpus_data (other services) and title_lookup with the paper they describe and a confidence."""
+    year = F.expr("try_cast(regexp_extract(versions[0].created, '[A-Za-z]+ ([0-9]{4}) ', 1) AS int)")
+    papers = table(spark, d, "arxiv_metadata").select(F.col("arxiv_id").alias("id"), "title", "abstract", "authors", year.alias("year"))
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    corpus = table(spark, d, "corpus_data").filter("source <> 'arxiv' or source is null")
+    corpus = corpus.select(F.lit("corpus_data").alias("other_table"), F.col("paper_id").alias("id"), "title", "abstract", none("authors", "string"), none("year", "int"))
+    lookup = table(spark, d, "title_lookup").filter(F.col("paperid").isNotNull())
+    lookup = lookup.select(F.lit("title_lookup").alias("other_table"), F.col("paperid").alias("id"), "title", "abstract", "authors", F.col("pub_year").cast("int").alias("year"))
+    return entities.match(papers, corpus.unionByName(lookup))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The matches of p1_matches as pairs."""
+    return p1_matches(spark, d).select(F.col("paper_id").alias("arxiv_id"), "other_table", "other_id").distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of titles and of abstracts that look the same though their strings differ."""
     corpus = table(spark, d, "corpus_data")
@@ -101,7 +118,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_pieces, p5_found, p5_report, p6_found, p6_counts, p7_ids, p8_found, p8_spans, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_forms, p3_found, p3_pieces, p5_found, p5_report, p6_found, p6_counts, p7_ids, p8_found, p8_spans, p9_found, p9_languages)}
 
 
 _PLAIN = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
