@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarmill.llm import bpe, entities, langid, leaks, ledger, lookalike, overlap, pieces
+from scholarmill.llm import bpe, entities, langid, leaks, ledger, lookalike, markup, overlap, pieces
 from scholarmill.sources.tables import table
 
 LIMITS = {"paper": (6000, 200), "targets": (700, 60)}
@@ -55,6 +55,28 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(items).distinct()
 
 
+FIELDS = ("intro", "related_work", "bib")
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    return markup.values(table(spark, d, "parsed_parts"), "part_id", FIELDS)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The values of parsed_parts with markup."""
+    return markup.with_markup(markup.pages(_values(spark, d), "part_id"), "part_id").distinct()
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The clean text of each value of parsed_parts."""
+    return markup.cleaned(_values(spark, d), "part_id")
+
+
+def p4_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Equivalence classes of markup tokens over all values, and which are valid templates."""
+    return markup.classes(markup.pages(_values(spark, d), "part_id"))
+
+
 def _train(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "train_rows").select("row_id", "paper", (F.col("split") != "train").alias("is_eval"))
 
@@ -118,7 +140,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_forms, p3_found, p3_pieces, p5_found, p5_report, p6_found, p6_counts, p7_ids, p8_found, p8_spans, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_clean, p4_templates, p5_found, p5_report, p6_found, p6_counts, p7_ids, p8_found, p8_spans, p9_found, p9_languages)}
 
 
 _PLAIN = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
