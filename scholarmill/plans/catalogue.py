@@ -1,20 +1,12 @@
 """The queries of the core and their SQL."""
 
-from collections.abc import Callable
+from scholarmill.plans import corpus_queries, retrieval_queries, text_queries  # noqa: F401
+from scholarmill.plans.registry import ORACLE, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from scholarmill.sources.tables import table
-
-
-def topk_with_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (topk_with_metadata,)}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
