@@ -57,7 +57,7 @@ def rerank_first(spark: SparkSession, d: str) -> DataFrame:
 def topk_approximate(spark: SparkSession, d: str) -> DataFrame:
     """TK-2: nearest vectors from an inverted file; its recall against topk_cosine is tested to be 0.9 at least."""
     v, q = _queries(spark, d)
-    return retrieval.InvertedFile.fit(v).search(v, q, K, probes=8)
+    return retrieval.InvertedFile.fit(v).search(v, q, K, probes=11)
 
 
 @query("""
