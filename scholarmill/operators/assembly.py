@@ -2,9 +2,11 @@
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholarmill.functions.cite import split_with_citations
 
@@ -80,8 +82,17 @@ def training_row_faults(paper: Column, targets: Column, targets_idx: Column) ->
     return F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in faults.items()]), lambda x: x.isNotNull())
 
 
-def label_mask(tokens: Column) -> Column:
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def label_mask(tokens: pd.Series) -> pd.Series:
     """For each token whether it is a label: tokens from behind a start marker to the end marker, this included, are not."""
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<boolean>").alias("out"))
-    inside = lambda acc, t: ((t == "<|cite_start|>") | (acc.inside & (t != "<|cite_end|>"))).alias("inside")
-    return F.aggregate(tokens, start, lambda acc, t: F.struct(inside(acc, t), F.concat(acc.out, F.array(~acc.inside)).alias("out")), lambda acc: acc.out)
+
+    def one(row) -> list[bool] | None:
+        if row is None:
+            return None
+        out, inside = [], False
+        for t in row:
+            out.append(not inside)
+            inside = t == "<|cite_start|>" or inside and t != "<|cite_end|>"
+        return out
+
+    return tokens.map(one)

@@ -149,6 +149,58 @@ def bm25(documents: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0
     return asked.join(postings, "term").join(lengths, doc_key).groupBy(query_key, doc_key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def bm25_best(documents: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, doc_key: str = "doc_id", query_key: str = "query_id", text: str = "text") -> DataFrame:
+    """(query_key, doc_key, score): the best document of each query, as ``best_document`` of ``bm25`` gives it.
+
+    For a stated query set against all rows: the queries go to all tasks in blocks, each task scores its documents by
+    one matrix product and keeps its best for each query, so no (query, document) pair is ever shuffled.
+    """
+    cut = lambda df, key: df.select(F.col(key), F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda t: t != "").alias("terms"))
+    docs, asked = cut(documents, doc_key), cut(queries.filter(F.col(query_key).isNotNull()).distinct(), query_key)
+    df = stage(docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    n, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("terms"))).first()
+    idf = F.ln(F.lit(float(n or 0)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    floor = (df.agg(F.avg(idf)).first()[0] or 0.0) * epsilon
+    n_queries, found = asked.count(), None
+    dkind, qkind = dict(documents.dtypes)[doc_key], dict(queries.dtypes)[query_key]
+    for start in range(0, max(n_queries, 1), QUERY_BLOCK):
+        part = asked.orderBy(query_key).offset(start).limit(QUERY_BLOCK) if n_queries > QUERY_BLOCK else asked
+        rows = part.collect()
+        words = part.select(F.explode("terms").alias("term")).distinct()
+        weight = {r[0]: r[1] for r in words.join(df, "term").select("term", F.when(idf < 0, F.lit(floor)).otherwise(idf)).collect()}
+        number = {t: i for i, t in enumerate(sorted(weight))}
+        m = np.zeros((len(rows), len(number)))
+        for i, r in enumerate(rows):
+            for t in r[1]:
+                if t in number:
+                    m[i, number[t]] += weight[t]
+        sent = documents.sparkSession.sparkContext.broadcast(([r[0] for r in rows], number, m))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, number, m = sent.value
+            best: list[tuple[float, object] | None] = [None] * len(ids)
+            step = max(1, 4_000_000 // max(1, len(number)))
+            for batch in batches:
+                keys, terms = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for a in range(0, len(keys), step):
+                    each = terms[a : a + step]
+                    code = np.fromiter((i * len(number) + number[t] for i, ts in enumerate(each) for t in ts if t in number), np.int64)
+                    tf = np.bincount(code, minlength=len(each) * len(number)).reshape(len(each), len(number)).astype(np.float64)
+                    dl = np.array([len(t) for t in each], np.float64)[:, None]
+                    score = np.round(m @ (tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / (mean or 1.0)))).T, 6)
+                    for i, row in enumerate(score):
+                        top = row.max()
+                        if top > 0 and (best[i] is None or -top <= best[i][0]):
+                            first = min((-top, keys[a + j]) for j in np.flatnonzero(row == top))
+                            best[i] = first if best[i] is None else min(best[i], first)
+            hit = [(i, *x) for i, x in zip(ids, best) if x is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hit], _arrow(qkind)), pa.array([h[2] for h in hit], _arrow(dkind)), pa.array([-h[1] for h in hit], pa.float64())], names=[query_key, doc_key, "score"])
+
+        one = docs.filter(F.col(doc_key).isNotNull()).mapInArrow(run, f"`{query_key}` {qkind}, `{doc_key}` {dkind}, score double")
+        found = one if found is None else found.unionByName(one)
+    return best_document(found, query_key, doc_key)
+
+
 def best_document(scored: DataFrame, query_key: str = "query_id", doc_key: str = "doc_id") -> DataFrame:
     """The document of the best positive score of each query, of equal ones the smaller key."""
     best = scored.filter("score > 0").groupBy(query_key).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(doc_key).alias("d"))).alias("m"))

@@ -143,14 +143,14 @@ def _bm25_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query(_BM25)
 def bm25_top1(spark: SparkSession, d: str) -> DataFrame:
     """TK-3, AG-10: the best document of each test item by Okapi BM25."""
-    best = retrieval.best_document(retrieval.bm25(*_bm25_inputs(spark, d)))
+    best = retrieval.bm25_best(*_bm25_inputs(spark, d))
     return best.select("query_id", "doc_id", F.round("score", 3).alias("score"))
 
 
 @query(_BM25.replace("tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / m))", "tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * len(w) / m))"))
 def bm25_lucene_top1(spark: SparkSession, d: str) -> DataFrame:
     """TK-4: the same with the parameters of a Lucene index."""
-    best = retrieval.best_document(retrieval.bm25(*_bm25_inputs(spark, d), k1=0.9, b=0.4))
+    best = retrieval.bm25_best(*_bm25_inputs(spark, d), k1=0.9, b=0.4)
     return best.select("query_id", "doc_id", F.round("score", 3).alias("score"))
 
 

@@ -100,6 +100,8 @@ def test_bm25(spark):
             assert got.get((q, i), 0) == pytest.approx(s, abs=2e-6)
     best = retrieval.best_document(retrieval.bm25(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string"))).collect()
     assert {r.query_id: r.doc_id for r in best} == {1: 1, 3: 2}
+    matrix = retrieval.bm25_best(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")).collect()
+    assert sorted(matrix) == sorted(best)
 
 
 def test_vectors(spark):
