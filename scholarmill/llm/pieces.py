@@ -62,7 +62,7 @@ def cut_points(text: str, limit: int, overlap: int) -> list[int]:
     least = 1 + -(-(n - limit) // step)
     for k in range(least, least + max(3, least // 4) + 1):
         size = (n + (k - 1) * overlap) / k
-        slack = max(limit - size, limit / 8)
+        slack = max(limit - size, limit / 5)
         cuts: list[int] = []
         for j in range(1, k):
             start = cuts[-1] - overlap if cuts else 0
