@@ -188,7 +188,10 @@ def fitted(documents: DataFrame, text: str, sample: int = 3000) -> Profiles:
     wrong. The sample bounds the fit only; every document is classified.
     """
     first = seeded()
-    rows = documents.select(text).filter(F.length(text) > 0).distinct().orderBy(F.xxhash64(text), text).limit(sample).collect()
+    h = F.xxhash64(text)
+    some = documents.filter(F.length(text) > 0)
+    last = some.select(h.alias("h")).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes only are shuffled
+    rows = some.filter(h <= last).select(text, h.alias("_h")).dropDuplicates(["_h"]).orderBy("_h").select(text).collect() if last is not None else []
     texts = {k: sentences(v) for k, v in SEEDS.items()}
     seen: set[int] = set()
     flat = [s for r in rows for s in counted(r[0])]
