@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarmill.functions.cite import as_reference, reference_span
+from scholarmill.functions.prompts import few_shot, first_line, spaced_markers
 from scholarmill.functions.titles import normalize_title, yymm
 from scholarmill.operators import assembly, rows
 from scholarmill.plans.registry import query
@@ -351,3 +352,56 @@ def events_state(spark: SparkSession, d: str) -> DataFrame:
     """SM-3, SM-5: the state that the incremental worklist ends in; the stream is tested to reach it."""
     e = table(spark, d, "events")
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("ts").alias("last_ts"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"))
+
+
+@query("""WITH a AS (SELECT arxiv_id, min(abstract) AS abstract FROM arxiv_metadata WHERE abstract IS NOT NULL GROUP BY 1), c AS (SELECT paper_id, min(title) AS title FROM corpus_data WHERE title IS NOT NULL GROUP BY 1)
+  SELECT arxiv_id, title, md5(abstract) AS abstract_md5 FROM a JOIN c ON c.paper_id = a.arxiv_id""")
+def papers_with_abstracts(spark: SparkSession, d: str) -> DataFrame:
+    """JN-1, SC-9, SC-10: papers and abstracts, one of each for an id."""
+    a = table(spark, d, "arxiv_metadata").filter(F.col("abstract").isNotNull()).groupBy("arxiv_id").agg(F.min("abstract").alias("abstract"))
+    c = table(spark, d, "corpus_data").filter(F.col("title").isNotNull()).groupBy(F.col("paper_id").alias("arxiv_id")).agg(F.min("title").alias("title"))
+    return a.join(c, "arxiv_id").select("arxiv_id", "title", F.md5("abstract").alias("abstract_md5"))
+
+
+@query("""WITH c AS (SELECT DISTINCT arxiv_id, pos, raw FROM citations WHERE raw IS NOT NULL) SELECT arxiv_id, pos, md5('Extract the title of the cited work.' || chr(10) || chr(10) || 'Item: a' || chr(10) || 'Title: b' || chr(10) || chr(10) || 'Item: ' || raw || chr(10) || 'Title:') AS prompt_md5, string_split(raw, chr(10))[1] AS first FROM c""")
+def title_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """PJ-8, PJ-9, UD-1: prompts that ask for titles, and first lines."""
+    c = table(spark, d, "citations").filter(F.col("raw").isNotNull()).select("arxiv_id", "pos", "raw").distinct()
+    return c.select("arxiv_id", "pos", F.md5(few_shot(F.col("raw"), [("a", "b")])).alias("prompt_md5"), first_line(F.col("raw")).alias("first"))
+
+
+@query("""SELECT DISTINCT row_id, len(list_filter(targets, lambda t: contains(t, '<|reference_start|>'))) AS n, md5(array_to_string(list_transform(list_filter(targets, lambda t: t IS NOT NULL), lambda t: replace(replace(t, '<|reference_start|>', '<|reference_start|> '), '<|reference_end|>', ' <|reference_end|>')), '|')) AS spaced_md5 FROM train_rows WHERE targets IS NOT NULL""")
+def spaced_targets(spark: SparkSession, d: str) -> DataFrame:
+    """PJ-2: targets with blanks inside their markers."""
+    r = table(spark, d, "train_rows").filter(F.col("targets").isNotNull()).select("row_id", "targets").distinct()
+    some = F.filter("targets", lambda t: t.isNotNull())
+    return r.select("row_id", F.size(F.filter(some, lambda t: F.contains(t, F.lit("<|reference_start|>")))).cast("long").alias("n"), F.md5(F.array_join(F.transform(some, spaced_markers), "|")).alias("spaced_md5"))
+
+
+@query("SELECT doc_id % 8 AS shard, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
+def encode_shards(spark: SparkSession, d: str) -> DataFrame:
+    """SC-14: rows by shard, for encoders that work beside each other."""
+    return table(spark, d, "documents").groupBy((F.col("doc_id") % 8).alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) WHERE r BETWEEN 11 AND 20")
+def row_slice(spark: SparkSession, d: str) -> DataFrame:
+    """FI-15: rows 11 to 20 in order; the slice is the feature."""
+    return rows.number_rows(table(spark, d, "documents").select("doc_id"), [F.col("doc_id")]).filter("row_no between 11 and 20").select("doc_id")
+
+
+@query("""WITH p AS (SELECT DISTINCT part_id, arxiv_id, intro FROM parsed_parts WHERE intro IS NOT NULL), c AS (SELECT DISTINCT arxiv_id, token FROM citations)
+  SELECT part_id, list(token ORDER BY strpos(intro, token), token) AS in_order FROM p JOIN c USING (arxiv_id) WHERE strpos(intro, token) > 0 GROUP BY part_id""")
+def tokens_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """TK-10: a paper's citation tokens by where the introduction has them."""
+    c = table(spark, d, "citations").select("arxiv_id", "token").distinct()
+    p = table(spark, d, "parsed_parts").filter(F.col("intro").isNotNull()).select("part_id", "arxiv_id", "intro").distinct()
+    hits = p.join(c, "arxiv_id").select("part_id", F.struct(F.call_function("locate", F.col("token"), F.col("intro")).alias("at"), "token").alias("h")).filter("h.at > 0")
+    return hits.groupBy("part_id").agg(F.transform(F.array_sort(F.collect_list("h")), lambda h: h.token).alias("in_order"))
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean_value, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1, 2")
+def events_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Events by day: an addition of this engine, the batch form of the windowed stream."""
+    e = table(spark, d, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type")
+    return e.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.countDistinct("user_id").alias("n_users"))
