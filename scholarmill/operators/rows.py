@@ -103,17 +103,19 @@ def cascade(rows: DataFrame, steps: Sequence[tuple[str, DataFrame, str]], value:
     """Resolve rows through lookups in order: each step sees only what the steps before it left.
 
     A step is (name, lookup, key): lookup has one row of each key with the column ``value``. The result has the columns
-    of ``rows``, ``value`` and ``resolved_by``, both null for what no step resolves. A null key resolves nothing.
+    of ``rows``, ``value`` and ``resolved_by``, both null for what no step resolves. A null key or value resolves nothing.
     """
-    left, found = rows, []
+    kind = dict(steps[0][1].dtypes)[value]
+    out = rows.withColumn("_value", F.lit(None).cast(kind)).withColumn("_by", F.lit(None).cast("string"))
+    spread = F.xxhash64(*rows.columns).cast("string")
     for name, lookup, key in steps:
-        hit = left.join(lookup.select(key, value), key).select(*rows.columns, value).withColumn("resolved_by", F.lit(name))
-        found.append(hit)
-        left = left.join(lookup.select(key), key, "left_anti")
-    rest = left.withColumn(value, F.lit(None).cast(dict(steps[0][1].dtypes)[value])).withColumn("resolved_by", F.lit(None).cast("string"))
-    for part in found:
-        rest = rest.unionByName(part)
-    return rest
+        # rows that are resolved or have no key meet nothing: they get a key of their own, so they spread over all tasks
+        open_key = F.when(F.col("_value").isNull(), F.col(key).cast("string"))
+        own = F.coalesce(F.concat(F.lit("k"), open_key), F.concat(F.lit("-"), spread))
+        other = lookup.filter(F.col(key).isNotNull()).select(F.concat(F.lit("k"), F.col(key).cast("string")).alias("_key"), F.col(value).alias("_new"))
+        out = out.withColumn("_key", own).join(other, "_key", "left")
+        out = out.withColumn("_by", F.coalesce("_by", F.when(F.col("_new").isNotNull(), name))).withColumn("_value", F.coalesce("_value", "_new")).drop("_key", "_new")
+    return out.select(*rows.columns, F.col("_value").alias(value), F.col("_by").alias("resolved_by"))
 
 
 def identify(rows: DataFrame, key: str, source: str, order: Sequence[Column], name: str = "corpus_id") -> DataFrame:

@@ -29,13 +29,13 @@ _C = f"WITH c AS (SELECT *, {_NORM.format('title')} AS norm FROM corpus_data WHE
 @query(_C + " SELECT norm, min(corpus_id) AS corpus_id FROM c GROUP BY norm")
 def normalize_title_dedup_first(spark: SparkSession, d: str) -> DataFrame:
     """ST-14, AG-4, AG-6: the first record of each title."""
-    return rows.first_wins(_corpus(spark, d), ["norm"], ["corpus_id"]).select("norm", "corpus_id")
+    return rows.first_wins(_corpus(spark, d).select("norm", "corpus_id"), ["norm"], ["corpus_id"]).select("norm", "corpus_id")
 
 
 @query(_C + " SELECT norm, max(corpus_id) AS corpus_id FROM c GROUP BY norm")
 def normalize_title_dedup_last(spark: SparkSession, d: str) -> DataFrame:
     """AG-5: the last record of each title."""
-    return rows.last_wins(_corpus(spark, d), ["norm"], ["corpus_id"]).select("norm", "corpus_id")
+    return rows.last_wins(_corpus(spark, d).select("norm", "corpus_id"), ["norm"], ["corpus_id"]).select("norm", "corpus_id")
 
 
 @query(_C + ", f AS (SELECT norm, min(corpus_id) AS corpus_id FROM c GROUP BY norm)" + f" SELECT DISTINCT lookup_id, corpus_id FROM title_lookup t LEFT JOIN f ON f.norm = {_NORM.format('t.title')} WHERE t.title IS NOT NULL AND {_ASCII.format('t.title')}")
