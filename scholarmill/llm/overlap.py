@@ -173,6 +173,12 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def bag(a: np.ndarray, b: np.ndarray) -> int:
+    """Words that two texts have in common in any order, or more: no common subsequence is longer."""
+    x, y = (np.bincount(w & 4095, minlength=4096) for w in (a, b))
+    return int(np.minimum(x, y).sum())
+
+
 def verified(pairs: DataFrame) -> DataFrame:
     """Of (…, words, words2) the pairs that overlap, without the words."""
     names = [c for c in pairs.columns if c not in ("words", "words2")]
@@ -182,7 +188,8 @@ def verified(pairs: DataFrame) -> DataFrame:
             keep = []
             for a, b in zip(_lists(batch, "words"), _lists(batch, "words2")):
                 n = max(len(a), len(b))
-                keep.append(common_words(a, b) >= n - edits(n))
+                least = n - edits(n)
+                keep.append(bag(a, b) >= least and common_words(a, b) >= least)
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(run, pairs.select(names).schema)
