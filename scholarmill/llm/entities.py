@@ -23,6 +23,7 @@ from scholarmill.plans.stage import stage
 
 BANDS, ROWS = 24, 2
 OFTEN = 100  #: a shingle in one abstract of so many is frequent
+WIDE, NAMES = 12, 24  #: title words and names from which on keys are made of neighbours and of a sketch
 SAMPLE = 20_000  #: at most so many candidate pairs train the classifier
 TITLE_STOP = 0.06  #: a title word in so large a share of titles says nothing; with n words a title there are at most n / TITLE_STOP
 THRESHOLD = 0.5
@@ -84,11 +85,17 @@ def rare_shingles(words: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> tu
     return h, h[_weights(h, *often) == 0]
 
 
+def word_sets(words: list[int], size: int) -> list[tuple]:
+    """Sets of ``size`` of the words; of a title with more than WIDE words those within four neighbours, so that long ones stay linear."""
+    if len(words) <= WIDE:
+        return list(combinations(sorted(words), size))
+    return list({tuple(sorted(c)) for i in range(len(words) - 3) for c in combinations(words[i : i + 4], size)})
+
+
 def title_keys(content: list[int]) -> tuple[list[tuple], list[tuple]]:
     """Word sets of a paper's title, and those of a record's: three words, two where a record's title has no more than three."""
-    w = sorted(content)
-    three, two = list(combinations(w, 3)), list(combinations(w, 2))
-    return three + two, three + two * (len(w) <= 3)
+    three, two = word_sets(content, 3), word_sets(content, 2)
+    return three + two, three + two * (len(content) <= 3)
 
 
 def _key(c: tuple) -> int:
@@ -115,9 +122,9 @@ def blocks(df: DataFrame, often: tuple[np.ndarray, np.ndarray], stop: set[int])
                         band = m[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ m[:, 1] + np.arange(BANDS, dtype=np.uint64)
                         keys.update((0, int(k)) for k in band.view(np.int64))
                 w = [t for t in title if t not in sent.value[1]]
-                sets = title_keys(w)[source == "b"]
-                sets += [(t, -n) for t in w for n in people]
-                sets += [("head", *c) for c in combinations(sorted(t for t in set(heads) if t not in sent.value[1]), 3)]
+                sets = list(title_keys(w)[source == "b"])
+                sets += [(t, -n) for t in w[:WIDE] for n in people[:NAMES]]  # names are sorted by hash: a sketch of long lists
+                sets += [("head", *c) for c in word_sets(list(dict.fromkeys(t for t in heads if t not in sent.value[1])), 3)]
                 if w:
                     keys.add((0, _key(("title", *sorted(w)))))
                 keys.update((1, _key(c)) for c in sets)
