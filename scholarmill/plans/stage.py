@@ -17,6 +17,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_made: list[str] = []
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Delete the stage tables made so far, once what was built on them is written; the number of folders."""
+    jvm, n = spark.sparkContext._jvm, len(_made)
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet stage table and read it again.
 
@@ -28,4 +40,5 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -130,3 +130,13 @@ def test_fill_mask_faults(spark):
     t = spark.createDataFrame([(span * 4, ["a"] * 4, [0, 1, 2, 3]), (span, ["a", None], [5]), (None, None, None)], "p string, t array<string>, i array<int>")
     got = [r.f for r in t.select(assembly.training_row_faults(F.col("p"), F.col("t"), F.col("i")).alias("f")).collect()]
     assert got == [[], ["targets", "indexes", "few_spans", "out_of_range", "null_target"], ["targets", "indexes", "few_spans"]]
+
+
+def test_stages_are_cleared(spark):
+    from pathlib import Path
+
+    from scholarmill.plans.stage import clear_stages, shared_dir, stage
+
+    assert stage(spark.range(5)).count() == 5
+    at = Path(shared_dir(spark).removeprefix("file://"))
+    assert any(at.glob("stage-*")) and clear_stages(spark) > 0 and not any(at.glob("stage-*"))
