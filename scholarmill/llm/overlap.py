@@ -212,16 +212,15 @@ def overlaps(df: DataFrame, key: str, text: str, is_eval: str) -> DataFrame:
     others = member.select("id", "fp1", "fp2").join(classes.select("fp1", "fp2", F.col("id").alias("first")), ["fp1", "fp2"]).filter("id <> first").select("id").distinct()
     n_classes, n_ids = classes.count(), member.select("id").distinct().count()
     alone = _only(rows, others, "left_anti", n_ids - n_classes)
-    found = prefixes(alone, word_counts(rows), frequent_shingles(rows))
+    common, often = word_counts(rows), frequent_shingles(rows)
     roles = classes.filter("has_eval and has_train").select("id")
     # texts that are in one split only keep their role; copies across splits play both
-    e = found.filter("is_eval").select("h", F.col("id").alias("ea"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    t = found.filter("not is_eval").select("h", F.col("id").alias("tb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    n_both = roles.count()
-    if n_both:
-        both = _only(found, roles, "left_semi", n_both)
-        e = e.unionByName(both.filter("not is_eval").select("h", F.col("id").alias("ea"), F.col("n").alias("na"), F.col("pos").alias("pa")))
-        t = t.unionByName(both.filter("is_eval").select("h", F.col("id").alias("tb"), F.col("n").alias("nb"), F.col("pos").alias("pb")))
+    ea, tb = alone.filter("is_eval"), alone.filter("not is_eval")
+    if n_both := roles.count():
+        both = _only(alone, roles, "left_semi", n_both)
+        ea, tb = ea.unionByName(both.filter("not is_eval")), tb.unionByName(both.filter("is_eval"))
+    e = prefixes(ea, common, often).select("h", F.col("id").alias("ea"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    t = prefixes(tb, common, often).select("h", F.col("id").alias("tb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     longest = F.greatest("na", "nb")
     free = longest - F.ceil(longest * SHARE - 1e-9)
     near = e.join(t, "h").filter((F.col("ea") != F.col("tb")) & (F.abs(F.col("na") - F.col("nb")) <= free) & (F.abs(F.col("pa") - F.col("pb")) <= free))
