@@ -12,7 +12,7 @@ _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package's sources to the executors, once for each application."""
+    """Send the package's sources to the executors, once for each application; the driver serves the file to them."""
     app = spark.sparkContext.applicationId
     if app not in _sent:
         _sent.add(app)
