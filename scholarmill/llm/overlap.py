@@ -1,9 +1,9 @@
 """Same or near-same records across splits: an exact prefix-filter join on rare word shingles.
 
-Two papers overlap when at least SHARE of the words of the longer one stand in the other in the same order. Such a pair
-has at most (1 - SHARE) of its words edited, and an edited word breaks at most SHINGLE shingles; so however the shingles
-are ordered, the first ones of either paper, one more than can be broken, have one in common. The order is from rare to
-frequent. Copies are one class each, joined once.
+Two papers overlap when at least SHARE of the words of the longer one stand in the other in the same order. A word of
+one paper without a partner breaks at most SHINGLE of its shingles, one of the other that is added at another place at
+most SHINGLE - 1; so however the shingles are ordered, the first ones of either paper, one more than can be broken, have
+one in common. The order is from rare to frequent. Copies are one class each, joined once.
 """
 
 import hashlib
@@ -19,9 +19,10 @@ from scholarmill.llm.words import word_hash
 from scholarmill.plans.stage import stage
 
 SHARE = 0.9
-SHINGLE = 3  #: five words would put half of all shingles into the prefix at one edit in ten words; three put 30 %
+SHINGLE = 3  #: five words would put nine tenths of all shingles into the prefix at one edit in ten words; three put half
 FREQUENT = 65_536  #: words that make up at least 1 / FREQUENT of all text, so never more than FREQUENT
 OFTEN = 1000  #: a shingle is frequent from one text in so many on
+BUCKETS = 128  #: of a sketch
 BROADCAST_IDS = 1_000_000  #: up to so many ids (8 MB) a list of ids is broadcast, beyond it is shuffled
 WORD = re.compile(r"[^\W_]+")
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -32,6 +33,15 @@ def edits(n: int) -> int:
     return n - int(np.ceil(SHARE * n - 1e-9))
 
 
+def broken(n: int) -> int:
+    """How many shingles of a text of ``n`` words an overlapping one can lack, be it as long, longer or shorter.
+
+    Of a partner of ``k`` words, not less than n, at least k - edits(k) are common: edits(k) - (k - n) words of this text
+    have no partner and edits(k) of the other. A shorter partner lacks no more than one of n words.
+    """
+    return max(max(0, SHINGLE * (edits(k) - (k - n))) + (SHINGLE - 1) * edits(k) for k in range(n, int(n / SHARE + 1e-9) + 1))
+
+
 def texts(df: DataFrame, key: str, text: str, is_eval: str) -> DataFrame:
     """(id, is_eval, n, fp1, fp2, words): hashed words of each text with a word, and a 128-bit fingerprint of them.
 
@@ -126,7 +136,7 @@ def prefix(words: np.ndarray, common: tuple[np.ndarray, np.ndarray], often: tupl
     n = len(words)
     code = shingles(words)
     m = len(code)
-    take = m if n < 2 * SHINGLE else min(m, SHINGLE * edits(n) + 1)
+    take = m if n < 2 * SHINGLE else min(m, broken(n) + 1)
     of = _weights(words, *common)
     score = sum(of[k : k + m] for k in range(min(SHINGLE, n)))
     score = np.maximum(score, _weights(code, *often))
@@ -179,6 +189,36 @@ def bag(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(x, y).sum())
 
 
+def sketches(rows: DataFrame) -> DataFrame:
+    """(id, sketch): how many words of each text fall into each of BUCKETS; null if a count is out of range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.bincount(w % BUCKETS, minlength=BUCKETS) for w in _lists(batch, "words")]
+            found = [c.astype("<u2").tobytes() if c.max() < 65_536 else None for c in counts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "sketch"])
+
+    return rows.select("id", "words").mapInArrow(run, "id long, sketch binary")
+
+
+def possible(pairs: DataFrame) -> DataFrame:
+    """Of (ea, tb, sketch, sketch2) the pairs (ea, tb) whose sketches allow enough common words; it loses no overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if x is None or y is None:
+                    keep.append(True)
+                    continue
+                a, b = (np.frombuffer(s, "<u2").astype(np.int64) for s in (x, y))
+                n = int(max(a.sum(), b.sum()))
+                keep.append(int(np.minimum(a, b).sum()) >= n - edits(n))
+            yield batch.select(["ea", "tb"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("ea", "tb", "sketch", "sketch2").mapInArrow(run, "ea long, tb long")
+
+
 def verified(pairs: DataFrame) -> DataFrame:
     """Of (…, words, words2) the pairs that overlap, without the words."""
     names = [c for c in pairs.columns if c not in ("words", "words2")]
@@ -226,8 +266,12 @@ def overlaps(df: DataFrame, key: str, text: str, is_eval: str) -> DataFrame:
     near = e.join(t, "h").filter((F.col("ea") != F.col("tb")) & (F.abs(F.col("na") - F.col("nb")) <= free) & (F.abs(F.col("pa") - F.col("pb")) <= free))
     candidates = stage(near.select("ea", "tb").distinct())
     n = candidates.count()
-    ids = candidates.select(F.col("ea").alias("id")).union(candidates.select(F.col("tb").alias("id"))).distinct()
-    words = _only(alone.select("id", "fp1", "fp2", "words"), ids, "left_semi", 2 * n).dropDuplicates(["id"])
+    ids = lambda df: df.select(F.col("ea").alias("id")).union(df.select(F.col("tb").alias("id"))).distinct()
+    sketch = sketches(_only(alone.select("id", "words"), ids(candidates), "left_semi", 2 * n).dropDuplicates(["id"]))
+    pair = candidates.join(sketch.withColumnsRenamed({"id": "ea"}), "ea").join(sketch.withColumnsRenamed({"id": "tb", "sketch": "sketch2"}), "tb")
+    candidates = stage(possible(pair))
+    n = candidates.count()
+    words = _only(alone.select("id", "fp1", "fp2", "words"), ids(candidates), "left_semi", 2 * n).dropDuplicates(["id"])
     pair = candidates.join(words.withColumnsRenamed({"id": "ea"}), "ea")
     pair = pair.join(words.withColumnsRenamed({"id": "tb", "fp1": "gp1", "fp2": "gp2", "words": "words2"}), "tb")
     close = verified(pair.select("fp1", "fp2", "gp1", "gp2", "words", "words2"))

@@ -100,6 +100,25 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.overlaps(df.limit(0), "row_id", "paper", "is_eval").count() == 0
 
 
+def test_prefixes_share_a_shingle_after_drops_and_additions():
+    rng = random.Random(5)
+    nothing = (np.zeros(0, np.int32), np.zeros(0, np.int32))
+    for n in (100, 150, 200):
+        for _ in range(150):
+            a = list(range(1000, 1000 + n))
+            e = n // 10
+            gone = set(rng.sample(range(n), e))
+            b = [w for i, w in enumerate(a) if i not in gone]
+            for k in range(e):  # added words are rare, those of the text frequent
+                b.insert(rng.randint(0, len(b)), 5000 + k)
+            assert lcs(a, b) >= n - overlap.edits(n)
+            x, y = (np.array(w, np.int32) for w in (a, b))
+            common = (x, np.full(n, 100, np.int32))
+            (hx, px), (hy, py) = (overlap.prefix(w, common, (np.zeros(0, np.int64), nothing[1])) for w in (x, y))
+            at = dict(zip(hx.tolist(), px.tolist()))
+            assert any(h in at and abs(at[h] - p) <= e for h, p in zip(hy.tolist(), py.tolist()))
+
+
 def test_consistent_forms():
     same = ["Naïve Trajectories at Scale", "Nai\u0308ve Trajеctοries at Scale", "Naïve\u2003Traj\u00adectories\u200b at Ｓｃａｌｅ", "Naïve Τrajectorieѕ at Ѕсаlе"]
     assert len({lookalike.consistent(s) for s in same}) == 1
