@@ -1,8 +1,10 @@
 """Markup residue in texts: finding it, deducing its templates, and turning it into clean text.
 
-A grammar cuts each value into markup tokens and text. Tokens that occur equally often in every page (their occurrence
-vectors agree) form an equivalence class; a class whose tokens stand in one order in every page is valid and belongs to
-the template of its dialect, the rest of a page being its slots. Cleaning keeps headings, lists, code and formulas.
+A grammar cuts each value into markup tokens and text. What has the form of an element or a bracketed mark but isn't in
+the grammar is a loose token. Tokens that occur equally often in every page (their occurrence vectors agree) form an
+equivalence class; a class whose tokens stand in one order in every page is valid and belongs to the template of its
+dialect. Loose tokens are markup where their class is valid and holds both ends of a pair: they make a value count as
+marked, and cleaning takes them out and keeps the slots between them. Cleaning keeps headings, lists, code and formulas.
 """
 
 import html
@@ -14,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholarmill.plans.stage import stage
+
 # What only looks like markup: file paths, amounts of money, the project's tokens, comparisons.
 PATH = re.compile(r"\b[A-Za-z]:\\[^\s<>|\"]*|(?<![\w\\])\\\\[\w.-]+\\[^\s<>|\"]*")
 TOKEN = re.compile(r"<\|[^|<>\s]{1,40}\|>")
@@ -61,6 +65,9 @@ GRAMMAR = {
 ORDER = [("html", "comment"), ("latex", "display"), ("latex", "inline"), ("markdown", "fence"), ("latex", "frame"), ("html", "tag"), ("html", "entity"), ("latex", "quote"), ("latex", "remark"), ("latex", "escape"), ("latex", "accent"), ("latex", "command"), ("wiki", "heading"), ("wiki", "template"), ("wiki", "table"), ("wiki", "link"), ("wiki", "emphasis"), ("markdown", "heading"), ("markdown", "strong"), ("markdown", "strike"), ("markdown", "link"), ("markdown", "note"), ("markdown", "code"), ("markdown", "rule"), ("markdown", "row"), ("markdown", "block"), ("markdown", "list"), ("wiki", "list"), ("markdown", "emphasis")]
 SCAN = re.compile("|".join(f"(?P<{d}_{k}>{GRAMMAR[d][k]})" for d, k in ORDER if (d, k) != ("wiki", "heading")), re.S | re.I)
 WIKI_HEADING = re.compile(GRAMMAR["wiki"]["heading"])
+# What the grammar doesn't list, as an element or a bracketed mark of any name.
+LOOSE = re.compile(r"<(?P<a>/?[A-Za-z][\w:.-]{0,40})(?:\s[^<>]*)?>|\[(?P<b>/?[A-Za-z][A-Za-z0-9]{0,20})(?:=[^\[\]\n]*)?\]")
+FRAME = "frame"  #: the dialect of loose tokens
 BIBTEX = re.compile(r"^\s*@\w+\s*\{", re.M)
 ENTRY = re.compile(r"^\s*@\w+\s*\{[^,\n]*,?|^\s*\w+\s*=\s*\{|\}\s*,?\s*$", re.M)
 
@@ -150,14 +157,16 @@ BRACES = re.compile(r"\{([^{}\n]*)\}")
 HOLE = re.compile("\ue000(\\d+)\ue001")
 
 
-def clean(text: str | None) -> str | None:
+def clean(text: str | None, frame: list[str] | None = None) -> str | None:
     """Clean text of a value: Markdown headings and lists, fenced code, formulas between dollars, no other markup.
 
     Null stays null and a value without markup stays as it is. Footnotes and notes follow in parentheses, citation
-    commands become their keys in brackets.
+    commands become their keys in brackets. The loose tokens in ``frame`` are taken out first.
     """
     import unicodedata
 
+    if text and frame:
+        text = without_frame(text, set(frame))
     if not tokens(text):
         return text
     held: list[str] = []
@@ -186,6 +195,29 @@ def clean(text: str | None) -> str | None:
     return unicodedata.normalize("NFC", re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip())
 
 
+def loose(text: str | None) -> list[tuple[str, int, int]]:
+    """(token, start, end) of the loose tokens of a text: outside of code, formulas and all tokens of the grammar."""
+    if not text or not LOOSE.search(t := masked(text)):
+        return []
+    taken = bytearray(len(text))
+    spans = [(a, b) for _, _, a, b in tokens(text)] + [m.span() for p in (CODE, FORMULA) for m in p.finditer(text)]
+    for a, b in spans:
+        taken[a:b] = b"\1" * (b - a)
+    return [(f"<{m['a']}>" if m["a"] else f"[{m['b']}]", m.start(), m.end()) for m in LOOSE.finditer(t) if 1 not in taken[m.start() : m.end()]]
+
+
+def without_frame(text: str, frame: set[str]) -> str:
+    """A text without the loose tokens in ``frame``; slots that follow one another stand on lines of their own."""
+    out, at, closed = [], 0, False
+    for token, a, b in loose(text):
+        if token not in frame:
+            continue
+        slot, close = text[at:a], token[1] == "/"
+        out.append("\n" if closed and not close and not slot.strip() and "\n" not in slot else slot)
+        at, closed = b, close
+    return "".join(out) + text[at:]
+
+
 # --- templates --------------------------------------------------------------------------------------------------------
 
 def values(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
@@ -195,7 +227,7 @@ def values(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
 
 
 def pages(vals: DataFrame, key: str) -> DataFrame:
-    """(key, field, page, seen, ordered): each value's distinct markup tokens with their counts and first positions.
+    """(key, field, page, seen, ordered): each value's distinct markup tokens, loose ones too, with their counts.
 
     ``ordered`` has the pairs of tokens that occur equally often and strictly in turn.
     """
@@ -205,7 +237,7 @@ def pages(vals: DataFrame, key: str) -> DataFrame:
         for batch in batches:
             seen, ordered = [], []
             for text in batch.column(2).to_pylist():
-                found = tokens(text)
+                found = tokens(text) + [(FRAME, t, a, b) for t, a, b in loose(text)]
                 count = Counter((d, t) for d, t, _, _ in found)
                 seen.append([{"dialect": d, "token": t, "n": n} for (d, t), n in count.items()])
                 ordered.append(_in_turn([(d, t) for d, t, _, _ in found], count))
@@ -254,9 +286,23 @@ def classes(paged: DataFrame, support: int = 3) -> DataFrame:
     return found.select("dialect", F.md5(F.concat_ws(" ", "dialect", F.array_join("tokens", " "))).alias("class_id"), "tokens", "n_pages", valid.alias("valid"))
 
 
+def framed(paged: DataFrame, key: str) -> DataFrame:
+    """(key, field, token) of the loose tokens that are markup: of a valid class with both ends of the pair."""
+    own = paged.select(key, "field", "page", F.filter("seen", lambda s: s.dialect == FRAME).alias("seen"), F.filter("ordered", lambda p: p.startswith(FRAME + "\t")).alias("ordered"))
+    own = stage(own.filter(F.size("seen") > 0))
+    found = classes(own).filter("valid").select(F.explode("tokens").alias("token"), "tokens")
+    first = F.substring("token", 1, 1)
+    closes = F.substring("token", 2, 1) == "/"
+    partner = F.when(closes, F.concat(first, F.expr("substring(token, 3)"))).otherwise(F.concat(first, F.lit("/"), F.expr("substring(token, 2)")))
+    found = found.filter(F.array_contains("tokens", partner)).select("token")
+    return own.select(key, "field", F.explode("seen.token").alias("token")).join(found, "token", "left_semi").select(key, "field", "token")
+
+
 def with_markup(paged: DataFrame, key: str) -> DataFrame:
-    """(key, field) of the values with tokens of any class."""
-    return paged.filter(F.size("seen") > 0).select(key, "field")
+    """(key, field) of the values with a token of the grammar, or a loose one of a valid class."""
+    paged = stage(paged)
+    listed = paged.filter(F.exists("seen", lambda s: s.dialect != FRAME)).select(key, "field")
+    return listed.unionByName(framed(paged, key).select(key, "field")).distinct()
 
 
 def cleaned(vals: DataFrame, key: str) -> DataFrame:
@@ -265,6 +311,7 @@ def cleaned(vals: DataFrame, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(clean, batch.column(2).to_pylist()), pa.string())], names=[key, "field", "clean_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(clean, batch.column(2).to_pylist(), batch.column(3).to_pylist()), pa.string())], names=[key, "field", "clean_text"])
 
-    return vals.select(key, "field", "value").mapInArrow(run, shape)
+    frame = framed(pages(vals, key), key).groupBy(key, "field").agg(F.collect_set("token").alias("frame"))
+    return vals.join(frame, [key, "field"], "left").select(key, "field", "value", "frame").mapInArrow(run, shape)

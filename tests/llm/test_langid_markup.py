@@ -98,3 +98,13 @@ def test_queries_over_values(spark):
     assert {(r.part_id, r.field): r.clean_text for r in markup.cleaned(vals, "part_id").collect()}[2, "intro"] == "b\n\nc"
     empty = markup.values(df.limit(0), "part_id", ("intro", "related_work", "bib"))
     assert empty.count() == 0 and markup.classes(markup.pages(empty, "part_id")).count() == 0
+
+
+def test_unlisted_tags_are_found_by_their_classes(spark):
+    text = ["<aside2 n=1>a</aside2><aside2>b</aside2>", "x <aside2>c</aside2>", "<aside2>d</aside2> **e**", "[quote=x]f[/quote] <once>", "[quote]g[/quote]", "[quote]h[/quote]", "a <lone> b", "c <lone> d", "e <lone> f", "plain [x]", "```\n<aside2>\n```"]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(text)], "part_id long, intro string, bib string")
+    vals = markup.values(df, "part_id", ("intro", "bib"))
+    found = {r.part_id for r in markup.with_markup(markup.pages(vals, "part_id"), "part_id").collect()}
+    assert found == {0, 1, 2, 3, 4, 5, 10}
+    got = {r.part_id: r.clean_text for r in markup.cleaned(vals, "part_id").collect()}
+    assert [got[i] for i in range(len(text))] == ["a\nb", "x c", "d e", "f <once>", "g", "h", *text[6:]]
