@@ -122,9 +122,13 @@ def blocks(df: DataFrame, often: tuple[np.ndarray, np.ndarray], stop: set[int])
                         band = m[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ m[:, 1] + np.arange(BANDS, dtype=np.uint64)
                         keys.update((0, int(k)) for k in band.view(np.int64))
                 w = [t for t in title if t not in sent.value[1]]
-                sets = list(title_keys(w)[source == "b"])
-                sets += [(t, -n) for t in w[:WIDE] for n in people[:NAMES]]  # names are sorted by hash: a sketch of long lists
-                sets += [("head", *c) for c in word_sets(list(dict.fromkeys(t for t in heads if t not in sent.value[1])), 3)]
+                # a title of little else than frequent words is blocked by all of its words
+                sets = list(title_keys(w if len(w) >= 3 else title)[source == "b"])
+                sets += [(t, -n) for t in (w or title)[:WIDE] for n in people[:NAMES]]  # names are sorted by hash: a sketch of long lists
+                h = [t for t in dict.fromkeys(heads) if t not in sent.value[1]]
+                sets += [("head", *c) for c in word_sets(h if len(h) >= 3 else list(dict.fromkeys(heads)), 3)]
+                if title:
+                    keys.add((0, _key(("full title", *sorted(title)))))
                 if w:
                     keys.add((0, _key(("title", *sorted(w)))))
                 keys.update((1, _key(c)) for c in sets)
@@ -158,7 +162,8 @@ def features(a: dict, b: dict, often: tuple[np.ndarray, np.ndarray], stop: set[i
             s = max(s, t)
     x, y = set(a["chars"]), set(b["chars"])
     chars = len(x & y) / len(x | y) if x and y else 0.0
-    tw = _share(set(a["title"]) - stop, set(b["title"]) - stop)
+    p, q = set(a["title"]) - stop, set(b["title"]) - stop
+    tw = _share(p, q) if p and q else _share(set(a["title"]), set(b["title"]))
     p, q = set(a["people"]), set(b["people"])
     people, unknown = (len(p & q) / len(q), 0.0) if p and q else (0.0, 1.0)
     mark = float(set(a["marks"]) != set(b["marks"]))

@@ -163,3 +163,20 @@ def test_match_entities(spark):
     assert len(got & truth) >= 0.95 * len(truth) and len(got - truth) <= 1
     assert all(0.5 <= r.confidence <= 1 for r in rows)
     assert entities.match(p.limit(0), o).count() == 0 and entities.match(p, o.limit(0)).count() == 0
+
+
+def titled(rng, n):
+    return [" ".join(x + y for x, y in zip(rng.sample(VOCAB, 5), rng.sample(VOCAB, 5))) for _ in range(n)]
+
+
+PAPER, OTHER = "id string, title string, abstract string, authors string, year int", "other_table string, id string, title string, abstract string, authors string, year int"
+
+
+def test_titles_of_frequent_words_match(spark):
+    rng = random.Random(6)
+    titles = titled(rng, 30)
+    papers = [(f"p{i}", t, " ".join(rng.choices(VOCAB, k=60)), "Ann Lobanfel", 2015) for i, t in enumerate(titles)]
+    others = [("t", f"h{i}", titles[0] + "." * i, None, "Ann Lobanfel" if i % 2 else None, 2015) for i in range(20)]
+    others += [("t", f"o{i}", t, None, "Ann Lobanfel", 2015) for i, t in enumerate(titles) if i]
+    got = {(r.paper_id, r.other_id) for r in entities.match(spark.createDataFrame(papers, PAPER), spark.createDataFrame(others, OTHER)).collect()}
+    assert len({o for p, o in got if p == "p0" and o[0] == "h"}) == 20 and len({o for _, o in got if o[0] == "o"}) == 29
