@@ -273,9 +273,9 @@ def match(papers: DataFrame, others: DataFrame) -> DataFrame:
     ka = keys.filter("source_name = 'a'").select("kind", "h", F.col("rid").alias("a_rid"), F.col("has_abstract").alias("a_has"))
     kb = keys.filter("source_name = 'b'").select("kind", "h", F.col("rid").alias("b_rid"), F.col("has_abstract").alias("b_has"))
     near = ka.filter("kind = 0").join(kb.filter("kind = 0"), ["kind", "h"]).select("a_rid", "b_rid")
-    # titles block the pairs that lack an abstract; the classifier's sample takes others of them too
+    # titles block all pairs: abstracts may be rewritten or shortened
     t = lambda x, y: ka.filter(f"kind = 1 and {x}").join(kb.filter(f"kind = 1 and {y}"), ["kind", "h"]).select("a_rid", "b_rid")
-    candidates = stage(near.unionByName(t("not a_has", "true")).unionByName(t("a_has", "not b_has")).distinct())
+    candidates = stage(near.unionByName(t("true", "true")).distinct())
     every = max(1, keys.filter("kind = 1").count() // 200_000)
     trained = t(f"a_has and pmod(h, {every}) = 0", f"b_has and pmod(h, {every}) = 0").unionByName(near.filter(F.pmod(F.xxhash64("a_rid"), F.lit(every)) == 0)).distinct()
     trained = stage(trained.orderBy(F.xxhash64("a_rid", "b_rid"), "a_rid", "b_rid").limit(SAMPLE))

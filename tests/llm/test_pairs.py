@@ -180,3 +180,13 @@ def test_titles_of_frequent_words_match(spark):
     others += [("t", f"o{i}", t, None, "Ann Lobanfel", 2015) for i, t in enumerate(titles) if i]
     got = {(r.paper_id, r.other_id) for r in entities.match(spark.createDataFrame(papers, PAPER), spark.createDataFrame(others, OTHER)).collect()}
     assert len({o for p, o in got if p == "p0" and o[0] == "h"}) == 20 and len({o for _, o in got if o[0] == "o"}) == 29
+
+
+def test_shortened_abstracts_match_by_title(spark):
+    rng = random.Random(8)
+    titles = titled(rng, 60)
+    abstracts = [[rng.choice(VOCAB) + rng.choice(VOCAB) for _ in range(150)] for _ in titles]
+    papers = [(f"p{i}", t, " ".join(a), "Ann Lobanfel", 2015) for i, (t, a) in enumerate(zip(titles, abstracts))]
+    others = [("t", f"o{i}", t[1] + "q" + t[1:], " ".join(a[:14]), "Ann Lobanfel", 2015) for i, (t, a) in enumerate(zip(titles, abstracts))]
+    got = {(r.paper_id, r.other_id) for r in entities.match(spark.createDataFrame(papers, PAPER), spark.createDataFrame(others, OTHER)).collect()}
+    assert got == {(f"p{i}", f"o{i}") for i in range(60)}
