@@ -1,6 +1,8 @@
 """Queries of LaTeX, citation and bibliography functions."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarmill.functions import bib, cite, latex, titles
@@ -14,10 +16,20 @@ _SQL_TEX = f"""WITH tex AS (SELECT doc_id, {_LIT[0]} || doc_id || {_LIT[1]} || s
 
 
 def latex_documents(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, t): each document in a LaTeX frame."""
+    """(doc_id, t): the first 240 characters of each document in a LaTeX frame, as the SQL has them."""
+    return _framed(spark, d, F.substring("text", 1, 120), F.substring("text", 121, 120))
+
+
+def whole_documents(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, t): each document's whole text, in two halves, in a LaTeX frame."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    return _framed(spark, d, F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text")))
+
+
+def _framed(spark: SparkSession, d: str, first: Column, second: Column) -> DataFrame:
     c = lambda m: (F.col("doc_id") % m).cast("string")
     h = [F.lit(x) for x in _HEAD]
-    t = F.concat(h[0], F.col("doc_id").cast("string"), h[1], F.col("source"), h[2], F.substring("text", 1, 120), h[3], c(7), h[4], c(11), h[5], F.substring("text", 121, 120), h[6], c(5), h[7], c(3), h[8])
+    t = F.concat(h[0], F.col("doc_id").cast("string"), h[1], F.col("source"), h[2], first, h[3], c(7), h[4], c(11), h[5], second, h[6], c(5), h[7], c(3), h[8])
     return table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", t.alias("t"))
 
 
@@ -25,56 +37,56 @@ _T = "t"
 
 
 @query(_SQL_TEX + " SELECT doc_id, md5(regexp_replace(t, '(^|[^\\\\])%[^\\n]*', '\\1', 'g')) AS h, md5(regexp_replace(t, '%[^\\n]*', '', 'g')) AS h_all FROM tex")
-def strip_comments(spark: SparkSession, d: str) -> DataFrame:
+def strip_comments(spark: SparkSession, d: str, docs: Callable = latex_documents) -> DataFrame:
     """ST-1, ST-2: comments, with and without regard to escapes."""
-    return latex_documents(spark, d).select("doc_id", F.md5(latex.strip_comments(F.col(_T))).alias("h"), F.md5(latex.strip_all_comments(F.col(_T))).alias("h_all"))
+    return docs(spark, d).select("doc_id", F.md5(latex.strip_comments(F.col(_T))).alias("h"), F.md5(latex.strip_all_comments(F.col(_T))).alias("h_all"))
 
 
 @query(_SQL_TEX + r""" SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '(^|[^\\])%[^\n]*', '\1', 'g'), '(?s)\\begin\{comment\}.*?\\end\{comment\}', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS h FROM tex""")
-def clean_source(spark: SparkSession, d: str) -> DataFrame:
+def clean_source(spark: SparkSession, d: str, docs: Callable = latex_documents) -> DataFrame:
     """ST-1: comments, disabled parts and blank lines."""
-    return latex_documents(spark, d).select("doc_id", F.md5(latex.clean_source(F.col(_T))).alias("h"))
+    return docs(spark, d).select("doc_id", F.md5(latex.clean_source(F.col(_T))).alias("h"))
 
 
 @query(_SQL_TEX + r""", x AS (SELECT doc_id, regexp_replace(t, '(?s)\\begin\{figure\}.*?\\end\{figure\}', '', 'g') AS a FROM tex) SELECT doc_id, md5(regexp_replace(regexp_replace(a, '\n[ \t\r\f\v\n]*\n', chr(10) || chr(10), 'g'), '^[ \t\r\f\v\n]+|[ \t\r\f\v\n]+$', '', 'g')) AS h FROM x""")
-def remove_floats(spark: SparkSession, d: str) -> DataFrame:
+def remove_floats(spark: SparkSession, d: str, docs: Callable = latex_documents) -> DataFrame:
     """ST-3: figures, tables and captions."""
-    return latex_documents(spark, d).select("doc_id", F.md5(latex.remove_floats(F.col(_T))).alias("h"))
+    return docs(spark, d).select("doc_id", F.md5(latex.remove_floats(F.col(_T))).alias("h"))
 
 
 @query(_SQL_TEX + r""" SELECT doc_id, md5(substr(t, strpos(t, '\begin{document}'))) AS body, 'Paper No ' || doc_id AS title, md5('About ') AS abstract FROM tex""")
-def document_parts(spark: SparkSession, d: str) -> DataFrame:
+def document_parts(spark: SparkSession, d: str, docs: Callable = latex_documents) -> DataFrame:
     """ST-4, ST-11, ST-12, ST-15: body, title and abstract."""
     # the fixture's title holds braces of its own: it ends at the first closing one
     fixed = F.replace(F.col(_T), F.lit("{No.}"), F.lit("No."))
-    return latex_documents(spark, d).select("doc_id", F.md5(latex.remove_preamble(F.col(_T))).alias("body"), latex.title(fixed).alias("title"), F.md5(latex.abstract(F.col(_T))).alias("abstract"))
+    return docs(spark, d).select("doc_id", F.md5(latex.remove_preamble(F.col(_T))).alias("body"), latex.title(fixed).alias("title"), F.md5(latex.abstract(F.col(_T))).alias("abstract"))
 
 
 @query(_SQL_TEX + r""", p AS (SELECT doc_id, t, strpos(t, '\section{Introduction}') + 22 AS i, strpos(t, '\section{Related Work}') AS r, strpos(t, '\section{Method}') AS m, strpos(t, '\section*{Acknowledgements}') AS k FROM tex)
   SELECT doc_id, md5(regexp_replace(substr(t, r + 22, m - r - 22), '^[ \t\r\f\v\n]+|[ \t\r\f\v\n]+$', '', 'g')) AS related, md5(substr(t, 1, k - 1)) AS main FROM p""")
-def extract_sections(spark: SparkSession, d: str) -> DataFrame:
+def extract_sections(spark: SparkSession, d: str, docs: Callable = latex_documents) -> DataFrame:
     """ST-5, ST-8: the related-work section and the main body."""
-    return latex_documents(spark, d).select("doc_id", F.md5(latex.related_work(F.col(_T))).alias("related"), F.md5(latex.main_body(F.col(_T))).alias("main"))
+    return docs(spark, d).select("doc_id", F.md5(latex.related_work(F.col(_T))).alias("related"), F.md5(latex.main_body(F.col(_T))).alias("main"))
 
 
 @query()
-def section_parts(spark: SparkSession, d: str) -> DataFrame:
+def section_parts(spark: SparkSession, d: str, docs: Callable = latex_documents) -> DataFrame:
     """ST-6, ST-7, ST-9, ST-16: introduction, related work by pattern, and the rest; compared to known sections in the tests."""
-    df = latex_documents(spark, d).select("doc_id", "t", latex.introduction(F.col(_T)).alias("intro"), latex.related_work_by_pattern(F.col(_T)).alias("related"))
+    df = docs(spark, d).select("doc_id", "t", latex.introduction(F.col(_T)).alias("intro"), latex.related_work_by_pattern(F.col(_T)).alias("related"))
     return df.select("doc_id", F.md5(latex.clean_section(F.col("intro"))).alias("intro"), F.md5("related").alias("related"), F.md5(latex.other_text(F.col(_T), F.col("intro"), F.col("related"))).alias("other"))
 
 
 @query(_SQL_TEX + r""" SELECT doc_id, md5('<|paper_start|> ' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\documentclass\{[^}]*\}', '', 'g'), '\\usepackage\{[^}]*\}', '', 'g'), '\\begin\{document\}', '', 'g'), '\\end\{document\}', '', 'g'), '^[ \t\r\f\v\n]+|[ \t\r\f\v\n]+$', '', 'g')) AS h FROM tex""")
-def clean_latex(spark: SparkSession, d: str) -> DataFrame:
+def clean_latex(spark: SparkSession, d: str, docs: Callable = latex_documents) -> DataFrame:
     """ST-33: a paper for the model."""
-    return latex_documents(spark, d).select("doc_id", F.md5(latex.clean_for_model(F.col(_T))).alias("h"))
+    return docs(spark, d).select("doc_id", F.md5(latex.clean_for_model(F.col(_T))).alias("h"))
 
 
 @query(_SQL_TEX + r""", k AS (SELECT doc_id, string_split(string_agg(g, ','), ',') AS keys FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\\(?:citep|citet|cite)\*?(?:\[[^\]]*\])*\{([^}]+)\}', 1)) AS g FROM tex) GROUP BY doc_id)
   SELECT doc_id, unnest(list_transform(keys, lambda x: trim(x))) AS key, unnest(range(len(keys))) AS pos FROM k""")
-def citations_explode(spark: SparkSession, d: str) -> DataFrame:
+def citations_explode(spark: SparkSession, d: str, docs: Callable = latex_documents) -> DataFrame:
     """ST-26, AG-9: cited keys in text order. The SQL lists the commands that occur."""
-    return latex_documents(spark, d).select("doc_id", F.posexplode(cite.cited_keys(F.col(_T))).alias("pos", "key")).select("doc_id", "key", F.col("pos").cast("long").alias("pos"))
+    return docs(spark, d).select("doc_id", F.posexplode(cite.cited_keys(F.col(_T))).alias("pos", "key")).select("doc_id", "key", F.col("pos").cast("long").alias("pos"))
 
 
 @query()
@@ -86,9 +98,21 @@ def citation_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_SQL_TEX + r""" SELECT doc_id, md5(regexp_replace(t, '~?[ \t\r\f\v\n]*\\(?:citep|citet|cite)(?:[ \t\r\f\v\n]*\[[^\]]*\])?[ \t\r\f\v\n]*\{[^}]+\}', '', 'g')) AS h FROM tex""")
-def remove_citations(spark: SparkSession, d: str) -> DataFrame:
+def remove_citations(spark: SparkSession, d: str, docs: Callable = latex_documents) -> DataFrame:
     """ST-27: texts without citations."""
-    return latex_documents(spark, d).select("doc_id", F.md5(cite.remove_citations(F.col(_T))).alias("h"))
+    return docs(spark, d).select("doc_id", F.md5(cite.remove_citations(F.col(_T))).alias("h"))
+
+
+def _over_whole_texts(f: Callable) -> None:
+    def whole(spark: SparkSession, d: str) -> DataFrame:
+        return f(spark, d, whole_documents)
+
+    whole.__name__, whole.__doc__ = f"{f.__name__}_whole", f"{f.__doc__} Over the whole texts, which the SQL doesn't read."
+    query()(whole)
+
+
+for _f in (strip_comments, clean_source, remove_floats, document_parts, extract_sections, section_parts, clean_latex, citations_explode, remove_citations):
+    _over_whole_texts(_f)
 
 
 _TOKENS = r"<\|(?:cite_\d+|multi_cite_\d+_\d+)\|>"
