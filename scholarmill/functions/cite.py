@@ -89,10 +89,12 @@ def expand_citations(text: Column, spans: Column) -> Column:
 
 def cut_after_sentences(c: Column, n: int = 3) -> Column:
     """(enough, text): the text up to the n-th sentence end before a blank or line end, citation spans not counted."""
-    small = shrink_citations(c)
-    head = F.regexp_extract(small.text, rf"(?s)^((?:.*?[.!?](?=[ \n])){{{n}}})", 1)
+    spans, mark = F.regexp_extract_all(c, F.lit(SPAN), 1), "\uffff"  # no character, so no text holds it
+    head = F.regexp_extract(F.array_join(F.split(c, SPAN), mark), rf"(?s)^((?:.*?[.!?](?=[ \n])){{{n}}})", 1)
+    span = lambda i: F.concat(F.lit("<|cite_start|>"), F.get(spans, i - 1), F.lit("<|cite_end|>"))
+    full = F.array_join(F.transform(F.split(head, mark), lambda p, i: F.when(i == 0, p).otherwise(F.concat(span(i), p))), "")
     enough = head != ""
-    return F.struct(enough.alias("enough"), expand_citations(F.when(enough, head).otherwise(small.text), small.spans).alias("text"))
+    return F.struct(enough.alias("enough"), F.when(enough, full).otherwise(c).alias("text"))
 
 
 def back_to_sentence(c: Column) -> Column:

@@ -141,8 +141,18 @@ def shrink_expand(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH p AS (SELECT doc_id, text, regexp_extract(text, '(?s)^((?:.*?[.!?][ \n]){3})', 1) AS h FROM documents WHERE text IS NOT NULL)
   SELECT doc_id, h <> '' AS enough, md5(CASE WHEN h <> '' THEN substr(h, 1, length(h) - 1) ELSE text END) AS head FROM p WHERE NOT contains(text, '<|cite_start|>')""")
 def three_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """ST-35, SM-1: documents cut after the third sentence."""
-    df = table(spark, d, "documents").filter(F.col("text").isNotNull() & ~F.contains("text", F.lit("<|cite_start|>"))).select("doc_id", cite.cut_after_sentences(F.col("text")).alias("c"))
+    """ST-35, SM-1: documents cut after the third sentence; those without citation spans, as the SQL doesn't model spans."""
+    return _cut_documents(spark, d, ~F.contains("text", F.lit("<|cite_start|>")))
+
+
+@query()
+def three_sentences_whole(spark: SparkSession, d: str) -> DataFrame:
+    """ST-35, SM-1: all documents cut after the third sentence, text inside citation spans ignored."""
+    return _cut_documents(spark, d, F.lit(True))
+
+
+def _cut_documents(spark: SparkSession, d: str, which: Column) -> DataFrame:
+    df = table(spark, d, "documents").filter(F.col("text").isNotNull() & which).select("doc_id", cite.cut_after_sentences(F.col("text")).alias("c"))
     return df.select("doc_id", "c.enough", F.md5("c.text").alias("head"))
 
 

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-TEXTS = ["a % b\nc " * 40 + "~\\cite{zz, yy} 50\\% {of} it % end", "short", "", None, "x" * 119 + "\\%" + "y" * 200 + "\n% gone\n" + "z" * 3000 + " \\citep{last}"]
+TEXTS = ["a % b\nc " * 40 + "~\\cite{zz, yy} 50\\% {of} it % end", "short", "", None, "A $0$ b <|cite_start|>P. Q. R $1$. S<|cite_end|> c. D! <|cite_start|>T. U<|cite_end|> e? F. G", "x" * 119 + "\\%" + "y" * 200 + "\n% gone\n" + "z" * 3000 + " \\citep{last}"]
 
 
 def md5(s):
@@ -45,4 +45,10 @@ def test_latex_operators_read_whole_texts(spark, data):
     for r in sorted(run(spark, "citations_explode_whole", data), key=lambda r: (r.doc_id, r.pos)):
         keys.setdefault(r.doc_id, []).append(r.key)
     cited = lambda t: [k.strip() for g in re.findall(r"\\(?:citep|citet|cite)\*?(?:\[[^\]]*\])*\{([^}]+)\}", t) for k in g.split(",")]
-    assert keys == {i: cited(t) for i, t in want.items()} and "last" in keys[4] and "zz" in keys[0]
+    assert keys == {i: cited(t) for i, t in want.items()} and "last" in keys[5] and "zz" in keys[0]
+
+
+def test_sentences_are_cut_outside_of_spans(spark, data):
+    heads = {r.doc_id: (r.enough, r.head) for r in run(spark, "three_sentences_whole", data)}
+    assert set(heads) == {0, 1, 2, 4, 5}
+    assert heads[4] == (True, md5(TEXTS[4].removesuffix(" F. G"))) and heads[1] == (False, md5("short"))
