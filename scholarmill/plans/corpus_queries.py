@@ -7,7 +7,7 @@ from scholarmill.functions.cite import as_reference, reference_span
 from scholarmill.functions.prompts import few_shot, first_line, spaced_markers
 from scholarmill.functions.titles import normalize_title, yymm
 from scholarmill.operators import assembly, rows
-from scholarmill.plans.registry import query
+from scholarmill.plans.registry import every_title, query
 from scholarmill.sources.tables import table
 
 _NORM = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))"
@@ -18,31 +18,42 @@ def _ascii(c: str):
     return F.col(c).rlike(r"^[ -~]*\z")
 
 
-def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Records with an ASCII title and its key; engines lower other letters differently."""
-    return table(spark, d, "corpus_data").filter(_ascii("title")).select("corpus_id", "paper_id", "title", "abstract", "source", normalize_title(F.col("title")).alias("norm"))
+def _titled(df: DataFrame, every: bool) -> DataFrame:
+    """Rows with a title, or with an ASCII one."""
+    return df.filter(F.col("title").isNotNull() if every else _ascii("title"))
+
+
+def _norm(every: bool):
+    """The key of a title; of one without ASCII letters and digits, if ``every``, the title itself, so that these stay apart."""
+    norm = normalize_title(F.col("title"))
+    return F.when(norm == "", F.trim(F.lower("title"))).otherwise(norm) if every else norm
+
+
+def _corpus(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    """Records with a title and its key; only ASCII ones unless ``every``, as engines lower other letters differently."""
+    return _titled(table(spark, d, "corpus_data"), every).select("corpus_id", "paper_id", "title", "abstract", "source", _norm(every).alias("norm"))
 
 
 _C = f"WITH c AS (SELECT *, {_NORM.format('title')} AS norm FROM corpus_data WHERE {_ASCII.format('title')})"
 
 
 @query(_C + " SELECT norm, min(corpus_id) AS corpus_id FROM c GROUP BY norm")
-def normalize_title_dedup_first(spark: SparkSession, d: str) -> DataFrame:
+def normalize_title_dedup_first(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """ST-14, AG-4, AG-6: the first record of each title."""
-    return rows.first_wins(_corpus(spark, d).select("norm", "corpus_id"), ["norm"], ["corpus_id"]).select("norm", "corpus_id")
+    return rows.first_wins(_corpus(spark, d, every).select("norm", "corpus_id"), ["norm"], ["corpus_id"]).select("norm", "corpus_id")
 
 
 @query(_C + " SELECT norm, max(corpus_id) AS corpus_id FROM c GROUP BY norm")
-def normalize_title_dedup_last(spark: SparkSession, d: str) -> DataFrame:
+def normalize_title_dedup_last(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """AG-5: the last record of each title."""
-    return rows.last_wins(_corpus(spark, d).select("norm", "corpus_id"), ["norm"], ["corpus_id"]).select("norm", "corpus_id")
+    return rows.last_wins(_corpus(spark, d, every).select("norm", "corpus_id"), ["norm"], ["corpus_id"]).select("norm", "corpus_id")
 
 
 @query(_C + ", f AS (SELECT norm, min(corpus_id) AS corpus_id FROM c GROUP BY norm)" + f" SELECT DISTINCT lookup_id, corpus_id FROM title_lookup t LEFT JOIN f ON f.norm = {_NORM.format('t.title')} WHERE t.title IS NOT NULL AND {_ASCII.format('t.title')}")
-def exact_match_lookup(spark: SparkSession, d: str) -> DataFrame:
+def exact_match_lookup(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """JN-8: lookups by exact title; a miss keeps its row."""
-    asked = table(spark, d, "title_lookup").filter(_ascii("title")).select("lookup_id", normalize_title(F.col("title")).alias("norm"))
-    return asked.join(normalize_title_dedup_first(spark, d), "norm", "left").select("lookup_id", "corpus_id").distinct()
+    asked = _titled(table(spark, d, "title_lookup"), every).select("lookup_id", _norm(every).alias("norm"))
+    return asked.join(normalize_title_dedup_first(spark, d, every), "norm", "left").select("lookup_id", "corpus_id").distinct()
 
 
 @query(
@@ -53,18 +64,22 @@ def exact_match_lookup(spark: SparkSession, d: str) -> DataFrame:
     CASE WHEN citation_corpus_id IS NOT NULL THEN 'given' WHEN f.v IS NOT NULL THEN 'exact' WHEN l.v IS NOT NULL THEN 'cache' WHEN b.v IS NOT NULL THEN 'bibtex' END AS resolved_by
   FROM q LEFT JOIN f ON f.norm = q.norm LEFT JOIN l ON l.title = q.title LEFT JOIN b ON b.citation_key = q.citation_key"""
 )
-def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
+def resolve_cascade(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """JN-3 to JN-7, JN-12, SE-3: citations resolved by their own id, exact title, cache and key, each step on the rest only."""
-    cited = table(spark, d, "citations").filter(_ascii("title")).select("arxiv_id", "pos", "title", "citation_key", "citation_corpus_id", normalize_title(F.col("title")).alias("norm")).distinct()
+    cited = _titled(table(spark, d, "citations"), every).select("arxiv_id", "pos", "title", "citation_key", "citation_corpus_id", _norm(every).alias("norm")).distinct()
     given = cited.filter(F.col("citation_corpus_id").isNotNull()).select("arxiv_id", "pos", F.col("citation_corpus_id").alias("value"), F.lit("given").alias("resolved_by"))
     rest = cited.filter(F.col("citation_corpus_id").isNull()).drop("citation_corpus_id")
-    exact = normalize_title_dedup_first(spark, d).withColumnRenamed("corpus_id", "value")
+    exact = normalize_title_dedup_first(spark, d, every).withColumnRenamed("corpus_id", "value")
     cache = table(spark, d, "title_lookup").filter(F.col("paperid").isNotNull() & F.col("title").isNotNull()).groupBy("title").agg(F.min("paperid").alias("value"))
     keys = table(spark, d, "bibtex").groupBy("citation_key").agg(F.min("id").alias("value"))
     found = rows.cascade(rest, [("exact", exact, "norm"), ("cache", cache, "title"), ("bibtex", keys, "citation_key")], "value")
     return given.unionByName(found.select("arxiv_id", "pos", "value", "resolved_by"))
 
 
+for _f in (normalize_title_dedup_first, normalize_title_dedup_last, exact_match_lookup, resolve_cascade):
+    every_title(_f)
+
+
 @query("""
   WITH p AS (SELECT DISTINCT lookup_id, title, abstract FROM title_lookup WHERE title IS NOT NULL), s AS (SELECT title, min(abstract) AS abstract FROM corpus_data WHERE title IS NOT NULL GROUP BY title)
   SELECT lookup_id, md5(coalesce(p.abstract, s.abstract)) AS abstract_md5 FROM p LEFT JOIN s USING (title)""")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarmill.functions import bib, cite, latex, titles
-from scholarmill.plans.registry import query
+from scholarmill.plans.registry import every_title, query
 from scholarmill.sources.tables import table
 
 # A document as LaTeX, the same concatenation in both engines.
@@ -199,15 +199,20 @@ def bib_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT DISTINCT corpus_id, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM corpus_data WHERE title IS NOT NULL AND regexp_matches(title, '^[ -~]*$')""")
-def normalize_titles(spark: SparkSession, d: str) -> DataFrame:
+def normalize_titles(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """ST-14: keys of exact matching. Compared where the title is ASCII; engines lower other letters differently."""
-    return table(spark, d, "corpus_data").filter(F.col("title").rlike(r"^[ -~]*\z")).select("corpus_id", titles.normalize_title(F.col("title")).alias("norm")).distinct()
+    which = F.col("title").isNotNull() if every else F.col("title").rlike(r"^[ -~]*\z")
+    return table(spark, d, "corpus_data").filter(which).select("corpus_id", titles.normalize_title(F.col("title")).alias("norm")).distinct()
 
 
 @query(r"""WITH c AS (SELECT DISTINCT arxiv_id, pos, title FROM citations WHERE title IS NOT NULL AND regexp_matches(title, '^[ -~]*$')),
   x AS (SELECT arxiv_id, pos, regexp_replace(replace(replace(replace(replace(title, '}', ''), '\\', ' '), '\&', '&'), '''''', '"'), '\s+', ' ', 'g') AS t FROM c WHERE NOT contains(title, '{') AND NOT contains(title, '`'))
   SELECT arxiv_id, pos, lower(trim(regexp_replace(trim(t), '[^\w\s\-.,;:!?&()\[\]"''/$]', '', 'g'))) AS key FROM x""")
-def citation_titles(spark: SparkSession, d: str) -> DataFrame:
+def citation_titles(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """ST-13: join keys of cited titles. Compared where the title is ASCII and holds no command."""
     plain = F.col("title").rlike(r"^[ -~]*\z") & ~F.contains("title", F.lit("{")) & ~F.contains("title", F.lit("`"))
-    return table(spark, d, "citations").filter(plain).select("arxiv_id", "pos", "title").distinct().select("arxiv_id", "pos", titles.join_title(F.col("title")).alias("key"))
+    return table(spark, d, "citations").filter(F.col("title").isNotNull() if every else plain).select("arxiv_id", "pos", "title").distinct().select("arxiv_id", "pos", titles.join_title(F.col("title")).alias("key"))
+
+
+for _f in (normalize_titles, citation_titles):
+    every_title(_f)

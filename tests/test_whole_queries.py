@@ -52,3 +52,28 @@ def test_sentences_are_cut_outside_of_spans(spark, data):
     heads = {r.doc_id: (r.enough, r.head) for r in run(spark, "three_sentences_whole", data)}
     assert set(heads) == {0, 1, 2, 4, 5}
     assert heads[4] == (True, md5(TEXTS[4].removesuffix(" F. G"))) and heads[1] == (False, md5("short"))
+
+
+def norm(t):
+    return re.sub("[^a-z0-9]+", " ", t.lower()).strip(" ")
+
+
+def test_every_title_takes_part(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("titles"))
+    titles = ["Naïve Bayes", "naïve  bayes!", "Plain Title", "Größe Zero", "日本", None, "\\emph{Deep} ``Nets''", "中国"]
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{d}/{name}.parquet")
+    write("corpus_data", [(f"c{i}", f"p{i}", t, "a", "ss") for i, t in enumerate(titles)], "corpus_id string, paper_id string, title string, abstract string, source string")
+    write("title_lookup", [(i, t, f"l{i}") for i, t in enumerate(titles)], "lookup_id long, title string, paperid string")
+    write("citations", [("x", i, t, f"k{i}", "given" if i == 3 else None) for i, t in enumerate([*titles, "Öther"])], "arxiv_id string, pos int, title string, citation_key string, citation_corpus_id string")
+    write("bibtex", [("b8", "k8")], "id string, citation_key string")
+    key = lambda t: norm(t) or t
+    have = [(f"c{i}", key(t)) for i, t in enumerate(titles) if t]
+    first, last = {n: min(c for c, m in have if m == n) for _, n in have}, {n: max(c for c, m in have if m == n) for _, n in have}
+    assert {r.norm: r.corpus_id for r in run(spark, "normalize_title_dedup_first_every", d)} == first
+    assert {r.norm: r.corpus_id for r in run(spark, "normalize_title_dedup_last_every", d)} == last
+    assert {r.corpus_id: r.norm for r in run(spark, "normalize_titles_every", d)} == {f"c{i}": norm(t) for i, t in enumerate(titles) if t}
+    assert {r.lookup_id: r.corpus_id for r in run(spark, "exact_match_lookup_every", d)} == {i: first[key(t)] for i, t in enumerate(titles) if t}
+    got = {r.pos: (r.value, r.resolved_by) for r in run(spark, "resolve_cascade_every", d)}
+    assert got == {i: ("given", "given") if i == 3 else (first[key(t)], "exact") for i, t in enumerate(titles) if t} | {8: ("b8", "bibtex")}
+    keys = {r.pos: r.key for r in run(spark, "citation_titles_every", d)}
+    assert keys == {0: "naïve bayes", 1: "naïve bayes!", 2: "plain title", 3: "größe zero", 4: "日本", 6: 'deep "nets"', 7: "中国", 8: "öther"}
