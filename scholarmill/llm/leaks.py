@@ -29,17 +29,20 @@ BLOCK = 2000  #: passages that are searched at a time
 class Passages:
     """The passages to search: distinct word sequences without instruction lines, and their phrases."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], shared_lines: set[tuple[str, ...]] | None = None):
+        """``shared_lines``: the phrases of instruction lines; None has them found among ``items``."""
         seqs: dict[tuple[str, ...], list[int]] = {}
         for item, text in items:
             seqs.setdefault(tuple(words(text)), []).append(item)
-        lines = Counter(g for s in seqs for g in {s[i : i + SHARED_WORDS] for i in range(len(s) - SHARED_WORDS + 1)})
+        if shared_lines is None:
+            lines = Counter(g for s in seqs for g in {s[i : i + SHARED_WORDS] for i in range(len(s) - SHARED_WORDS + 1)})
+            shared_lines = {g for g, n in lines.items() if n >= SHARED}
         parts: dict[tuple[str, ...], set[int]] = {}
         for s, ids in seqs.items():
             shared = np.zeros(len(s) + 1, bool)
             shared[-1] = True
             for i in range(len(s) - SHARED_WORDS + 1):
-                if lines[s[i : i + SHARED_WORDS]] >= SHARED:
+                if s[i : i + SHARED_WORDS] in shared_lines:
                     shared[i : i + SHARED_WORDS] = True
             start = 0
             for end in np.flatnonzero(shared):
@@ -172,21 +175,39 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def shared_phrases(items: DataFrame, text: str) -> set[tuple[str, ...]]:
+    """Phrases of SHARED_WORDS words in at least SHARED distinct passages, counted over all items."""
+
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(words(t)) for t in batch.column(0).to_pylist()], pa.string())], names=["s"])
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = (t.split(" ") for t in batch.column(0).to_pylist())
+            found = [g for w in cut for g in {" ".join(w[i : i + SHARED_WORDS]) for i in range(len(w) - SHARED_WORDS + 1)}]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["g"])
+
+    each = items.select(text).filter(F.length(text) > 0).mapInArrow(sequences, "s string").distinct().mapInArrow(phrases, "g string")
+    return {tuple(r[0].split(" ")) for r in each.groupBy("g").count().filter(F.col("count") >= SHARED).select("g").collect()}
+
+
 def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(key, item_ids, spans): the documents that hold passages of ``items``, which passages, and where.
 
     spans are (first word, end word) in the document's words, merged. Null, empty and short texts leak nothing; items of
     the same passage leak together. The passages are a stated query set, searched in blocks of BLOCK against all rows;
-    phrases are judged shared within a block.
+    which phrases are shared is counted over all items before.
     """
     kind = dict(documents.dtypes)[key]
     n_items = items.count()
     rows = items.select(item_key, item_text).orderBy(item_key)
+    lines = shared_phrases(items, item_text) if n_items > BLOCK else None
     found = None
     spark = documents.sparkSession
     for k in range(0, max(n_items, 1), BLOCK):
         part = rows.offset(k).limit(BLOCK).collect() if n_items > BLOCK else rows.collect()
-        sent = spark.sparkContext.broadcast(Passages([tuple(r) for r in part]))
+        sent = spark.sparkContext.broadcast(Passages([tuple(r) for r in part], lines))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for ids, docs in _shards(batches):

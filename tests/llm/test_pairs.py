@@ -190,3 +190,13 @@ def test_shortened_abstracts_match_by_title(spark):
     others = [("t", f"o{i}", t[1] + "q" + t[1:], " ".join(a[:14]), "Ann Lobanfel", 2015) for i, (t, a) in enumerate(zip(titles, abstracts))]
     got = {(r.paper_id, r.other_id) for r in entities.match(spark.createDataFrame(papers, PAPER), spark.createDataFrame(others, OTHER)).collect()}
     assert got == {(f"p{i}", f"o{i}") for i in range(60)}
+
+
+def test_instruction_lines_are_counted_over_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "BLOCK", 5)
+    rng = random.Random(12)
+    line = " ".join(rng.choices(VOCAB, k=24))
+    items = [(i, (line + " " if i % 2 else "") + " ".join(rng.choices(VOCAB, k=40))) for i in range(20)]
+    docs = [(0, line + " and more"), (1, "so " + items[3][1][len(line) :]), (2, items[4][1])]
+    found = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
+    assert {(r.doc_id, i) for r in found.collect() for i in r.item_ids} == {(1, 3), (2, 4)}
