@@ -73,8 +73,8 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_templates(spark: SparkSession, d: str) -> DataFrame:
-    """Equivalence classes of markup tokens over all values, and which are valid templates."""
-    return markup.classes(markup.pages(_values(spark, d), "part_id"))
+    """Equivalence classes of markup tokens over all values, which are valid, and the class that each nests in."""
+    return markup.templates(markup.pages(_values(spark, d), "part_id"))
 
 
 def _train(spark: SparkSession, d: str) -> DataFrame:

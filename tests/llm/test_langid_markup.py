@@ -108,3 +108,31 @@ def test_unlisted_tags_are_found_by_their_classes(spark):
     assert found == {0, 1, 2, 3, 4, 5, 10}
     got = {r.part_id: r.clean_text for r in markup.cleaned(vals, "part_id").collect()}
     assert [got[i] for i in range(len(text))] == ["a\nb", "x c", "d e", "f <once>", "g", "h", *text[6:]]
+
+
+def test_classes_nest_into_templates(spark, monkeypatch):
+    text = ["<ul><li>a</li></ul><p>b</p>", "<p>x</p><ul><li>c</li></ul>", "<ul><li>d</li></ul>", "<i>1</i><u>2</u>", "<u>1</u><i>2</i>", "<i><u>1</u></i>"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "part_id long, intro string")
+    vals = markup.values(df, "part_id", ("intro",))
+    pages = markup.pages(vals, "part_id")
+    found = {tuple(r.tokens): r for r in markup.templates(pages).collect()}
+    whole = found["</li>", "</ul>", "<li>", "<ul>"]
+    assert whole.valid and whole.n_pages == 3 and whole.parent_id is None
+    assert not found["</i>", "</u>", "<i>", "<u>"].valid  # their order differs
+    assert found[("any tag",)].valid and found[("any tag",)].n_pages == 6
+    text = ["<div>" + t * k + "</div>" for k, t in enumerate(["<b>x</b>"] * 4, 1)] + ["<div></div>"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "part_id long, intro string")
+    found = {tuple(r.tokens): r for r in markup.templates(markup.pages(markup.values(df, "part_id", ("intro",)), "part_id")).collect()}
+    assert found["</b>", "<b>"].valid and found["</b>", "<b>"].parent_id == found["</div>", "<div>"].class_id
+    # what is found and cleaned comes from the classes
+    none = markup.classes(pages).limit(0)
+    monkeypatch.setattr(markup, "classes", lambda paged: none)
+    assert markup.with_markup(pages, "part_id").count() == 0
+    assert {r.clean_text for r in markup.cleaned(vals, "part_id").collect()} == {r.intro for r in vals.select(markup.F.col("value").alias("intro")).collect()}
+
+
+def test_tokens_outside_of_the_template_stay():
+    assert markup.clean("**a** and \\emph{b}", {("latex", "\\emph")}) == "**a** and b"
+    assert markup.clean("**a** and \\emph{b}", {("markdown", "any strong")}) == "a and \\emph{b}"
+    assert markup.clean("**a**", set()) == "**a**"
+    assert markup.tokens("the $" + "x_1 + " * 200 + "y$ sum") and markup.tokens("``" + "long " * 200 + "quote''")
