@@ -36,31 +36,49 @@ LABELS = {
 LABEL_OF = {word: code for code, words in LABELS.items() for word in [code, *words.split()]}
 
 SENTENCE = re.compile(r"(?<=[.!?])[\"”’»)]*\s+|(?<=[。！？])\s*|\n\s*\n| / ")
-#: What doesn't count: commands, formulas, quotations, tokens, citations and entries of reference lists.
+#: What doesn't count: commands, formulas, quotations, tokens, citations and entries of reference lists. The alternatives
+#: are tried only where one can begin.
 ASIDE = re.compile(
-    r"^\s*\[\d+\].*$|^\s*\\bibitem.*$|^\s*@\w+\s*\{.*$|\[\d+\]\s*[„“\"][^”“\"\n]*[”“\"]|[“„][^”“\n]{0,600}[”“]|«[^»\n]{0,600}»|``.{0,600}?''|\"[^\"\n]{0,300}\"|"
-    r"@\w+\s*\{(?:[^{}]|\{[^{}]*\})*\}|^\s*\w+\s*=\s*[{\"].*$|\\(?:cite\w*|ref|label|footnote|href|url)\*?(?:\[[^\]]*\])?\{[^}]*\}|\$\$?[^$\n]{1,300}\$\$?|<\|[^|>]*\|>|\\[A-Za-z]+\*?|https?://\S+|</?\w+[^<>]*>",
+    r"(?=[\[“„«`\"@\\$<]|https?://|^\s*[\[\\@\w])(?:"
+    r"^\s*\[\d+\].*$|^\s*\\bibitem.*$|^\s*@\w+\s*\{.*$|\[\d+\]\s*[„“\"][^”“\"\n]*[”“\"]|[“„][^”“\n]*[”“]|«[^»\n]*»|``.*?''|\"[^\"\n]*\"|"
+    r"@\w+\s*\{(?:[^{}]|\{[^{}]*\})*\}|^\s*\w+\s*=\s*[{\"].*$|\\(?:cite\w*|ref|label|footnote|href|url)\*?(?:\[[^\]]*\])?\{[^}]*\}|\$\$?[^$\n]+\$\$?|<\|[^|>]*\|>|\\[A-Za-z]+\*?|https?://\S+|</?\w+[^<>]*>)",
     re.M,
 )
-FORMULA = re.compile(r"\$\$?[^$]{1,2000}\$\$?|<\|[^|>]*\|>|\\[A-Za-z]+\*?|https?://\S+")
+FORMULA = re.compile(r"\$\$?[^$]+\$\$?|<\|[^|>]*\|>|\\[A-Za-z]+\*?|https?://\S+")
 WORD = re.compile(r"[^\W\d_]{3,}|[\u3400-\u9fff]")
 SPACES = re.compile(r"[\W\d_]+")
 GRAMS, PROFILE = 4, 600
 SWITCH = 0.9  #: cost of a change of language, in sentences of clear evidence
 LEAST_SENTENCES = 2
+CHUNK = 1000  #: sentences compared at a time
+
+
+Sentence = tuple[str, int, int]
+
+
+def placed(text: str) -> list[Sentence]:
+    """(sentence, start, end) of the sentences of ``text`` with at least six letters, in order, in lower case with one space for all else."""
+    low = text.lower()
+    if len(low) != len(text):  # a few letters have two in lower case
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    out, at = [], 0
+    for a, b in [*(m.span() for m in SENTENCE.finditer(low)), (len(low), len(low))]:
+        if len(s := SPACES.sub(" ", low[at:a]).strip()) >= 6:
+            out.append((s, at, a))
+        at = b
+    return out
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences of ``text`` with at least six letters, in order, in lower case with one space for all else."""
-    rows = [SPACES.sub(" ", s).strip() for s in SENTENCE.split(text.lower()) if s]
-    return [s for s in rows if len(s) >= 6]
+    """The sentences of ``text`` without their places."""
+    return [s for s, _, _ in placed(text)]
 
 
-def counted(text: str) -> list[str]:
+def counted(text: str) -> list[Sentence]:
     """The sentences by which a text is judged: those outside asides, else all outside formulas; none without a word."""
     for aside in (ASIDE, FORMULA):
-        t = aside.sub(" ", text)
-        if WORD.search(t) and (found := sentences(t) or [SPACES.sub(" ", t.lower()).strip()]):
+        t = aside.sub(lambda m: " " * len(m[0]), text)
+        if WORD.search(t) and (found := placed(t) or [(SPACES.sub(" ", t.lower()).strip(), 0, len(t))]):
             return found
     return []
 
@@ -92,6 +110,40 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(nums), np.concatenate(codes)
 
 
+class Lookup:
+    """Numbers of known codes, found by two hashes each (a cuckoo table)."""
+
+    BITS = 16
+
+    def __init__(self, codes: np.ndarray):
+        size = 1 << self.BITS
+        for trial in range(100):
+            self.mul = [np.uint64(0x9E3779B97F4A7C15 * (2 * trial + 1) & (1 << 64) - 1), np.uint64(0xC2B2AE3D27D4EB4F * (2 * trial + 1) & (1 << 64) - 1)]
+            self.code, self.number = np.zeros((2, size), np.uint64), np.full((2, size), -1, np.int32)
+            if all(self._put(code, k) for k, code in enumerate(codes)):
+                return
+        raise ValueError("too many codes")
+
+    def _at(self, side: int, code):
+        return (code * self.mul[side]) >> np.uint64(64 - self.BITS)
+
+    def _put(self, code, number) -> bool:
+        with np.errstate(over="ignore"):
+            for k in range(64):
+                at = int(self._at(k % 2, code))
+                self.code[k % 2, at], code = code, self.code[k % 2, at].copy()
+                self.number[k % 2, at], number = number, int(self.number[k % 2, at])
+                if number < 0:
+                    return True
+        return False
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The number of each code, -1 where it is not known."""
+        a, b = self._at(0, codes), self._at(1, codes)
+        second = np.where(self.code[1][b] == codes, self.number[1][b], -1)
+        return np.where((self.code[0][a] == codes) & (self.number[0][a] >= 0), self.number[0][a], second)
+
+
 class Profiles:
     """Rank-order profiles: the most frequent n-grams of each language."""
 
@@ -102,28 +154,36 @@ class Profiles:
         for lang, rows in texts.items():
             code, n = np.unique(_codes(rows)[1], return_counts=True)
             ranked[lang] = code[np.lexsort((code, -n))][:size]
-        self.codes = np.unique(np.concatenate(list(ranked.values())))
-        self.ranks = np.full((len(self.codes), len(texts)), size, np.int32)
+        codes = np.unique(np.concatenate(list(ranked.values())))
+        ranks = np.full((len(codes), len(texts)), 4 * size, np.int16)  # so far off that the distance is the most there is
         for k, code in enumerate(ranked.values()):
-            self.ranks[np.searchsorted(self.codes, code), k] = np.arange(len(code))
-        self.common = self.ranks.min(axis=1)
+            ranks[np.searchsorted(codes, code), k] = np.arange(len(code))
+        order = np.lexsort((codes, ranks.min(axis=1)))  # of equally frequent n-grams the generally more frequent is first
+        self.ranks = ranks[order]
+        self.lookup = Lookup(codes[order])
 
     def distances(self, texts: list[str]) -> np.ndarray:
         """Out-of-place distance of each text to each language, from 0 to 1 for each n-gram that some profile has."""
         num, code = _codes(texts)
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        hit = self.codes[at] == code
-        pair, n = np.unique(num[hit].astype(np.int64) * len(self.codes) + at[hit], return_counts=True)
-        row, gram = pair // len(self.codes), pair % len(self.codes)
-        order = np.lexsort((gram, self.common[gram], -n, row))  # most frequent first; of equal ones the generally more frequent
-        row, gram = row[order], gram[order]
-        first = np.searchsorted(row, np.arange(len(texts)))
-        rank = np.arange(len(row)) - first[row] if len(row) else row
-        own = self.ranks[gram]
-        cost = np.where(own == self.size, self.size, np.abs(own - rank[:, None].astype(np.int32))).clip(0, self.size)
-        count = np.bincount(row, minlength=len(texts))
-        out = np.stack([np.bincount(row, cost[:, k], len(texts)) for k in range(cost.shape[1])], axis=1)
-        return out / (np.maximum(count, 1) * float(self.size))[:, None]
+        gram = self.lookup.find(code)
+        hit = gram >= 0
+        bits = len(self.ranks).bit_length()
+        pair = np.sort(num[hit] << bits | gram[hit])
+        ends = np.flatnonzero(np.diff(pair, append=-1))
+        n = np.diff(ends, prepend=-1)
+        pair, most = pair[ends], int(n.max(initial=0))
+        wide = most.bit_length()
+        key = np.sort((pair >> bits) << (bits + wide) | (most - n) << bits | pair & (1 << bits) - 1)  # most frequent first
+        row, gram = key >> (bits + wide), key & (1 << bits) - 1
+        out = np.zeros((len(texts), len(self.languages)))
+        if not len(row):
+            return out
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        count = np.diff(first, append=len(row))
+        rank = np.arange(len(row)) - np.repeat(first, count)
+        cost = np.minimum(np.abs(self.ranks[gram] - rank[:, None].astype(np.int16)), self.size)
+        out[row[first]] = np.add.reduceat(cost, first, axis=0, dtype=np.int32) / (count * float(self.size))[:, None]
+        return out
 
 
 def best_path(cost: np.ndarray, switch: float) -> np.ndarray:
@@ -143,20 +203,26 @@ def best_path(cost: np.ndarray, switch: float) -> np.ndarray:
     return path
 
 
-def segments(texts: list[str | None], profiles: Profiles, switch: float = SWITCH) -> list[list[tuple[str, int, float]]]:
-    """(language, sentences, confidence) of the segments of each text; none for a text without words.
+Segment = tuple[str, int, float, int, int]
 
-    The confidence is one minus the ratio of the distances of the best and the next language, mapped to 0.5 to 1.
+
+def segments(texts: list[str | None], profiles: Profiles, switch: float = SWITCH) -> list[list[Segment]]:
+    """(language, sentences, confidence, start, end) of the segments of each text; none for a text without words.
+
+    The confidence is a logistic of the mean distance of the next language less that of the best one; start and end are
+    the places of the first and behind the last counted sentence in the text.
     """
     parts = [counted(t) if t else [] for t in texts]
-    flat = [s for p in parts for s in p]
-    if not flat:
+    number: dict[str, int] = {}  # repeated sentences are compared once
+    flat = np.array([number.setdefault(s, len(number)) for p in parts for s, _, _ in p], np.int64)
+    if not len(flat):
         return [[] for _ in texts]
-    dist = np.concatenate([profiles.distances(flat[i : i + 4000]) for i in range(0, len(flat), 4000)])
+    each = list(number)
+    dist = np.concatenate([profiles.distances(each[i : i + CHUNK]) for i in range(0, len(each), CHUNK)])
     # evidence of a sentence: how much worse than the best each language is, against the usual gap
     gap = (dist - dist.min(axis=1, keepdims=True)) / 0.05
-    gap *= np.minimum(1.0, np.fromiter(map(len, flat), float, len(flat)) / 45)[:, None]
-    gap = np.minimum(gap, 2.0)
+    gap *= np.minimum(1.0, np.fromiter(map(len, each), float, len(each)) / 45)[:, None]
+    dist, gap = dist[flat], np.minimum(gap, 2.0)[flat]
     out, k = [], 0
     for p in parts:
         n = len(p)
@@ -170,7 +236,7 @@ def segments(texts: list[str | None], profiles: Profiles, switch: float = SWITCH
             while j < n and path[j] == path[i]:
                 j += 1
             d = np.sort(dist[k + i : k + j].mean(axis=0))
-            segs.append((profiles.languages[path[i]], j - i, float(1 / (1 + np.exp(-(d[1] - d[0]) / 0.02)))))
+            segs.append((profiles.languages[path[i]], j - i, float(1 / (1 + np.exp(-(d[1] - d[0]) / 0.02))), p[i][1], p[j - 1][2]))
             i = j
         out.append(segs)
         k += n
@@ -194,15 +260,15 @@ def fitted(documents: DataFrame, text: str, sample: int = 3000) -> Profiles:
     rows = some.filter(h <= last).select(text, h.alias("_h")).dropDuplicates(["_h"]).orderBy("_h").select(text).collect() if last is not None else []
     texts = {k: sentences(v) for k, v in SEEDS.items()}
     seen: set[int] = set()
-    flat = [s for r in rows for s in counted(r[0])]
-    for i in range(0, len(flat), 4000):
-        d = first.distances(flat[i : i + 4000])
+    flat = [s for r in rows for s, _, _ in counted(r[0])]
+    for i in range(0, len(flat), CHUNK):
+        d = first.distances(flat[i : i + CHUNK])
         two = np.partition(d, 1, axis=1)[:, :2]
-        for s, k, clear in zip(flat[i : i + 4000], d.argmin(axis=1), two[:, 1] - two[:, 0] > 0.03):
+        for s, k, clear in zip(flat[i : i + CHUNK], d.argmin(axis=1), two[:, 1] - two[:, 0] > 0.03):
             if clear and (h := zlib.crc32(s.encode())) not in seen:
                 seen.add(h)
                 texts[first.languages[k]].append(s)
-    return Profiles({k: v[:400] for k, v in texts.items()})
+    return Profiles(texts)
 
 
 def label(raw: str | None) -> str | None:
@@ -213,10 +279,10 @@ def label(raw: str | None) -> str | None:
     return LABEL_OF.get(word)
 
 
-def main_languages(segs: list[tuple[str, int, float]], least: int = LEAST_SENTENCES) -> list[tuple[str, int, float]]:
+def main_languages(segs: list[Segment], least: int = LEAST_SENTENCES) -> list[tuple[str, int, float]]:
     """(language, sentences, confidence) of the languages with at least ``least`` sentences, else of the most frequent one."""
     total: dict[str, list[float]] = {}
-    for lang, n, conf in segs:
+    for lang, n, conf, *_ in segs:
         t = total.setdefault(lang, [0, 0.0])
         t[0] += n
         t[1] += n * conf
@@ -229,23 +295,27 @@ def detect(df: DataFrame, key: str, text: str, lang: str, profiles: Profiles) ->
     """(key, label, languages, segments) of each row.
 
     label is the language that the given label names (null where none of the nine), languages an array of (lang,
-    sentences, confidence), segments one of (lang, sentences, confidence) in the order of the text. Null, empty and
-    wordless texts have empty arrays.
+    n_sentences, confidence), segments one of (lang, n_sentences, confidence, first_char, end_char) in the order of the
+    text. Null, empty and wordless texts have empty arrays.
     """
     sent = df.sparkSession.sparkContext.broadcast(profiles)
-    item = pa.struct([("lang", pa.string()), ("n_sentences", pa.int32()), ("confidence", pa.float64())])
+    fields = [("lang", pa.string()), ("n_sentences", pa.int32()), ("confidence", pa.float64()), ("first_char", pa.int32()), ("end_char", pa.int32())]
     names = [key, "label", "languages", "segments"]
-    kind = "array<struct<lang:string,n_sentences:int,confidence:double>>"
+    kind = "array<struct<lang:string,n_sentences:int,confidence:double{}>>"
+
+    def as_rows(rows: list[list[tuple]], n: int) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+        flat = [x for r in rows for x in r]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array([x[k] for x in flat], t) for k, (_, t) in enumerate(fields[:n])], names=[f for f, _ in fields[:n]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             segs = segments(batch.column(1).to_pylist(), sent.value)
             labels = [label(x) for x in batch.column(2).to_pylist()]
-            as_rows = lambda rows: pa.array([[dict(zip(("lang", "n_sentences", "confidence"), r)) for r in x] for x in rows], pa.list_(item))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), as_rows(map(main_languages, segs)), as_rows(segs)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), as_rows(list(map(main_languages, segs)), 3), as_rows(segs, 5)], names=names)
 
     key_kind = dict(df.dtypes)[key]
-    return df.select(key, text, lang).mapInArrow(run, f"`{key}` {key_kind}, label string, languages {kind}, segments {kind}")
+    return df.select(key, text, lang).mapInArrow(run, f"`{key}` {key_kind}, label string, languages {kind.format('')}, segments {kind.format(',first_char:int,end_char:int')}")
 
 
 def mislabelled(found: DataFrame, key: str) -> DataFrame:

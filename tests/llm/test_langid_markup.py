@@ -21,8 +21,8 @@ def profiles():
 
 @pytest.mark.parametrize("lang", HELD_OUT)
 def test_held_out_language(profiles, lang):
-    ((found, n, conf),) = langid.segments([HELD_OUT[lang]], profiles)[0]
-    assert found == lang and n == 2 and conf > 0.5
+    ((found, n, conf, start, end),) = langid.segments([HELD_OUT[lang]], profiles)[0]
+    assert found == lang and n == 2 and conf > 0.5 and (start, end) == (0, len(HELD_OUT[lang]))
 
 
 def test_segments(profiles):
@@ -34,6 +34,27 @@ def test_segments(profiles):
     assert len(langid.segments([HELD_OUT["fr"] * 3000], profiles)[0]) == 1
 
 
+def test_segments_tell_their_place(profiles):
+    text = "İ. “Guillemets” " + HELD_OUT["en"] + "\n\n" + HELD_OUT["de"] + "  $x$"
+    a, b = langid.segments([text], profiles)[0]
+    assert text[a[3] : a[4]].strip().endswith(HELD_OUT["en"]) and text[b[3] : b[4]] == HELD_OUT["de"]
+
+
+def test_distances_against_plain_python(profiles):
+    texts = sum((langid.sentences(t) for t in HELD_OUT.values()), []) + ["xqzj qqq", "a", "the the the of of"]
+    got = profiles.distances(texts)
+    codes = {int(c): n for side in (0, 1) for c, n in zip(profiles.lookup.code[side], profiles.lookup.number[side]) if n >= 0}
+    for t, row in zip(texts, got):
+        n: dict[int, int] = {}
+        for c in langid._codes([t])[1].tolist():
+            if c in codes:
+                n[codes[c]] = n.get(codes[c], 0) + 1
+        order = sorted(n, key=lambda g: (-n[g], g))
+        for k in range(len(profiles.languages)):
+            want = sum(min(abs(int(profiles.ranks[g, k]) - i), profiles.size) for i, g in enumerate(order))
+            assert abs(row[k] - want / max(1, len(order)) / profiles.size) < 1e-9
+
+
 def test_labels():
     for raw, want in {"EN": "en", "en-GB": "en", "English": "en", "nld": "nl", "zh-Hans": "zh", "por": "pt", " de ": "de", "unk": None, "und": None, "": None, None: None, "sv": None}.items():
         assert langid.label(raw) == want
