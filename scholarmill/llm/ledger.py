@@ -1,8 +1,8 @@
 """Duplicates hidden by formatting: an incremental ledger of canonical keys.
 
 A record's canonical key hashes its values without white space, letter case and punctuation, each in its field. The
-ledger is a table of (bucket, key, count, earliest representative); a new batch is aggregated, joined by a full outer
-join to the buckets that it touches, and the counts are added.
+ledger is a table of (bucket, key, count, earliest representative), a folder for each bucket; a new batch is aggregated,
+joined by a full outer join to the buckets that it touches, and the counts are added. Only those are read and written.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scholarmill.plans.stage import stage
 
-BUCKETS = 256
+BUCKETS = 64  #: of each source
 KEY = ["source_name", "bucket", "h1", "h2"]
 LEDGER = "source_name string, bucket int, h1 long, h2 long, copies long, keep_id string, last_id string"
 #: A key is hot from this share of all rows on; so there are at most 1 / HOT_SHARE hot keys, whatever the data.
@@ -46,12 +46,15 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
 def add_batch(ledger: DataFrame, rows: DataFrame) -> DataFrame:
     """The ledger after a batch of keyed rows: counts added, the smallest id kept as representative.
 
-    Only buckets that the batch touches are joined; there are at most BUCKETS of them for each source, so the list of
-    touched buckets is small at any size. The others are carried over as they are.
+    Only buckets that the batch touches are read, joined and written, as folders of a new stage table; there are at most
+    BUCKETS of them for each source, so their list is small at any size. The others stay in the files that hold them.
     """
     new = stage(batch_counts(rows))
-    touched = F.broadcast(new.select("source_name", "bucket").distinct())
-    old, b = ledger.join(touched, ["source_name", "bucket"], "left_semi").alias("old"), new.alias("new")
+    touched = [(r[0], r[1]) for r in new.select("source_name", "bucket").distinct().collect()]
+    hit = F.lit(False)
+    for source in sorted({t[0] for t in touched}):
+        hit = hit | ((F.col("source_name") == source) & F.col("bucket").isin(sorted(b for t, b in touched if t == source)))
+    old, b = ledger.filter(hit).alias("old"), new.alias("new")
     on = [F.col(f"old.{k}") == F.col(f"new.{k}") for k in KEY]
     pick = lambda f, c: f(F.coalesce(F.col(f"old.{c}"), F.col(f"new.{c}")), F.coalesce(F.col(f"new.{c}"), F.col(f"old.{c}")))
     joined = old.join(b, on, "full_outer").select(
@@ -60,7 +63,8 @@ def add_batch(ledger: DataFrame, rows: DataFrame) -> DataFrame:
         pick(F.least, "keep_id").alias("keep_id"),
         pick(F.greatest, "last_id").alias("last_id"),
     )
-    return stage(joined.unionByName(ledger.join(touched, ["source_name", "bucket"], "left_anti")))
+    written = stage(joined.repartition("source_name", "bucket"), partition_by=["source_name", "bucket"])
+    return written.select(*ledger.columns).unionByName(ledger.filter(~hit))
 
 
 def members(ledger: DataFrame, rows: DataFrame) -> DataFrame:

@@ -95,11 +95,17 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The keyed rows of both tables and the ledger after both have been added, a batch each."""
-    corpus, raw = ledger.corpus_keys(table(spark, d, "corpus_data")), ledger.lookup_keys(table(spark, d, "lookup_raw"))
-    rows = ledger.stage(corpus.unionByName(raw))
-    book = ledger.add_batch(ledger.empty_ledger(spark), rows.filter("source_name = 'corpus_data'"))
-    return ledger.add_batch(book, rows.filter("source_name = 'lookup_raw'")), rows
+    """The keyed rows of both tables and the ledger after two batches of both: arXiv's records and the earlier half of the
+    payloads by id, then the rest, whose counts are added to those of the first."""
+    corpus, raw = table(spark, d, "corpus_data"), table(spark, d, "lookup_raw")
+    arxiv, middle = F.col("source").eqNullSafe("arxiv"), raw.agg(F.percentile_approx("raw_id", 0.5)).first()[0]
+    early = F.col("raw_id") <= F.lit(middle).cast("long")
+    book, rows = ledger.empty_ledger(spark), None
+    for some_corpus, some_raw in ((arxiv, early), (~arxiv, ~F.coalesce(early, F.lit(False)))):
+        batch = ledger.stage(ledger.corpus_keys(corpus.filter(some_corpus)).unionByName(ledger.lookup_keys(raw.filter(some_raw))))
+        book = ledger.add_batch(book, batch)
+        rows = batch if rows is None else rows.unionByName(batch)
+    return book, rows
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -91,6 +91,15 @@ def test_ledger_of_two_batches_equals_one(spark):
     assert ledger.members(ledger.empty_ledger(spark), both.limit(0)).count() == 0
 
 
+def test_only_touched_buckets_are_written(spark):
+    book = ledger.add_batch(ledger.empty_ledger(spark), rows_of(spark, [(f"c{i}", f"t{i}", None, "k") for i in range(300)]))
+    old = {f.rpartition("/")[0] for f in book.inputFiles()}
+    more = ledger.add_batch(book, rows_of(spark, [("a", "T 1", None, "k"), ("b", "T-1", None, "k")]))
+    new = {f.rpartition("/")[0] for f in more.inputFiles()} - old
+    assert len(old) > 50 and len(new) == 1 and "source_name=corpus_data/bucket=" in new.pop()
+    assert {r.keep_id: r.copies for r in more.filter("copies > 1").collect()} == {"a": 3} and more.count() == 300
+
+
 def test_hot_group_takes_the_bounded_path(spark, monkeypatch):
     monkeypatch.setattr(ledger, "HOT_LEAST", 3)
     df = spark.range(300).select(F.format_string("c%04d", "id").alias("corpus_id"), F.when(F.col("id") % 3 == 0, "Hot Title").otherwise(F.concat(F.lit("t"), F.col("id") % 150)).alias("title"), F.lit(None).cast("string").alias("abstract"))
