@@ -59,19 +59,31 @@ class WaveletMatrix:
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """Suffixes of ``seq`` in order, by doubling the compared length until all differ."""
+    """Suffixes of ``seq`` in order: sorted by as many symbols as fit into a number, then those that tie by twice as many, and so on."""
     n = len(seq)
-    rank = np.unique(seq, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        if new[order[-1]] == n - 1:
+    bits = max(1, int(seq.max()).bit_length())
+    step = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key <<= bits
+        key[: max(0, n - k)] |= seq[k:]
+    order = np.argsort(key)
+    sorted_, place = key[order], np.arange(n)
+    rank = np.empty(n, np.int64)
+    while True:  # ``place``: where those that are being sorted stand; a rank is the place of the first that ties
+        first = np.diff(sorted_, prepend=-1) != 0
+        group = np.flatnonzero(first)
+        size = np.diff(group, append=len(place))
+        rank[order[place]] = np.repeat(place[group], size)
+        place = place[np.repeat(size > 1, size)]
+        if not len(place):
             return order
-        rank, step = new, step * 2
+        some = order[place]
+        after = some + step
+        key = rank[some] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        order[place], sorted_ = some[by], key[by]
+        step *= 2
 
 
 class FMIndex:

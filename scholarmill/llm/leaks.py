@@ -1,11 +1,11 @@
 """Evaluation passages that occur, wholly or partly, in a corpus.
 
-Each shard of the corpus gets an FM-index over its words. The five-word phrases of all passages are searched backward
-in it and located; phrases of one passage that lie near one diagonal of a document are aligned exactly, and runs of at
-least 20 passage words with up to one word in eight changed, dropped or added are leaks. Spans of a document are merged.
+Each shard of the corpus gets one FM-index over its words, in which all passages are searched, a block at a time. Their
+four-word phrases are searched backward and located; where enough phrases of one passage lie near one diagonal of a
+document, the two are aligned by their longest common blocks, and runs of at least 20 passage words with up to one word
+in eight changed, dropped or added are leaks. Spans of a document are merged.
 """
 
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -18,7 +18,7 @@ from scholarmill.llm.fmindex import FMIndex
 from scholarmill.llm.words import words
 
 RUN, EDITS = 20, 8  #: words of a run; one edit in so many words
-PHRASE, HITS = 5, 5  #: a run of 20 words with 2 edits keeps 6 of its 16 phrases of five words, one of 24 with 3 edits 5 of 20
+PHRASE, HITS = 4, 5  #: a run of 20 words with 3 edits keeps at least 5 of its 17 phrases of four words, longer ones with one edit in eight more
 BAND = 8
 #: A phrase of SHARED_WORDS words in at least SHARED passages is an instruction line.
 SHARED_WORDS, SHARED = 10, 8
@@ -29,14 +29,11 @@ BLOCK = 2000  #: passages that are searched at a time
 class Passages:
     """The passages to search: distinct word sequences without instruction lines, and their phrases."""
 
-    def __init__(self, items: list[tuple[int, str | None]], shared_lines: set[tuple[str, ...]] | None = None):
-        """``shared_lines``: the phrases of instruction lines; None has them found among ``items``."""
+    def __init__(self, items: list[tuple[int, str | None]], shared_lines: set[tuple[str, ...]]):
+        """``shared_lines``: the phrases of instruction lines."""
         seqs: dict[tuple[str, ...], list[int]] = {}
         for item, text in items:
             seqs.setdefault(tuple(words(text)), []).append(item)
-        if shared_lines is None:
-            lines = Counter(g for s in seqs for g in {s[i : i + SHARED_WORDS] for i in range(len(s) - SHARED_WORDS + 1)})
-            shared_lines = {g for g, n in lines.items() if n >= SHARED}
         parts: dict[tuple[str, ...], set[int]] = {}
         for s, ids in seqs.items():
             shared = np.zeros(len(s) + 1, bool)
@@ -51,11 +48,11 @@ class Passages:
                 start = end + 1
         self.seqs = list(parts)
         self.ids = [sorted(parts[s]) for s in self.seqs]
-        vocabulary = sorted({w for s in self.seqs for w in s})
-        self.symbol = {w: k + 2 for k, w in enumerate(vocabulary)}  # 1 stands for all other words and document ends
+        self.vocabulary = sorted({w for s in self.seqs for w in s})
+        number = {w: k for k, w in enumerate(self.vocabulary)}
         grams: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for k, s in enumerate(self.seqs):
-            coded = [self.symbol[w] for w in s]
+            coded = [number[w] for w in s]
             for i in range(len(s) - PHRASE + 1):
                 grams.setdefault(tuple(coded[i : i + PHRASE]), []).append((k, i))
         self.phrases = np.array(list(grams), np.int32).reshape(-1, PHRASE)
@@ -65,6 +62,20 @@ class Passages:
         self.ends = np.concatenate([[0], np.cumsum([len(v) for v in grams.values()])]).astype(np.int64)
 
 
+class Shard:
+    """Documents with an FM-index over all their words; 1 stands for a document's end."""
+
+    def __init__(self, docs: list[list[str]]):
+        self.docs = docs
+        self.symbol: dict[str, int] = {}
+        size = np.array([len(d) + 1 for d in docs])
+        self.start = np.concatenate([[0], np.cumsum(size)])
+        seq = np.ones(int(self.start[-1]), np.int32)
+        for k, d in enumerate(docs):
+            seq[self.start[k] : self.start[k] + len(d)] = [self.symbol.setdefault(w, len(self.symbol) + 2) for w in d]
+        self.index = FMIndex(seq, len(self.symbol) + 1)
+
+
 def runs(passage: list[str], doc: list[str]) -> list[tuple[int, int, int, int]]:
     """(passage from, to, document from, to) of the longest runs in the two word lists that are leaks, not overlapping."""
     blocks = [b for b in SequenceMatcher(None, passage, doc, False).get_matching_blocks() if b.size]
@@ -87,24 +98,21 @@ def runs(passage: list[str], doc: list[str]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def search_shard(docs: list[list[str]], passages: Passages) -> list[tuple[int, int, int, int]]:
+def search_shard(shard: Shard, passages: Passages) -> list[tuple[int, int, int, int]]:
     """(document number, passage number, first word, end word in the document) of the leaks in a shard."""
-    if not len(passages.phrases):
+    number = np.array([shard.symbol.get(w, 0) for w in passages.vocabulary], np.int64)
+    coded = number[passages.phrases]
+    known = np.flatnonzero((coded > 0).all(axis=1))
+    if not len(known):
         return []
-    symbol = passages.symbol
-    size = np.array([len(d) + 1 for d in docs])
-    start = np.concatenate([[0], np.cumsum(size)])
-    seq = np.ones(int(start[-1]), np.int32)
-    for k, d in enumerate(docs):
-        seq[start[k] : start[k] + len(d)] = [symbol.get(w, 1) for w in d]
-    index = FMIndex(seq, len(symbol) + 1)
-    low, high = index.search(passages.phrases)
+    docs, start, index = shard.docs, shard.start, shard.index
+    low, high = index.search(coded[known])
     n = high - low
     hit = np.flatnonzero(n)
     if not len(hit):
         return []
     rows = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(n[hit])[:-1]]), n[hit]) + np.arange(int(n[hit].sum()))
-    where, phrase = index.locate(rows), np.repeat(hit, n[hit])
+    where, phrase = index.locate(rows), known[np.repeat(hit, n[hit])]
     times = passages.ends[phrase + 1] - passages.ends[phrase]
     out: list[tuple[int, int, int, int]] = []
     order = np.argsort(where)
@@ -131,7 +139,8 @@ def _aligned(docs, passages, start, doc, where, phrase, times) -> list[tuple[int
     doc, where = np.repeat(doc, times), np.repeat(where, times)
     base = doc[0]
     pair = (doc - base) * count + item
-    keep = np.bincount(pair)[pair] >= HITS  # too few phrases in the whole document
+    _, group, times = np.unique(pair, return_inverse=True, return_counts=True)
+    keep = times[group] >= HITS  # else too few phrases in the whole document
     pair, item, pos, doc, where = pair[keep], item[keep], pos[keep], doc[keep], where[keep]
     if not len(pair):
         return []
@@ -196,34 +205,40 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key:
     """(key, item_ids, spans): the documents that hold passages of ``items``, which passages, and where.
 
     spans are (first word, end word) in the document's words, merged. Null, empty and short texts leak nothing; items of
-    the same passage leak together. The passages are a stated query set, searched in blocks of BLOCK against all rows;
-    which phrases are shared is counted over all items before.
+    the same passage leak together. The passages are a stated query set, taken in order in blocks of BLOCK that are sent
+    to all tasks; each shard is indexed once and searched for one block after the other. Which phrases are shared is
+    counted over all items before.
     """
     kind = dict(documents.dtypes)[key]
-    n_items = items.count()
-    rows = items.select(item_key, item_text).orderBy(item_key)
-    lines = shared_phrases(items, item_text) if n_items > BLOCK else None
-    found = None
-    spark = documents.sparkSession
-    for k in range(0, max(n_items, 1), BLOCK):
-        part = rows.offset(k).limit(BLOCK).collect() if n_items > BLOCK else rows.collect()
-        sent = spark.sparkContext.broadcast(Passages([tuple(r) for r in part], lines))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for ids, docs in _shards(batches):
-                by: dict[int, list[tuple[int, int, int]]] = {}
-                for d, q, a, b in search_shard(docs, sent.value):
-                    by.setdefault(d, []).append((q, a, b))
-                if by:
-                    ds = sorted(by)
-                    item_ids = [sorted({i for q, _, _ in by[d] for i in sent.value.ids[q]}) for d in ds]
-                    spans = [[{"first": a, "end": b} for a, b in merged([(a, b) for _, a, b in by[d]])] for d in ds]
-                    span = pa.struct([("first", pa.int32()), ("end", pa.int32())])
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in ds], ids_type(kind)), pa.array(item_ids, pa.list_(pa.int64())), pa.array(spans, pa.list_(span))], names=[key, "item_ids", "spans"])
-
-        one = documents.select(key, text).filter(F.length(text) > 0).mapInArrow(run, f"`{key}` {kind}, item_ids array<bigint>, spans array<struct<first:int,end:int>>")
-        found = one if found is None else found.unionByName(one)
-    return found
+    lines = shared_phrases(items, item_text)
+    sent, block = [], []
+    for r in items.select(item_key, item_text).orderBy(item_key).toLocalIterator():
+        block.append(tuple(r))
+        if len(block) == BLOCK:
+            sent.append(documents.sparkSession.sparkContext.broadcast(Passages(block, lines)))
+            block = []
+    if block or not sent:
+        sent.append(documents.sparkSession.sparkContext.broadcast(Passages(block, lines)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, docs in _shards(batches):
+            shard = Shard(docs)
+            by: dict[int, tuple[set[int], list[tuple[int, int]]]] = {}
+            for one in sent:
+                passages = one.value
+                for d, q, a, b in search_shard(shard, passages):
+                    of, spans = by.setdefault(d, (set(), []))
+                    of.update(passages.ids[q])
+                    spans.append((a, b))
+                if len(sent) > 1:
+                    vars(one).pop("_value", None)  # one block in memory at a time
+            if by:
+                ds = sorted(by)
+                spans = [[{"first": a, "end": b} for a, b in merged(by[d][1])] for d in ds]
+                span = pa.struct([("first", pa.int32()), ("end", pa.int32())])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in ds], ids_type(kind)), pa.array([sorted(by[d][0]) for d in ds], pa.list_(pa.int64())), pa.array(spans, pa.list_(span))], names=[key, "item_ids", "spans"])
+
+    return documents.select(key, text).filter(F.length(text) > 0).mapInArrow(run, f"`{key}` {kind}, item_ids array<bigint>, spans array<struct<first:int,end:int>>")
 
 
 def ids_type(kind: str) -> pa.DataType:

@@ -61,6 +61,29 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaks(df, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
 
 
+def test_runs_with_three_edits_in_twenty_words_are_found():
+    rng = random.Random(21)
+    found = 0
+    for _ in range(300):
+        seq = [rng.choice(VOCAB) + rng.choice(VOCAB) for _ in range(40)]
+        run = seq[10:30]
+        for i in rng.sample(range(1, 19), 3):
+            run[i] = "changed"
+        doc = rng.choices(VOCAB, k=30) + run + rng.choices(VOCAB, k=30)
+        hits = leaks.search_shard(leaks.Shard([rng.choices(VOCAB, k=50), doc]), leaks.Passages([(7, " ".join(seq))], set()))
+        assert leaks.runs(seq, doc)
+        found += any(d == 1 for d, *_ in hits)
+    assert found == 300
+
+
+def test_suffix_array_against_sorting():
+    rng = np.random.default_rng(8)
+    for seq in (rng.integers(1, 4, 300), np.tile([1, 2], 200), np.ones(50, np.int64), rng.integers(1, 70_000, 500), np.array([1])):
+        seq = np.append(seq, 0).astype(np.int32)
+        want = sorted(range(len(seq)), key=lambda i: seq[i:].tolist())
+        assert fmindex.suffix_array(seq).tolist() == want
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
