@@ -118,14 +118,11 @@ def replace_citations(c: Column, keys: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(cite(i), p))), "")
 
 
-_RUN = re.compile(r"\\cite\{[^}]*\}(?:\s*\\cite\{[^}]*\})+")
-
-
-@F.pandas_udf(T.StringType())
-def merge_citations(texts: pd.Series) -> pd.Series:
+def merge_citations(c: Column) -> Column:
     r"""Runs of \cite{} with only white space between them as one \cite{a, b}."""
-    join = lambda m: "\\cite{" + ", ".join(re.findall(r"\\cite\{([^}]*)\}", m[0])) + "}"
-    return texts.map(lambda t: _RUN.sub(join, t) if t is not None else None)
+    marked = F.regexp_replace(c, r"\\cite\{([^}]*)\}", "\x02$1\x03")
+    joined = F.regexp_replace(marked, "(?U)\x03\\s*\x02", ", ")
+    return F.replace(F.replace(joined, F.lit("\x02"), F.lit("\\cite{")), F.lit("\x03"), F.lit("}"))
 
 
 def yield_words(text: Column, done: Column) -> Column:

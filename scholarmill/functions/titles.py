@@ -39,3 +39,9 @@ def citation_key(c: Column) -> Column:
 def yymm(arxiv_id: Column) -> Column:
     """The month prefix of an id."""
     return F.substring(arxiv_id, 1, 4)
+
+
+def byte_size(n: Column) -> Column:
+    """A number of bytes as B, KB, MB or GB, whole units, rounded down."""
+    unit = lambda k, name: F.concat(F.floor(n / (1 << k)).cast("string"), F.lit(name))
+    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, unit(10, " KB")).when(n < 1 << 30, unit(20, " MB")).otherwise(unit(30, " GB"))

@@ -20,3 +20,9 @@ def mean_pool(vectors: Column, mask: Column) -> Column:
     kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda p: p["m"] != 0), lambda p: p["v"])
     total = F.aggregate(kept, F.transform(F.get(kept, F.lit(0)), lambda x: x.cast("double") * 0), lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y.cast("double")))
     return F.transform(total, lambda x: x / F.size(kept))
+
+
+def last_token_pool(vectors: Column, mask: Column) -> Column:
+    """The vector of the last token whose mask isn't 0; null where there is none."""
+    last = F.array_max(F.transform(mask, lambda m, i: F.when(m != 0, i)))
+    return F.get(vectors, last)

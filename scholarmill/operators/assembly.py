@@ -1,14 +1,14 @@
 """Assembly of training rows: tokens filled in, papers segmented by a token budget, targets sampled, rows checked."""
 
+import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scholarmill.functions.cite import split_with_citations
+from scholarmill.functions.latex import let
 
 
 def count_tokens(c: Column) -> Column:
@@ -42,12 +42,14 @@ def segment(pieces: list[str], budget: int, count: Callable[[str], int], keep_lo
     return out + ([run] if run else [])
 
 
-def segments(df: DataFrame, key: str, text: str, budget: int, keep_long: bool = True, counter: Callable[[str], int] | None = None) -> DataFrame:
+def segments(df: DataFrame, key: str, text: str, budget: int, keep_long: bool = True, counter: Callable[[str], int] | None = None, back: bool = False) -> DataFrame:
     """(key, part, n_parts, paper, n_tokens): each text's segments, cut between texts and citation tokens.
 
     A text within the budget is one segment, unchanged; null and empty texts have none. Pieces of a segment are joined
-    without blanks.
+    without blanks. With ``back`` a segment ends behind its last citation token.
     """
+    citation = re.compile(r"<\|(?:cite_\d+|multi_cite_\d+_\d+)\|>")
+    cut_up = (lambda cut: segment_back(cut, budget, count, citation.fullmatch)) if back else (lambda cut: segment(cut, budget, count, keep_long))
     count = counter or (lambda s: len(s.split()))
     kind = dict(df.dtypes)[key]
     rows = df.select(F.col(key), F.col(text).alias("_text"), split_with_citations(F.col(text)).alias("_pieces")).filter(F.length("_text") > 0)
@@ -56,7 +58,7 @@ def segments(df: DataFrame, key: str, text: str, budget: int, keep_long: bool =
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("row", "part", "n_parts", "paper", "n_tokens")}
             for i, (whole, cut) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                found = [whole] if count(whole) <= budget else ["".join(r) for r in segment(cut, budget, count, keep_long)]
+                found = [whole] if count(whole) <= budget else ["".join(r) for r in cut_up(cut)]
                 for n, s in enumerate(found):
                     for c, v in zip(out, (i, n, len(found), s, count(s))):
                         out[c].append(v)
@@ -82,17 +84,43 @@ def training_row_faults(paper: Column, targets: Column, targets_idx: Column) ->
     return F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in faults.items()]), lambda x: x.isNotNull())
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def label_mask(tokens: pd.Series) -> pd.Series:
-    """For each token whether it is a label: tokens from behind a start marker to the end marker, this included, are not."""
+def label_mask(tokens: Column) -> Column:
+    """For each token whether it is a label: tokens from behind a start marker to the end marker, this included, are not.
 
-    def one(row) -> list[bool] | None:
-        if row is None:
-            return None
-        out, inside = [], False
-        for t in row:
-            out.append(not inside)
-            inside = t == "<|cite_start|>" or inside and t != "<|cite_end|>"
-        return out
+    Made in the JVM from the markers' places: up to the next marker all tokens have what the last one says. Null gives null.
+    """
+    placed = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda m: m.t.isin("<|cite_start|>", "<|cite_end|>"))
+    first = F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("t")))
+    runs = lambda marks: F.flatten(F.transform(marks, lambda m, k: F.array_repeat(m.t != "<|cite_start|>", F.coalesce(F.get(marks, k + 1).i, F.size(tokens) - 1) - m.i)))
+    return let(F.concat(first, placed), runs)
+
+
+def marker_positions(tokens: Column, marker: str, picks: Column | None = None) -> Column:
+    """The places (from 0) of a marker among tokens, or those of its occurrences that ``picks`` names, null where there is none."""
+    places = F.filter(F.transform(tokens, lambda t, i: F.when(t == marker, i)), lambda i: i.isNotNull())
+    return places if picks is None else F.transform(picks, lambda k: F.get(places, k))
 
-    return tokens.map(one)
+
+def segment_back(pieces: list[str], budget: int, count: Callable[[str], int], is_citation: Callable[[str], bool]) -> list[list[str]]:
+    """Runs of pieces of at most ``budget`` tokens that end with a citation: a run that is full goes back to its last one.
+
+    What is behind that citation opens the next run. A run without a citation ends where it is full; a piece over the
+    budget is a run of its own.
+    """
+    out: list[list[str]] = []
+    run: list[str] = []
+    sizes: list[int] = []
+    queue = list(reversed(pieces))
+    while queue:
+        p = queue.pop()
+        n = count(p)
+        if run and sum(sizes) + n > budget:
+            last = max((i for i, x in enumerate(run) if is_citation(x)), default=len(run) - 1)
+            back = run[last + 1 :]
+            out.append(run[: last + 1])
+            queue += [p, *reversed(back)]
+            run, sizes = [], []
+            continue
+        run.append(p)
+        sizes.append(n)
+    return out + ([run] if run else [])

@@ -70,6 +70,44 @@ def top_k_cosine(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def softmax_loss(vectors: DataFrame, queries: DataFrame, temperature: float, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
+    """(query_key, best, loss): cross-entropy of each query's nearest other row against all rows but itself.
+
+    The queries are taken in blocks; each task sums up its rows for a block. Rows without a vector of the common width
+    are left out on both sides, so is a row with the query's own key. Scores are rounded to 6 decimals.
+    """
+    rows = queries.select(query_key, vector).filter(F.col(vector).isNotNull() & F.col(query_key).isNotNull()).distinct()
+    n, spark, found = rows.count(), vectors.sparkSession, None
+    qkind = dict(queries.dtypes)[query_key]
+    for start in range(0, max(n, 1), QUERY_BLOCK):
+        part = (rows.orderBy(query_key).offset(start).limit(QUERY_BLOCK) if n > QUERY_BLOCK else rows).toArrow()
+        ids = part.column(0).to_pylist()
+        keep, q = _matrix(part.column(1).combine_chunks()) if len(ids) else (np.zeros(0, int), np.zeros((0, 0)))
+        sent = spark.sparkContext.broadcast(([ids[i] for i in keep], q))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, q = sent.value
+            total, best = np.zeros(len(names)), np.full(len(names), -np.inf)
+            at = {name: i for i, name in enumerate(names)}
+            for batch in batches:
+                rows, x = _matrix(batch.column(1), q.shape[1]) if names else ((), None)
+                if not len(rows):
+                    continue
+                keys = batch.column(0).to_pylist()
+                s = np.round(q @ x.T, 6) + 0.0
+                for j, r in enumerate(rows):
+                    if keys[r] in at:
+                        s[at[keys[r]], j] = -np.inf
+                total += np.exp(s / temperature).sum(axis=1)
+                best = np.maximum(best, s.max(axis=1))
+            hit = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in hit], _arrow(qkind)), pa.array(total[hit]), pa.array(best[hit])], names=[query_key, "total", "best"])
+
+        one = vectors.select(key, vector).mapInArrow(run, f"`{query_key}` {qkind}, total double, best double")
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy(query_key).agg(F.max("best").alias("best"), F.sum("total").alias("_t")).select(query_key, "best", (F.ln("_t") - F.col("best") / temperature).alias("loss"))
+
+
 def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 

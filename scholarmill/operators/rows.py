@@ -1,6 +1,7 @@
 """Operators on rows: first and last of a key, running numbers, batches, hash samples and splits, merges of sources."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,19 +62,23 @@ def split_into(df: DataFrame, order: Sequence[Column], n: int, name: str = "part
 def batches_by_bytes(df: DataFrame, order: Sequence[Column], text: str, limit: int, name: str = "batch") -> DataFrame:
     """Contiguous batches of about ``limit`` bytes: a row belongs to the batch in which its first byte lies.
 
-    Running sums are made in each range partition and offset by the sums of those before it.
+    Rows that tie in ``order`` stay together. Running sums are made over keys and sizes only, in each range partition, and
+    offset by the sums of those before it; texts are joined to their batch at the end.
     """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    ranged = stage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).withColumn("_size", size))
+    keyed = df.withColumns({f"_o{i}": c for i, c in enumerate(order)})
+    keys = [f"_o{i}" for i in range(len(order))]
+    sized = keyed.groupBy(*keys).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).alias("_size"))
+    ranged = stage(sized.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()))
     sums = sorted((r[0], r[1]) for r in ranged.groupBy("_part").agg(F.sum("_size")).collect())
     pairs, at = [], 0
     for part, n in sums:
         pairs += [F.lit(part), F.lit(at)]
         at += n
     base = F.element_at(F.create_map(*pairs), F.col("_part")) if pairs else F.lit(0)
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn(name, F.floor((base + before) / limit)).drop("_part", "_size")
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = ranged.select(*[F.col(k).alias(f"{k}_") for k in keys], F.floor((base + before) / limit).alias(name))
+    return keyed.join(found, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])).select(*df.columns, name)
 
 
 def hash_order(seed: str, *columns: Column) -> Column:

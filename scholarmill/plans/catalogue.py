@@ -1,6 +1,6 @@
 """The queries of the core and their SQL."""
 
-from scholarmill.plans import corpus_queries, retrieval_queries, text_queries  # noqa: F401
+from scholarmill.plans import corpus_queries, retrieval_queries, source_queries, text_queries  # noqa: F401
 from scholarmill.plans.registry import ORACLE, QUERIES, Query
 
 

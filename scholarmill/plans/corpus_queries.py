@@ -1,85 +1,73 @@
 """Queries of joins, aggregations, set operations, filters, samples and batches over the corpus tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholarmill.functions import bib
 from scholarmill.functions.cite import as_reference, reference_span
 from scholarmill.functions.prompts import few_shot, first_line, spaced_markers
-from scholarmill.functions.titles import normalize_title, yymm
+from scholarmill.functions.titles import byte_size, normalize_title, yymm
 from scholarmill.operators import assembly, rows
-from scholarmill.plans.registry import every_title, query
+from scholarmill.plans.registry import query
 from scholarmill.sources.tables import table
 
-_NORM = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))"
-_ASCII = "regexp_matches({}, '^[ -~]*$')"
+_NORMED = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))"
+_NORM = f"CASE WHEN {_NORMED} = '' THEN trim(lower({{0}})) ELSE {_NORMED} END"
 
 
-def _ascii(c: str):
-    return F.col(c).rlike(r"^[ -~]*\z")
-
-
-def _titled(df: DataFrame, every: bool) -> DataFrame:
-    """Rows with a title, or with an ASCII one."""
-    return df.filter(F.col("title").isNotNull() if every else _ascii("title"))
-
-
-def _norm(every: bool):
-    """The key of a title; of one without ASCII letters and digits, if ``every``, the title itself, so that these stay apart."""
+def _norm() -> Column:
+    """The key of a title; of one without ASCII letters and digits the title itself, so that these stay apart."""
     norm = normalize_title(F.col("title"))
-    return F.when(norm == "", F.trim(F.lower("title"))).otherwise(norm) if every else norm
+    return F.when(norm == "", F.trim(F.lower("title"))).otherwise(norm)
 
 
-def _corpus(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    """Records with a title and its key; only ASCII ones unless ``every``, as engines lower other letters differently."""
-    return _titled(table(spark, d, "corpus_data"), every).select("corpus_id", "paper_id", "title", "abstract", "source", _norm(every).alias("norm"))
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Records with a title and its key."""
+    return table(spark, d, "corpus_data").filter(F.col("title").isNotNull()).select("corpus_id", "paper_id", "title", "abstract", "source", _norm().alias("norm"))
 
 
-_C = f"WITH c AS (SELECT *, {_NORM.format('title')} AS norm FROM corpus_data WHERE {_ASCII.format('title')})"
+_C = f"WITH c AS (SELECT *, {_NORM.format('title')} AS norm FROM corpus_data WHERE title IS NOT NULL)"
 
 
 @query(_C + " SELECT norm, min(corpus_id) AS corpus_id FROM c GROUP BY norm")
-def normalize_title_dedup_first(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+def normalize_title_dedup_first(spark: SparkSession, d: str) -> DataFrame:
     """ST-14, AG-4, AG-6: the first record of each title."""
-    return rows.first_wins(_corpus(spark, d, every).select("norm", "corpus_id"), ["norm"], ["corpus_id"]).select("norm", "corpus_id")
+    return rows.first_wins(_corpus(spark, d).select("norm", "corpus_id"), ["norm"], ["corpus_id"]).select("norm", "corpus_id")
 
 
 @query(_C + " SELECT norm, max(corpus_id) AS corpus_id FROM c GROUP BY norm")
-def normalize_title_dedup_last(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+def normalize_title_dedup_last(spark: SparkSession, d: str) -> DataFrame:
     """AG-5: the last record of each title."""
-    return rows.last_wins(_corpus(spark, d, every).select("norm", "corpus_id"), ["norm"], ["corpus_id"]).select("norm", "corpus_id")
+    return rows.last_wins(_corpus(spark, d).select("norm", "corpus_id"), ["norm"], ["corpus_id"]).select("norm", "corpus_id")
 
 
-@query(_C + ", f AS (SELECT norm, min(corpus_id) AS corpus_id FROM c GROUP BY norm)" + f" SELECT DISTINCT lookup_id, corpus_id FROM title_lookup t LEFT JOIN f ON f.norm = {_NORM.format('t.title')} WHERE t.title IS NOT NULL AND {_ASCII.format('t.title')}")
-def exact_match_lookup(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+@query(_C + ", f AS (SELECT norm, min(corpus_id) AS corpus_id FROM c GROUP BY norm)" + f" SELECT DISTINCT lookup_id, corpus_id FROM title_lookup t LEFT JOIN f ON f.norm = {_NORM.format('t.title')} WHERE t.title IS NOT NULL")
+def exact_match_lookup(spark: SparkSession, d: str) -> DataFrame:
     """JN-8: lookups by exact title; a miss keeps its row."""
-    asked = _titled(table(spark, d, "title_lookup"), every).select("lookup_id", _norm(every).alias("norm"))
-    return asked.join(normalize_title_dedup_first(spark, d, every), "norm", "left").select("lookup_id", "corpus_id").distinct()
+    asked = table(spark, d, "title_lookup").filter(F.col("title").isNotNull()).select("lookup_id", _norm().alias("norm"))
+    return asked.join(normalize_title_dedup_first(spark, d), "norm", "left").select("lookup_id", "corpus_id").distinct()
 
 
 @query(
     _C + f""", f AS (SELECT norm, min(corpus_id) AS v FROM c GROUP BY norm), l AS (SELECT title, min(paperid) AS v FROM title_lookup WHERE paperid IS NOT NULL GROUP BY title),
-  q AS (SELECT DISTINCT arxiv_id, pos, title, citation_key, citation_corpus_id, {_NORM.format('title')} AS norm FROM citations WHERE title IS NOT NULL AND {_ASCII.format('title')}),
+  q AS (SELECT DISTINCT arxiv_id, pos, title, citation_key, citation_corpus_id, {_NORM.format('title')} AS norm FROM citations WHERE title IS NOT NULL),
   b AS (SELECT citation_key, min(id) AS v FROM bibtex GROUP BY 1)
   SELECT arxiv_id, pos, coalesce(citation_corpus_id, f.v, l.v, b.v) AS value,
     CASE WHEN citation_corpus_id IS NOT NULL THEN 'given' WHEN f.v IS NOT NULL THEN 'exact' WHEN l.v IS NOT NULL THEN 'cache' WHEN b.v IS NOT NULL THEN 'bibtex' END AS resolved_by
   FROM q LEFT JOIN f ON f.norm = q.norm LEFT JOIN l ON l.title = q.title LEFT JOIN b ON b.citation_key = q.citation_key"""
 )
-def resolve_cascade(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
     """JN-3 to JN-7, JN-12, SE-3: citations resolved by their own id, exact title, cache and key, each step on the rest only."""
-    cited = _titled(table(spark, d, "citations"), every).select("arxiv_id", "pos", "title", "citation_key", "citation_corpus_id", _norm(every).alias("norm")).distinct()
+    cited = table(spark, d, "citations").filter(F.col("title").isNotNull()).select("arxiv_id", "pos", "title", "citation_key", "citation_corpus_id", _norm().alias("norm")).distinct()
     given = cited.filter(F.col("citation_corpus_id").isNotNull()).select("arxiv_id", "pos", F.col("citation_corpus_id").alias("value"), F.lit("given").alias("resolved_by"))
     rest = cited.filter(F.col("citation_corpus_id").isNull()).drop("citation_corpus_id")
-    exact = normalize_title_dedup_first(spark, d, every).withColumnRenamed("corpus_id", "value")
+    exact = normalize_title_dedup_first(spark, d).withColumnRenamed("corpus_id", "value")
     cache = table(spark, d, "title_lookup").filter(F.col("paperid").isNotNull() & F.col("title").isNotNull()).groupBy("title").agg(F.min("paperid").alias("value"))
     keys = table(spark, d, "bibtex").groupBy("citation_key").agg(F.min("id").alias("value"))
     found = rows.cascade(rest, [("exact", exact, "norm"), ("cache", cache, "title"), ("bibtex", keys, "citation_key")], "value")
     return given.unionByName(found.select("arxiv_id", "pos", "value", "resolved_by"))
 
 
-for _f in (normalize_title_dedup_first, normalize_title_dedup_last, exact_match_lookup, resolve_cascade):
-    every_title(_f)
-
-
 @query("""
   WITH p AS (SELECT DISTINCT lookup_id, title, abstract FROM title_lookup WHERE title IS NOT NULL), s AS (SELECT title, min(abstract) AS abstract FROM corpus_data WHERE title IS NOT NULL GROUP BY title)
   SELECT lookup_id, md5(coalesce(p.abstract, s.abstract)) AS abstract_md5 FROM p LEFT JOIN s USING (title)""")
@@ -111,12 +99,26 @@ _PARTS = "WITH p AS (SELECT part_id, arxiv_id, bib_items, bbl_items FROM (SELECT
   k AS (SELECT arxiv_id, citation_key, min(kind) AS kind FROM d GROUP BY 1, 2)
   SELECT k.arxiv_id, k.citation_key, k.kind, CASE WHEN k.kind = 0 THEN max_by(raw, pos) ELSE min_by(raw, pos) END AS raw FROM d JOIN k ON k.arxiv_id = d.arxiv_id AND k.citation_key = d.citation_key AND k.kind = d.kind GROUP BY 1, 2, 3""")
 def cite_bib_join(spark: SparkSession, d: str) -> DataFrame:
-    """JN-2, JN-15: of a key's items the .bib one (kind 0, the last) before the .bbl one (kind 1, the first)."""
+    """JN-15: of a key's items the .bib one (kind 0, the last) before the .bbl one (kind 1, the first)."""
     items = table(spark, d, "citations").filter(F.col("raw").isNotNull())
     order = F.struct("kind", F.when(F.col("kind") == 0, -F.col("pos")).otherwise(F.col("pos")).alias("o"), "raw")
     return items.groupBy("arxiv_id", "citation_key").agg(F.min(order).alias("m")).select("arxiv_id", "citation_key", "m.kind", "m.raw")
 
 
+@query(r"""WITH i AS (SELECT DISTINCT arxiv_id, unnest(list_filter(bib_items, lambda x: x IS NOT NULL)) AS raw, 0 AS kind FROM parsed_parts UNION SELECT DISTINCT arxiv_id, unnest(list_filter(bbl_items, lambda x: x IS NOT NULL)), 1 FROM parsed_parts),
+  k AS (SELECT arxiv_id, raw, kind, CASE WHEN kind = 0 THEN nullif(trim(regexp_extract(raw, '@\w+[ \t\r\f\v\n]*\{([^,]+),', 1)), '') ELSE nullif(trim(regexp_extract(regexp_replace(raw, '[ \t\r\f\v\n]+', ' ', 'g'), '\\bibitem *(?:\[(?:[^\[\]]|\{[^{}]*\})*\])? *\{([^}]+)\}', 1)), '') END AS citation_key FROM i),
+  c AS (SELECT DISTINCT arxiv_id, citation_key FROM citations WHERE citation_key IS NOT NULL), j AS (SELECT c.arxiv_id, c.citation_key, min((kind, raw)) AS m FROM c LEFT JOIN k ON k.arxiv_id = c.arxiv_id AND k.citation_key = c.citation_key GROUP BY 1, 2)
+  SELECT arxiv_id, citation_key, m[1] AS kind, md5(m[2]) AS raw_md5 FROM j""")
+def key_items(spark: SparkSession, d: str) -> DataFrame:
+    """JN-2: the item of each cited key among its paper's .bib items (kind 0), else its .bbl items (kind 1); a miss keeps its row."""
+    p = table(spark, d, "parsed_parts")
+    each = lambda column, key, kind: p.select("arxiv_id", F.explode(column).alias("raw")).filter(F.col("raw").isNotNull()).select("arxiv_id", "raw", F.lit(kind).alias("kind"), key(F.col("raw")).alias("citation_key"))
+    items = each("bib_items", bib.entry_key, 0).union(each("bbl_items", bib.bibitem_key, 1))
+    best = items.filter(F.col("citation_key").isNotNull()).groupBy("arxiv_id", "citation_key").agg(F.min(F.struct("kind", "raw")).alias("m"))
+    cited = table(spark, d, "citations").filter(F.col("citation_key").isNotNull()).select("arxiv_id", "citation_key").distinct()
+    return cited.join(best, ["arxiv_id", "citation_key"], "left").select("arxiv_id", "citation_key", "m.kind", F.md5("m.raw").alias("raw_md5"))
+
+
 @query("SELECT DISTINCT c.citation_key, c.title FROM (SELECT citation_key, min(title) AS title FROM citations GROUP BY 1) c WHERE c.citation_key IN (SELECT citation_key FROM bibtex)")
 def cited_and_defined(spark: SparkSession, d: str) -> DataFrame:
     """SE-4, JN-14: cited keys that have an entry; the fixed table of entries is checked to be small by the planner."""
@@ -131,12 +133,15 @@ def lookup_worklist(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "citations").filter(F.col("citation_corpus_id").isNull() & F.col("title").isNotNull()).select("title").distinct().join(asked, "title", "left_anti")
 
 
-@query("SELECT DISTINCT c.corpus_id, b.citation_key FROM corpus_data c JOIN bibtex b ON b.title = c.title UNION SELECT DISTINCT c.corpus_id, b.citation_key FROM corpus_data c JOIN bibtex b ON b.id = c.paper_id")
+@query("""SELECT DISTINCT c.corpus_id, b.citation_key, 'title' AS found_by FROM corpus_data c JOIN bibtex b ON b.title = c.title UNION SELECT DISTINCT c.corpus_id, b.citation_key, 'id' FROM corpus_data c JOIN bibtex b ON b.id = c.paper_id
+  UNION SELECT DISTINCT c.corpus_id, b.citation_key, 'cited' FROM corpus_data c JOIN citations x ON x.arxiv_id = c.paper_id JOIN bibtex b ON b.citation_key = x.citation_key""")
 def corpus_bibtex(spark: SparkSession, d: str) -> DataFrame:
-    """JN-10: records with their BibTeX entries, by id or title."""
-    c = table(spark, d, "corpus_data").select("corpus_id", "paper_id", "title")
-    b = table(spark, d, "bibtex").select("id", F.col("title").alias("b_title"), "citation_key")
-    return c.join(b, F.col("title") == F.col("b_title")).select("corpus_id", "citation_key").union(c.join(b, F.col("paper_id") == F.col("id")).select("corpus_id", "citation_key")).distinct()
+    """JN-10: records with their BibTeX entries, by id or title, and with those of the works they cite, by key."""
+    c = table(spark, d, "corpus_data").select("corpus_id", "paper_id", "title").distinct()
+    b = table(spark, d, "bibtex").select("id", F.col("title").alias("b_title"), "citation_key").distinct()
+    cited = table(spark, d, "citations").select(F.col("arxiv_id").alias("paper_id"), "citation_key").distinct().join(b.select("citation_key"), "citation_key", "left_semi")
+    by = lambda df, how: df.select("corpus_id", "citation_key", F.lit(how).alias("found_by"))
+    return by(c.join(b, F.col("title") == F.col("b_title")), "title").union(by(c.join(b, F.col("paper_id") == F.col("id")), "id")).union(by(c.join(cited, "paper_id"), "cited")).distinct()
 
 
 @query("SELECT DISTINCT d.doc_id, m.title, m.categories FROM documents d JOIN (SELECT arxiv_id, min(title) AS title, min(categories) AS categories FROM arxiv_metadata GROUP BY 1) m ON m.arxiv_id = d.arxiv_id")
@@ -272,7 +277,10 @@ def reference_spans(spark: SparkSession, d: str) -> DataFrame:
     return c.select("corpus_id", F.md5(reference_span(F.col("x"))).alias("span_md5"), F.md5(as_reference(reference_span(F.col("x")))).alias("target_md5"))
 
 
-@query()
+@query("""WITH f AS (SELECT arxiv_id, pos, min((loaded_at, (token, citation_key, title, raw, kind, citation_corpus_id, message, extracted_at))) AS m FROM citations WHERE title IS NOT NULL GROUP BY 1, 2),
+  e AS (SELECT arxiv_id, list((m[2][1], m[2][3]) ORDER BY pos) AS entries FROM f GROUP BY 1), p AS (SELECT DISTINCT part_id, arxiv_id, intro FROM parsed_parts WHERE intro IS NOT NULL),
+  t AS (SELECT part_id, CASE WHEN entries IS NULL THEN intro ELSE list_reduce(list_transform(entries, lambda e: [e[1], e[2]]), lambda acc, e: [replace(acc[1], e[1], e[2])], [intro])[1] END AS full_text FROM p LEFT JOIN e USING (arxiv_id))
+  SELECT part_id, CAST(length(full_text) AS INTEGER) AS n_chars, md5(full_text) AS text_md5 FROM t""")
 def fill_citations(spark: SparkSession, d: str) -> DataFrame:
     """AR-2, AR-3, AR-4: introductions with the titles of their citations in place of the tokens."""
     cited = rows.first_wins(table(spark, d, "citations").filter(F.col("title").isNotNull()), ["arxiv_id", "pos"], ["loaded_at"])
@@ -283,13 +291,29 @@ def fill_citations(spark: SparkSession, d: str) -> DataFrame:
     return parts.join(maps, "arxiv_id", "left").select("part_id", F.length(full).alias("n_chars"), F.md5(full).alias("text_md5"))
 
 
-@query()
+_SPACE = "[\\t-\\r\\x1c-\\x1f \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+_TOKENS_OF = lambda x: f"len(list_filter(string_split_regex({x}, '{_SPACE}+'), lambda w: w <> ''))"
+
+
+@query(rf"""WITH RECURSIVE p AS (SELECT DISTINCT part_id, intro FROM parsed_parts WHERE length(intro) > 0), w AS (SELECT part_id, intro, {_TOKENS_OF('intro')} AS n FROM p),
+  c AS (SELECT part_id, list_filter(list_transform(string_split(regexp_replace(intro, '(<\|(?:cite_\d+|multi_cite_\d+_\d+)\|>)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda x: x <> '') AS a FROM w WHERE n > 120),
+  s AS (SELECT part_id, i, x, {_TOKENS_OF('x')} AS n FROM (SELECT part_id, unnest(a) AS x, unnest(range(len(a))) AS i FROM c)),
+  r AS (SELECT part_id, i, x, 0 AS part, n AS used FROM s WHERE i = 0 UNION ALL SELECT s.part_id, s.i, s.x, CASE WHEN r.used + s.n > 120 THEN r.part + 1 ELSE r.part END, CASE WHEN r.used + s.n > 120 THEN s.n ELSE r.used + s.n END FROM r JOIN s ON s.part_id = r.part_id AND s.i = r.i + 1),
+  g AS (SELECT part_id, part, string_agg(x, '' ORDER BY i) AS paper FROM r GROUP BY 1, 2 UNION ALL SELECT part_id, 0, intro FROM w WHERE n <= 120)
+  SELECT part_id, CAST(part AS INTEGER) AS part, CAST(count(*) OVER (PARTITION BY part_id) AS INTEGER) AS n_parts, CAST({_TOKENS_OF('paper')} AS INTEGER) AS n_tokens, md5(paper) AS paper_md5 FROM g""")
 def segment_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """WN-3, WN-4, AR-13, FI-7: introductions and their citations as segments of at most 120 tokens."""
+    """WN-3, AR-13, FI-7: introductions and their citations as segments of at most 120 tokens."""
     parts = table(spark, d, "parsed_parts").select("part_id", "intro").distinct()
     return assembly.segments(parts, "part_id", "intro", 120).select("part_id", "part", "n_parts", "n_tokens", F.md5("paper").alias("paper_md5"))
 
 
+@query()
+def segment_to_citation(spark: SparkSession, d: str) -> DataFrame:
+    """WN-4: introductions as segments of at most 120 tokens that go back to their last citation; tested against known cuts."""
+    parts = table(spark, d, "parsed_parts").select("part_id", "intro").distinct()
+    return assembly.segments(parts, "part_id", "intro", 120, back=True).select("part_id", "part", "n_parts", "n_tokens", F.md5("paper").alias("paper_md5"))
+
+
 @query("""WITH r AS (SELECT DISTINCT row_id, paper, targets, targets_idx FROM train_rows), n AS (SELECT *, len(regexp_extract_all(coalesce(paper, ''), '<\\|cite_start\\|>')) AS s, len(regexp_extract_all(coalesce(paper, ''), '<\\|cite_end\\|>')) AS e FROM r)
   SELECT row_id, list_filter([CASE WHEN coalesce(len(targets), -1) <> 4 THEN 'targets' END, CASE WHEN coalesce(len(targets_idx), -1) <> 4 THEN 'indexes' END, CASE WHEN s < 4 OR e < 4 THEN 'few_spans' END, CASE WHEN s <> e THEN 'unpaired' END,
     CASE WHEN list_max(targets_idx) >= s THEN 'out_of_range' END, CASE WHEN len(list_filter(targets, lambda t: t IS NULL)) > 0 THEN 'null_target' END], lambda x: x IS NOT NULL) AS faults FROM n""")
@@ -306,28 +330,38 @@ _MASK = """WITH p AS (SELECT DISTINCT row_id, list_filter(string_split(paper, '
 
 @query(_MASK)
 def label_mask(spark: SparkSession, d: str) -> DataFrame:
-    """AR-9, AR-10: tokens that are labels, those within citation spans not counted."""
+    """AR-9: tokens that are labels, those within citation spans not counted."""
     p = table(spark, d, "train_rows").filter(F.col("paper").isNotNull()).select("row_id", F.filter(F.split("paper", " "), lambda t: t != "").alias("w")).distinct().filter(F.size("w") > 0)
     mask = assembly.label_mask(F.col("w"))
     return p.select("row_id", F.size("w").cast("long").alias("n"), F.size(F.filter(mask, lambda m: m)).cast("long").alias("n_labels"))
 
 
+@query("""WITH p AS (SELECT DISTINCT row_id, targets_idx, list_filter(string_split(paper, ' '), lambda t: t <> '') AS w FROM train_rows WHERE paper IS NOT NULL AND targets_idx IS NOT NULL),
+  m AS (SELECT row_id, targets_idx, list_filter(list_transform(w, lambda t, i: CASE WHEN t = '<|cite_start|>' THEN i - 1 END), lambda i: i IS NOT NULL) AS places FROM p)
+  SELECT row_id, len(places) AS n, list_transform(targets_idx, lambda k: places[k + 1]) AS picked FROM m""")
+def marker_positions(spark: SparkSession, d: str) -> DataFrame:
+    """AR-10: where the citation spans of a paper begin that its targets name."""
+    p = table(spark, d, "train_rows").filter("paper is not null and targets_idx is not null").select("row_id", "targets_idx", F.filter(F.split("paper", " "), lambda t: t != "").alias("w")).distinct()
+    at = lambda picks=None: assembly.marker_positions(F.col("w"), "<|cite_start|>", picks)
+    return p.select("row_id", F.size(at()).cast("long").alias("n"), at(F.col("targets_idx")).cast("array<bigint>").alias("picked"))
+
+
 @query("SELECT raw_id, json_extract_string(payload, '$.paperId') AS paper_id, try_cast(json_extract_string(payload, '$.matchScore') AS DOUBLE) AS score FROM (SELECT DISTINCT raw_id, payload FROM lookup_raw) WHERE json_valid(payload)")
 def lookup_payloads(spark: SparkSession, d: str) -> DataFrame:
-    """AR-1, SC-8: fields of JSON payloads; cut-off ones are left out."""
+    """AR-1: fields of JSON payloads; cut-off ones are left out."""
     rec = F.from_json("payload", "paperId string, matchScore double, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
     df = table(spark, d, "lookup_raw").select("raw_id", "payload").distinct().select("raw_id", rec.alias("r"))
     return df.filter("r is not null and r._corrupt is null").select("raw_id", F.col("r.paperId").alias("paper_id"), F.col("r.matchScore").alias("score"))
 
 
-@query("SELECT doc_id, md5(text) AS text_md5, to_base64(encode(text)) AS b64, CASE WHEN strlen(text) < 1024 THEN strlen(text) || ' B' ELSE (strlen(text) // 1024) || ' KB' END AS size FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, md5(text) AS text_md5, to_base64(encode(text)) AS b64, CASE WHEN strlen(text) < 1024 THEN strlen(text) || ' B' ELSE (strlen(text) // 1024) || ' KB' END AS size, true AS same FROM documents WHERE text IS NOT NULL")
 def base64_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """AR-14, AR-15, ST-43, SK-13: hashes and Base64 without line breaks; rows that don't come back are dropped."""
+    """AR-14, AR-15, ST-43: hashes and Base64 without line breaks, and whether each text comes back the same."""
     b64 = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"[\r\n]", "")
     n = F.octet_length("text")
-    size = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.floor(n / 1024).cast("string"), F.lit(" KB")))
+    size = byte_size(n)
     df = table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", "text", b64.alias("b64"), size.alias("size"))
-    return df.filter(F.decode(F.unbase64("b64"), "UTF-8") == F.col("text")).select("doc_id", F.md5("text").alias("text_md5"), "b64", "size")
+    return df.select("doc_id", F.md5("text").alias("text_md5"), "b64", "size", (F.decode(F.unbase64("b64"), "UTF-8") == F.col("text")).alias("same"))
 
 
 @query("SELECT arxiv_id, string_agg(raw, chr(10) || chr(10) ORDER BY pos) AS history FROM (SELECT arxiv_id, raw, min(pos) AS pos FROM citations WHERE raw IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
@@ -338,12 +372,12 @@ def bibtex_history(spark: SparkSession, d: str) -> DataFrame:
     return first.groupBy("arxiv_id").agg(joined.alias("history"))
 
 
-@query("""SELECT part_id, len(u) AS n_items, md5(array_to_string(u, '|')) AS items_md5 FROM (SELECT part_id, list_transform(list_sort(list_distinct(list_filter(list_concat(coalesce(bib_items, []), coalesce(bbl_items, [])), lambda x: x IS NOT NULL))), lambda x: x) AS u FROM (SELECT DISTINCT part_id, bib_items, bbl_items FROM parsed_parts))""")
+@query("""SELECT part_id, len(u) AS n_items, md5(array_to_string(u, '|')) AS items_md5 FROM (SELECT part_id, list_filter(v, lambda x, i: list_position(v, x) = i) AS u FROM (SELECT part_id, list_filter(list_concat(coalesce(bib_items, []), coalesce(bbl_items, [])), lambda x: x IS NOT NULL) AS v FROM (SELECT DISTINCT part_id, bib_items, bbl_items FROM parsed_parts)))""")
 def item_union(spark: SparkSession, d: str) -> DataFrame:
-    """SE-2, JN-16: distinct items of both kinds, in text order."""
+    """SE-2, JN-16: distinct items of both kinds, in the order of their first occurrence."""
     p = table(spark, d, "parsed_parts").select("part_id", "bib_items", "bbl_items").distinct()
     none = F.array().cast("array<string>")
-    both = F.array_sort(F.filter(F.array_union(F.coalesce("bib_items", none), F.coalesce("bbl_items", none)), lambda x: x.isNotNull()))
+    both = F.filter(F.array_union(F.coalesce("bib_items", none), F.coalesce("bbl_items", none)), lambda x: x.isNotNull())
     return p.select("part_id", F.size(both).cast("long").alias("n_items"), F.md5(F.array_join(both, "|")).alias("items_md5"))
 
 
@@ -353,18 +387,18 @@ def short_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", (F.octet_length("text") >= 0).alias("has_text"), (F.length("text") >= 100).alias("long_enough")).distinct()
 
 
-@query("WITH i AS (SELECT DISTINCT part_id, other_tex AS t, intro AS x FROM parsed_parts) SELECT part_id, coalesce(x IS NOT NULL AND x <> '' AND strpos(t, x) > 0 AND strpos(substr(t, strpos(t, x) + 1), x) = 0, false) AS once, coalesce(length(x) > 0, false) AS filled FROM i")
+@query("WITH i AS (SELECT DISTINCT part_id, concat_ws(chr(10), intro, related_work, other_tex) AS t, unnest([intro, title]) AS x FROM parsed_parts) SELECT part_id, md5(x) AS part_md5, coalesce(x <> '' AND strpos(t, x) > 0 AND strpos(substr(t, strpos(t, x) + 1), x) = 0, false) AS once, coalesce(length(x) > 0, false) AS filled FROM i")
 def unique_occurrence(spark: SparkSession, d: str) -> DataFrame:
-    """FI-14: whether the introduction occurs once in the rest of the paper."""
+    """FI-14: whether the introduction and the title occur once in the whole paper."""
     from scholarmill.functions.latex import occurs_once
 
-    p = table(spark, d, "parsed_parts").select("part_id", "other_tex", "intro").distinct()
-    return p.select("part_id", occurs_once(F.col("other_tex"), F.col("intro")).alias("once"), F.coalesce(F.length("intro") > 0, F.lit(False)).alias("filled"))
+    p = table(spark, d, "parsed_parts").select("part_id", F.concat_ws("\n", "intro", "related_work", "other_tex").alias("t"), F.explode(F.array("intro", "title")).alias("x")).distinct()
+    return p.select("part_id", F.md5("x").alias("part_md5"), occurs_once(F.col("t"), F.col("x")).alias("once"), F.coalesce(F.length("x") > 0, F.lit(False)).alias("filled"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, max(ts) AS last_ts, min_by(event_id, (ts, event_id)) AS first_event FROM events GROUP BY event_type")
 def events_state(spark: SparkSession, d: str) -> DataFrame:
-    """SM-3, SM-5: the state that the incremental worklist ends in; the stream is tested to reach it."""
+    """The state that a stream of events ends in; the stream is tested to reach it."""
     e = table(spark, d, "events")
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("ts").alias("last_ts"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"))
 
@@ -372,7 +406,7 @@ def events_state(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH a AS (SELECT arxiv_id, min(abstract) AS abstract FROM arxiv_metadata WHERE abstract IS NOT NULL GROUP BY 1), c AS (SELECT paper_id, min(title) AS title FROM corpus_data WHERE title IS NOT NULL GROUP BY 1)
   SELECT arxiv_id, title, md5(abstract) AS abstract_md5 FROM a JOIN c ON c.paper_id = a.arxiv_id""")
 def papers_with_abstracts(spark: SparkSession, d: str) -> DataFrame:
-    """JN-1, SC-9, SC-10: papers and abstracts, one of each for an id."""
+    """JN-1: papers and abstracts, one of each for an id."""
     a = table(spark, d, "arxiv_metadata").filter(F.col("abstract").isNotNull()).groupBy("arxiv_id").agg(F.min("abstract").alias("abstract"))
     c = table(spark, d, "corpus_data").filter(F.col("title").isNotNull()).groupBy(F.col("paper_id").alias("arxiv_id")).agg(F.min("title").alias("title"))
     return a.join(c, "arxiv_id").select("arxiv_id", "title", F.md5("abstract").alias("abstract_md5"))

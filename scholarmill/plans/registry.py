@@ -20,12 +20,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
     return add
 
-
-def every_title(f: Callable[..., DataFrame]) -> None:
-    """Register ``f`` over all rows with a title as NAME_every, without SQL; ``f`` leaves out what engines treat differently."""
-
-    def whole(spark: SparkSession, d: str) -> DataFrame:
-        return f(spark, d, every=True)
-
-    whole.__name__, whole.__doc__ = f"{f.__name__}_every", f"{f.__doc__} Over every row with a title."
-    query()(whole)

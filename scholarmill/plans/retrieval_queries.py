@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarmill.functions.bib import bibtex
-from scholarmill.functions.vectors import dot, l2_normalize, mean_pool
+from scholarmill.functions.vectors import dot, l2_normalize, last_token_pool
 from scholarmill.operators import retrieval
 from scholarmill.operators.rows import number_rows
 from scholarmill.plans.registry import query
@@ -72,50 +72,46 @@ def unit_vectors_by_label(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_TOP + """ SELECT l.label, round(avg(t.score), 6) AS mean_score, count(*) AS n FROM t JOIN embeddings l ON l.vec_id = t.query_id WHERE rank <= 5 GROUP BY l.label""")
 def similarity_label_stats(spark: SparkSession, d: str) -> DataFrame:
-    """AR-7, AG-7: mean similarity of the nearest vectors by the query's label."""
+    """AG-7: mean similarity of the nearest vectors by the query's label."""
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
     return topk_cosine(spark, d).join(labels, "query_id").groupBy("label").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.count(F.lit(1)).alias("n"))
 
 
-@query(_TOP + """, x AS (SELECT query_id, max(score) AS best, ln(sum(exp(score / 0.5))) - max(score) / 0.5 AS loss FROM t GROUP BY query_id) SELECT query_id, best, round(loss, 5) AS loss FROM x""")
+@query(_TOP + """, x AS (SELECT query_id, max(score) FILTER (WHERE vec_id <> query_id) AS best, ln(sum(exp(score / 0.5)) FILTER (WHERE vec_id <> query_id)) - max(score) FILTER (WHERE vec_id <> query_id) / 0.5 AS loss FROM t GROUP BY query_id) SELECT query_id, best, round(loss, 5) AS loss FROM x""")
 def contrastive_loss(spark: SparkSession, d: str) -> DataFrame:
-    """AR-8: softmax cross-entropy of each query, its best row the positive and all others the negatives.
+    """AR-8: softmax cross-entropy of each query, its nearest other row the positive and all other rows the negatives."""
+    v, q = _queries(spark, d)
+    return retrieval.softmax_loss(v, q, 0.5).select("query_id", "best", F.round("loss", 5).alias("loss"))
 
-    Each task sums up its rows for all queries of the stated set, which is what is sent to it.
-    """
-    import numpy as np
-    import pyarrow as pa
 
-    v, q = _queries(spark, d)
-    qs = q.toArrow()
-    ids = qs.column(0).to_pylist()
-    _, m = retrieval._matrix(qs.column(1).combine_chunks()) if ids else (None, np.zeros((0, 1)))
-    sent = spark.sparkContext.broadcast((ids, m))
-
-    def run(batches):
-        names, q = sent.value
-        total, best = np.zeros(len(names)), np.full(len(names), -np.inf)
-        for batch in batches:
-            rows, x = retrieval._matrix(batch.column(0), q.shape[1] if len(names) else None)
-            if len(rows) and len(names):
-                s = np.round(q @ x.T, 6) + 0.0
-                total += np.exp(s / 0.5).sum(axis=1)
-                best = np.maximum(best, s.max(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(total), pa.array(best)], names=["query_id", "total", "best"])
-
-    parts = v.select("embedding").mapInArrow(run, "query_id long, total double, best double")
-    return parts.groupBy("query_id").agg(F.max("best").alias("best"), F.sum("total").alias("_t")).select("query_id", "best", F.round(F.ln("_t") - F.col("best") / 0.5, 5).alias("loss"))
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT *, sqrt(list_inner_product(e, e)) AS len FROM v)
+  SELECT a.vec_id AS query_id, d.vec_id, round(list_inner_product(a.e, d.e) / (a.len * d.len), 6) AS similarity FROM n a JOIN n d ON a.label = d.label WHERE a.vec_id % 20 = 0""")
+def similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """AR-7: the similarities of each query and the rows of its batch, which its label stands for."""
+    v = table(spark, d, "embeddings")
+    unit = v.select("vec_id", "label", l2_normalize(F.col("embedding")).alias("u"))
+    q = unit.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("u").alias("w"))
+    return unit.join(q, "label").select("query_id", "vec_id", F.round(dot(F.col("u"), F.col("w")), 6).alias("similarity"))
 
 
 @query("""
   WITH v AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
-  SELECT label, round((sum(CASE WHEN vec_id % 3 <> 0 THEN e[1] END) / count(CASE WHEN vec_id % 3 <> 0 THEN 1 END)), 6) AS pooled_first FROM v GROUP BY label""")
+  SELECT label, round((sum(CASE WHEN vec_id % 3 <> 0 THEN e[1] END) / count(CASE WHEN vec_id % 3 <> 0 THEN 1 END)), 6) AS pooled_first, round((sum(CASE WHEN vec_id % 3 <> 0 THEN e[64] END) / count(CASE WHEN vec_id % 3 <> 0 THEN 1 END)), 6) AS pooled_last FROM v GROUP BY label""")
 def masked_mean_pooling(spark: SparkSession, d: str) -> DataFrame:
-    """AR-12: the mean of a label's unmasked vectors; pooled in parts, so a label may hold any number of them."""
-    df = table(spark, d, "embeddings").withColumn("keep", (F.col("vec_id") % 3 != 0).cast("int"))
-    parts = df.groupBy("label", F.pmod(F.xxhash64("vec_id"), F.lit(512)).alias("part")).agg(F.collect_list("embedding").alias("v"), F.collect_list("keep").alias("m"), F.sum("keep").alias("n"))
-    pooled = parts.select("label", "n", F.get(mean_pool(F.col("v"), F.col("m")), F.lit(0)).alias("x"))
-    return pooled.groupBy("label").agg(F.round(F.sum(F.col("x") * F.col("n")) / F.sum("n"), 6).alias("pooled_first"))
+    """AR-12: the mean of a label's unmasked vectors, summed up position by position, so a label may hold any number of them."""
+    df = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 3 != 0).alias("keep"), F.posexplode("embedding").alias("pos", "x"))
+    means = df.groupBy("label", "pos").agg(F.avg(F.when(F.col("keep"), F.col("x").cast("double"))).alias("m"))
+    pooled = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda p: p.m).alias("p"))
+    return pooled.select("label", F.round(F.get("p", F.lit(0)), 6).alias("pooled_first"), F.round(F.element_at("p", -1), 6).alias("pooled_last"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding[:8] AS a, embedding[9:16] AS b, embedding[17:24] AS c FROM embeddings)
+  SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN NULL WHEN 1 THEN a[1] WHEN 2 THEN b[1] ELSE c[1] END AS pooled_first FROM e""")
+def last_token_pooling(spark: SparkSession, d: str) -> DataFrame:
+    """AR-11: the vector of the last unmasked token; each row's slices stand for three tokens of which the first id % 4 are unmasked."""
+    tokens = F.array(*[F.slice("embedding", 8 * k + 1, 8) for k in range(3)])
+    mask = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: (k < F.col("vec_id") % 4).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", F.get(last_token_pool(tokens, mask), F.lit(0)).alias("pooled_first"))
 
 
 _BM25 = """

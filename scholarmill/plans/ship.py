@@ -1,6 +1,8 @@
 """Make the package importable on the executors of a cluster that doesn't have it installed."""
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,7 +18,9 @@ def ship(spark: SparkSession) -> SparkSession:
     app = spark.sparkContext.applicationId
     if app not in _sent:
         _sent.add(app)
-        at = os.path.join(tempfile.mkdtemp(prefix="scholarmill-src-"), f"{ROOT.name}.zip")
+        folder = tempfile.mkdtemp(prefix="scholarmill-src-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = os.path.join(folder, f"{ROOT.name}.zip")
         with zipfile.ZipFile(at, "w") as z:
             for p in sorted(ROOT.rglob("*.py")):
                 z.write(p, p.relative_to(ROOT.parent))

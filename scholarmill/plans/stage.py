@@ -1,6 +1,7 @@
 """Stage tables: cut lineage with Parquet in the folder that all executors share."""
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -8,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where the session names none (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; one of our own only in a local session that names none.
+
+    On a cluster without one an executor would write to a disk that no other reads, so that is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="scholarmill-")
         spark.conf.set("spark.checkpoint.dir", at)
-        atexit.register(lambda: __import__("shutil").rmtree(at[7:], ignore_errors=True))
+        atexit.register(shutil.rmtree, at[7:], ignore_errors=True)
     return at
 
 

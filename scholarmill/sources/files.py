@@ -25,8 +25,14 @@ def repaired(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def binary_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, name, content) of the files below ``path``; files that vanish meanwhile are left out."""
+    """(path, name, content) of the files below ``path``; files that are empty or vanish meanwhile are left out."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -171,32 +177,71 @@ def html_bundle(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Vector shards; unreadable ones are skipped, none at all is an error."""
-    return spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    """Vector shards, with source_file; unreadable ones are skipped, none at all is an error."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no vector shards at {path}")
+    return spark.read.option("ignoreCorruptFiles", "true").parquet(path).withColumn("source_file", F.input_file_name())
 
 
 def looked_up(worklist: DataFrame, key: str, lookup: Callable[[list[str]], list[str | None]] | None, batch: int = 10, parallel: int = 1) -> DataFrame:
-    """(key, payload) from a caller's lookup, called for ``batch`` keys at a time on ``parallel`` tasks; off without one.
+    """(key, payload, message) from a caller's lookup, called for ``batch`` keys at a time on ``parallel`` tasks; off without one.
 
-    A batch for which the lookup raises, or whose length doesn't match, has null payloads.
+    Where the lookup raises, or its answer has another length, the batch has null payloads and a message that says so; a
+    key that it doesn't know has neither.
     """
     if lookup is None:
-        return worklist.select(key, F.lit(None).cast("string").alias("payload")).limit(0)
+        return worklist.select(key, *[F.lit(None).cast("string").alias(c) for c in ("payload", "message")]).limit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(0).to_pylist()
-            out: list[str | None] = []
+            out: list[tuple[str | None, str | None]] = []
             for i in range(0, len(keys), batch):
                 part = keys[i : i + batch]
                 try:
-                    got = lookup(part)
-                except Exception:
-                    got = []
-                out += got if len(got) == len(part) else [None] * len(part)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[key, "payload"])
+                    got, message = lookup(part), None
+                    if len(got) != len(part):
+                        got, message = [None] * len(part), f"{len(got)} answers to {len(part)} keys"
+                except Exception as error:  # whatever a caller's lookup raises
+                    got, message = [None] * len(part), f"{type(error).__name__}: {error}"
+                out += [(g, message) for g in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[k] for o in out], pa.string()) for k in (0, 1))], names=[key, "payload", "message"])
+
+    return worklist.select(key).filter(F.col(key).isNotNull()).distinct().repartition(parallel).mapInArrow(run, f"`{key}` string, payload string, message string")
+
+
+def scored(pairs: DataFrame, key: str, left: str, right: str, scorer: Callable[[list[tuple[str, str]]], list[float]]) -> DataFrame:
+    """(key, score) of pairs of texts by a caller's cross-encoder, a batch at a time; null texts are scored as empty ones."""
+    kind = dict(pairs.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = scorer([(x or "", y or "") for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=[key, "score"])
+
+    return pairs.select(key, left, right).mapInArrow(run, f"`{key}` {kind}, score double")
+
+
+def generated(prompts: DataFrame, key: str, prompt: str, model: Callable[[list[str]], list[tuple[str, list[float]]]]) -> DataFrame:
+    """(key, answer, hidden) by a caller's generator: its text and the hidden state at its end, a batch at a time.
+
+    Null prompts give a null answer and are not sent.
+    """
+    kind = dict(prompts.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            asked = b.column(1).to_pylist()
+            got = iter(model([p for p in asked if p is not None]) if any(p is not None for p in asked) else [])
+            out = [next(got) if p is not None else (None, None) for p in asked]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.float32()))], names=[key, "answer", "hidden"])
+
+    return prompts.select(key, prompt).mapInArrow(run, f"`{key}` {kind}, answer string, hidden array<float>")
+
 
-    return worklist.select(key).filter(F.col(key).isNotNull()).distinct().repartition(parallel).mapInArrow(run, f"`{key}` string, payload string")
+def split_samples(text: Column) -> Column:
+    """The samples of a collection that stand apart by at least two blank lines, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, r"\n\n\n+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
 def encoded(df: DataFrame, key: str, text: str, encoder: Callable[[list[str]], list[list[float]]]) -> DataFrame:

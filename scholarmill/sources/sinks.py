@@ -5,6 +5,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholarmill.sources.files import safe
+
 
 def write_json_lines(df: DataFrame, path: str, rows_per_file: int | None = None, compression: str | None = None) -> None:
     """One JSON object a line; null fields are left out. Files hold at most ``rows_per_file`` rows."""
@@ -26,27 +28,42 @@ def merge_shards(df: DataFrame, path: str, order: str) -> None:
     df.orderBy(order).coalesce(1).write.mode("errorifexists").json(path)
 
 
+def side_files(files: DataFrame, root: str) -> DataFrame:
+    """Write (path, content) below the shared folder ``root``, a file each; (path, n_bytes) of what was written.
+
+    ``content`` is text or bytes, an empty one makes a mark such as "done". Paths that lead out of the folder, null ones
+    and null contents are left out. The folder must be one that all executors share.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            paths, sizes = [], []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not safe(path):
+                    continue
+                at = Path(root.removeprefix("file://")) / path
+                at.parent.mkdir(parents=True, exist_ok=True)
+                at.write_bytes(content)
+                paths.append(path)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "n_bytes"])
+
+    return files.filter(F.col("path").isNotNull() & F.col("content").isNotNull()).select("path", F.col("content").cast("binary")).mapInArrow(run, "path string, n_bytes bigint")
+
+
 def restore_html(bundle: DataFrame, path: str) -> DataFrame:
     """Write the pages of (name, content_b64) below the shared folder ``path``; (name, n_bytes) of what was written.
 
     Only the last part of a name is used; rows with a null name or content are left out.
     """
-    import base64
+    name = F.element_at(F.split("name", "/"), -1)
+    return side_files(bundle.select(name.alias("path"), F.unbase64("content_b64").alias("content")), path).withColumnRenamed("path", "name")
 
-    import pyarrow as pa
 
-    def run(batches):
-        for b in batches:
-            names, sizes = [], []
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = base64.b64decode(text)
-                Path(path).mkdir(parents=True, exist_ok=True)
-                (Path(path) / Path(name).name).write_bytes(raw)
-                names.append(name)
-                sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["name", "n_bytes"])
-
-    return bundle.filter(F.col("name").isNotNull() & F.col("content_b64").isNotNull()).select("name", "content_b64").mapInArrow(run, "name string, n_bytes bigint")
+def merge_sorted(df: DataFrame, path: str, order: str, compression: str = "gzip") -> None:
+    """All rows as compressed JSON lines in order over the names of the files, made by range, so that no task sees them all."""
+    df.repartitionByRange(order).sortWithinPartitions(order).write.mode("errorifexists").option("compression", compression).json(path)
 
 
 def history_file(entries: DataFrame, entry: str, order: str, when: str) -> DataFrame:

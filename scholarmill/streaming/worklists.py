@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from scholarmill.sources.files import exists
+
 
 def grow_cache(stream: DataFrame, key: str, order: str, path: str, checkpoint: str) -> StreamingQuery:
     """Append each micro-batch's first rows of new keys to the cache at ``path``; keys that it has are left out.
@@ -19,12 +21,8 @@ def grow_cache(stream: DataFrame, key: str, order: str, path: str, checkpoint: s
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(order, F.struct(*batch.columns).alias("row"))).alias("m")).select("m.row.*")
-        try:
-            known = spark.read.parquet(path).filter(F.col("batch") < number).select(key)
-        except Exception:  # the first batch
-            known = None
-        if known is not None:
-            new = new.join(known, key, "left_anti")
+        if exists(spark, path):
+            new = new.join(spark.read.parquet(path).filter(F.col("batch") < number).select(key), key, "left_anti")
         new.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -140,3 +140,45 @@ def test_stages_are_cleared(spark):
     assert stage(spark.range(5)).count() == 5
     at = Path(shared_dir(spark).removeprefix("file://"))
     assert any(at.glob("stage-*")) and clear_stages(spark) > 0 and not any(at.glob("stage-*"))
+
+
+def test_segments_go_back_to_their_last_citation():
+    from scholarmill.operators.assembly import segment_back
+
+    count, cited = (lambda s: len(s.split())), (lambda s: s.startswith("<|"))
+    cut = ["a b c", "<|cite_1|>", "d e", "<|cite_2|>", "f g h", "i j"]
+    assert segment_back(cut, 9, count, cited) == [["a b c", "<|cite_1|>", "d e", "<|cite_2|>"], ["f g h", "i j"]]
+    assert segment_back(cut, 5, count, cited) == [["a b c", "<|cite_1|>"], ["d e", "<|cite_2|>"], ["f g h", "i j"]]
+    assert segment_back(["a b", "c d", "e f g h i j", "k"], 4, count, cited) == [["a b", "c d"], ["e f g h i j"], ["k"]]
+    assert segment_back([], 5, count, cited) == []
+
+
+def test_marker_places_and_last_tokens(spark):
+    from scholarmill.functions.vectors import last_token_pool
+
+    df = spark.createDataFrame([(["<|cite_start|>", "x", "<|cite_start|>"], [1, 0, 5]), ([], [0]), (None, [0])], "w array<string>, k array<int>")
+    rows = df.select(assembly.marker_positions(F.col("w"), "<|cite_start|>").alias("a"), assembly.marker_positions(F.col("w"), "<|cite_start|>", F.col("k")).alias("b")).collect()
+    assert [(r.a, r.b) for r in rows] == [([0, 2], [2, 0, None]), ([], [None]), (None, [None])]
+    df = spark.createDataFrame([([[1.0], [2.0], [3.0]], [1, 1, 0]), ([[1.0]], [0]), (None, None)], "v array<array<double>>, m array<int>")
+    assert [r[0] for r in df.select(last_token_pool(F.col("v"), F.col("m"))).collect()] == [[2.0], None, None]
+
+
+def test_loss_leaves_out_null_vectors(spark):
+    from scholarmill.operators.retrieval import softmax_loss
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, None), (5, [1.0])], "vec_id long, embedding array<float>")
+    got = {r.query_id: (round(r.best, 4), round(r.loss, 4)) for r in softmax_loss(v, v.withColumnRenamed("vec_id", "query_id"), 0.5).collect()}
+    near = round(math.log(1 + math.exp(-2 * 0.707107)), 4)
+    assert got == {1: (0.7071, near), 2: (0.7071, near), 3: (0.7071, 0.6931)}
+
+
+def test_stage_tables_need_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from scholarmill.plans import stage
+
+    unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            stage.shared_dir(unset(master))
+    assert stage.shared_dir(unset("local[2]")).startswith("file:///")
