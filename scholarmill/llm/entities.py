@@ -1,15 +1,16 @@
 """Matching records of several sources that share no key.
 
-Candidates are blocked by MinHash across attributes: bands of minima of an abstract's rare shingles, and sets of title
-words, as letter sets so that swapped and doubled letters agree. Each candidate pair gets similarity features; a
-logistic classifier is trained on weak labels (abstracts that agree or don't, the same pairs once more without their
-abstracts) and calibrated on held-out ones. A record matches its most probable paper.
+Candidates are blocked by MinHash across attributes: bands of minima of an abstract's rare shingles; three of a title's
+words, as letter sets so that swapped and doubled letters agree, and three of their first letters, by MinHash over the
+sets of three; minima of words with minima of names. Each candidate pair gets similarity features; a logistic classifier is trained on weak labels, pairs seen without
+their abstracts labelled by whether these agree, and calibrated on held-out ones. Words that tell papers of a like title
+apart (sequels, replies, surveys) are learned from the same pairs. A record matches its most probable paper.
 """
 
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,24 +22,23 @@ from scholarmill.llm.overlap import _lists, _weights, frequent_shingles, shingle
 from scholarmill.llm.words import word_hash
 from scholarmill.plans.stage import stage
 
-BANDS, ROWS = 24, 2
+BANDS, ROWS = 24, 2  #: of abstracts
+TITLE_ORDERS, HEAD_ORDERS, SHORT_ORDERS = 60, 40, 24  #: random orders of words, of first letters and of the words of short titles
+NAME_BANDS = 20  #: of a word and a name each
 OFTEN = 100  #: a shingle in one abstract of so many is frequent
-WIDE, NAMES = 12, 24  #: title words and names from which on keys are made of neighbours and of a sketch
 SAMPLE = 20_000  #: at most so many candidate pairs train the classifier
 TITLE_STOP = 0.06  #: a title word in so large a share of titles says nothing; with n words a title there are at most n / TITLE_STOP
 THRESHOLD = 0.5
 WORD = re.compile(r"[^\W_]+")
-# Words that make another paper of a like title, and decorations that don't.
-MARKERS = {"ii", "iii", "iv", "vi", "part", "survey", "reply", "comment", "comments", "response", "erratum", "revisited", "problems", "notes", "overview", "review", "appendix", "addendum", "corrigendum", "rebuttal", "tutorial", "introduction"}
-DECORATION = re.compile(r"\(extended abstract\)|\(supplement\)|\(v\d+\)|\[preprint\]|,? technical report|[-–,]* ?short paper|\(short paper\)|\bet al\b\.?|[*†‡{}\[\]]", re.I)
-_SEEDS = np.random.default_rng(7).integers(1, 2**63 - 1, BANDS * ROWS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+_SEEDS = np.random.default_rng(7).integers(1, 2**63 - 1, 512, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
 def title_words(title: str | None) -> list[str]:
-    """The words of a title without decorations, in lower case."""
-    return WORD.findall(DECORATION.sub(" ", consistent(title)).lower()) if title else []
+    """The words of a title in lower case."""
+    return WORD.findall(consistent(title).lower()) if title else []
 
 
+@lru_cache(maxsize=200_000)
 def letters(word: str) -> int:
     """A hash of the set of a word's letters: the same for swapped and doubled letters."""
     return zlib.crc32("".join(sorted(set(word))).encode()) & 0x7FFFFFFF
@@ -49,7 +49,7 @@ def names(authors: str | None) -> set[str]:
     return {w for w in WORD.findall(consistent(authors).lower()) if len(w) > 2 and w != "and"} if authors else set()
 
 
-RECORD = "rid long, source_name string, has_abstract boolean, title array<int>, heads array<int>, chars array<int>, marks array<int>, words array<int>, people array<int>, year int"
+RECORD = "rid long, source_name string, has_abstract boolean, title array<int>, heads array<int>, chars array<int>, tokens array<int>, words array<int>, people array<int>, year int"
 
 
 def records(df: DataFrame) -> DataFrame:
@@ -67,9 +67,9 @@ def records(df: DataFrame) -> DataFrame:
                 rows["source_name"].append(source)
                 rows["has_abstract"].append(len(words) >= 10)
                 rows["title"].append(list(dict.fromkeys(map(letters, tw))))
-                rows["heads"].append([zlib.crc32(w[:3].encode()) & 0x7FFFFFFF for w in dict.fromkeys(tw) if len(w) > 3])
+                rows["heads"].append(list(dict.fromkeys(zlib.crc32(w[:3].encode()) & 0x7FFFFFFF for w in tw if len(w) > 3)))
                 rows["chars"].append(sorted({zlib.crc32(joined[i : i + 3].encode()) & 0x7FFFFFFF for i in range(len(joined) - 2)}) if tw else [])
-                rows["marks"].append(sorted(word_hash(w) for w in MARKERS.intersection(tw)))
+                rows["tokens"].append(sorted({word_hash(w) for w in tw}))
                 rows["words"].append(words)
                 rows["people"].append(sorted(map(word_hash, names(authors))))
                 rows["year"].append(year)
@@ -85,170 +85,281 @@ def rare_shingles(words: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> tu
     return h, h[_weights(h, *often) == 0]
 
 
-def word_sets(words: list[int], size: int) -> list[tuple]:
-    """Sets of ``size`` of the words; of a title with more than WIDE words those within four neighbours, so that long ones stay linear."""
-    if len(words) <= WIDE:
-        return list(combinations(sorted(words), size))
-    return list({tuple(sorted(c)) for i in range(len(words) - 3) for c in combinations(words[i : i + 4], size)})
+def hashed(x: np.ndarray, n: int, first: int = 0) -> np.ndarray:
+    """``n`` hashes of each of a set of numbers, with the seeds from ``first`` on."""
+    x = x.astype(np.uint64)
+    x = (x[None, :] ^ (x[None, :] >> np.uint64(31))) * _SEEDS[first : first + n, None]
+    return x ^ (x >> np.uint64(32))
 
 
-def title_keys(content: list[int]) -> tuple[list[tuple], list[tuple]]:
-    """Word sets of a paper's title, and those of a record's: three words, two where a record's title has no more than three."""
-    three, two = word_sets(content, 3), word_sets(content, 2)
-    return three + two, three + two * (len(content) <= 3)
+def minima(x: np.ndarray, n: int, first: int = 0) -> np.ndarray:
+    """The least of each of ``n`` hashes of a set of numbers."""
+    return hashed(x, n, first).min(axis=1)
 
 
-def _key(c: tuple) -> int:
-    return zlib.crc32(repr(c).encode()) << 31 | zlib.crc32(repr(c[::-1]).encode()) >> 1
+def lowest(x: np.ndarray, k: int, n: int, first: int, kind: int) -> np.ndarray:
+    """MinHash over the sets of ``k`` of the numbers: a key for the ``k`` that come first in each of ``n`` random orders.
 
-
-def blocks(df: DataFrame, often: tuple[np.ndarray, np.ndarray], stop: set[int]) -> DataFrame:
-    """(rid, has_abstract, kind, h): blocking keys, kind 0 of the abstract, 1 of the title."""
-    sent = df.sparkSession.sparkContext.broadcast((often, stop))
+    Sets of which c of u numbers are common have the same ones first with probability c (c-1) … / u (u-1) …; the same ones
+    in two orders make one key.
+    """
+    first_k = np.sort(x[np.argsort(hashed(x, n, first), axis=1)[:, :k]], axis=1).astype(np.uint64)
+    h = np.full(n, kind, np.uint64)
+    for column in first_k.T:
+        h = (h ^ column) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def bands(m: np.ndarray, rows: int, kind: int) -> np.ndarray:
+    """A key for each ``rows`` minima; keys of different bands and kinds differ."""
+    m = m.reshape(-1, rows)
+    h = np.arange(len(m), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind)
+    for k in range(rows):
+        h = (h ^ m[:, k]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+class Frequent:
+    """What says little: frequent shingles, and title words in so large a share of records."""
+
+    def __init__(self, shingles_: tuple[np.ndarray, np.ndarray], stop: list[int]):
+        self.shingles, self.stop = shingles_, np.array(sorted(stop), np.int64)
+
+    def content(self, x: list[int]) -> np.ndarray:
+        """The words that aren't frequent; all of a title of little else than frequent words."""
+        w = np.array(x, np.int64)
+        some = w[~np.isin(w, self.stop)]
+        return some if len(some) >= 3 else w
+
+
+def keys_of(title: list[int], heads: list[int], people: list[int], words: np.ndarray | None, known: Frequent) -> np.ndarray:
+    """The blocking keys of a record: of its abstract, three of its title's words, three of their first letters, a word
+    with a name, and its whole title; of a title of up to three words two as well."""
+    out = []
+    if words is not None:
+        every, rare = rare_shingles(words, known.shingles)
+        # where a group of near copies makes its own shingles frequent, all shingles block too
+        for part in ([rare] if len(rare) else []) + ([every] if 2 * len(rare) < len(every) else []):
+            out.append(bands(minima(part, BANDS * ROWS), ROWS, 0))
+    if title:
+        w = known.content(title)
+        out.append(lowest(w, 3, TITLE_ORDERS, 0, 1))
+        if len(w) <= 3:
+            out.append(lowest(w, 2, SHORT_ORDERS, 200, 5))
+        for part in (np.array(title, np.int64), w):
+            out.append(lowest(part, len(part), 1, 0, 2))
+        if people:
+            out.append(bands(np.stack([minima(w, NAME_BANDS, 300), minima(np.array(people, np.int64), NAME_BANDS, 330)], axis=1), 2, 3))
+    if heads:
+        out.append(lowest(known.content(heads), 3, HEAD_ORDERS, 100, 4))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def blocks(df: DataFrame, known: Frequent) -> DataFrame:
+    """(rid, source_name, h): the blocking keys of each record."""
+    sent = df.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, has, kind, key = [], [], [], []
-            each = zip(*(batch.column(c).to_pylist() for c in ("rid", "has_abstract", "source_name", "title", "heads", "people")), _lists(batch, "words"))
-            for r, a, source, title, heads, people, words in each:
-                keys = set()
-                if a:
-                    every, rare = rare_shingles(words, sent.value[0])
-                    # where a group of near copies makes its own shingles frequent, all shingles block too
-                    for part in ([rare] if len(rare) else []) + ([every] if 2 * len(rare) < len(every) else []):
-                        x = part.astype(np.uint64)
-                        x = (x[None, :] ^ (x[None, :] >> np.uint64(31))) * _SEEDS[:, None]
-                        m = (x ^ (x >> np.uint64(32))).min(axis=1).reshape(BANDS, ROWS)
-                        band = m[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ m[:, 1] + np.arange(BANDS, dtype=np.uint64)
-                        keys.update((0, int(k)) for k in band.view(np.int64))
-                w = [t for t in title if t not in sent.value[1]]
-                # a title of little else than frequent words is blocked by all of its words
-                sets = list(title_keys(w if len(w) >= 3 else title)[source == "b"])
-                sets += [(t, -n) for t in (w or title)[:WIDE] for n in people[:NAMES]]  # names are sorted by hash: a sketch of long lists
-                h = [t for t in dict.fromkeys(heads) if t not in sent.value[1]]
-                sets += [("head", *c) for c in word_sets(h if len(h) >= 3 else list(dict.fromkeys(heads)), 3)]
-                if title:
-                    keys.add((0, _key(("full title", *sorted(title)))))
-                if w:
-                    keys.add((0, _key(("title", *sorted(w)))))
-                keys.update((1, _key(c)) for c in sets)
-                for k, h in keys:
-                    rid.append(r), has.append(a), kind.append(k), key.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(has, pa.bool_()), pa.array(kind, pa.int32()), pa.array(key, pa.int64())], names=["rid", "has_abstract", "kind", "h"])
-
-    return df.select("rid", "has_abstract", "source_name", "title", "heads", "people", "words").mapInArrow(run, "rid long, has_abstract boolean, kind int, h long")
-
-
-FEATURES = ("abstract", "no_abstract", "title_chars", "title_words", "people", "no_people", "other_mark", "year", "title_only", "people_only", "mark_only", "other_people_only", "bias")
-
-
-def _share(a: set, b: set) -> float:
-    return len(a & b) / min(len(a), len(b)) if a and b else 0.0
-
-
-def _vector(s, no, chars, tw, people, unknown, mark, year):
-    other = float(not unknown and people < 0.3)
-    return [s, no, chars, tw, people, unknown, mark, year, chars * no, people * no, mark * no, other * no, 1.0]
-
-
-def features(a: dict, b: dict, often: tuple[np.ndarray, np.ndarray], stop: set[int], masked: bool = False) -> list[float]:
-    """Similarity features of a paper and a record; ``masked`` as if there were no abstracts."""
-    both = a["has_abstract"] and b["has_abstract"] and not masked
-    s = 0.0
-    if both:
-        (p, p_rare), (q, q_rare) = (tuple(set(x.tolist()) for x in rare_shingles(r["words"], often)) for r in (a, b))
-        s = _share(p_rare, q_rare)
-        if (t := _share(p, q)) >= 0.35:  # more than two texts of the same phrases share
-            s = max(s, t)
-    x, y = set(a["chars"]), set(b["chars"])
-    chars = len(x & y) / len(x | y) if x and y else 0.0
-    p, q = set(a["title"]) - stop, set(b["title"]) - stop
-    tw = _share(p, q) if p and q else _share(set(a["title"]), set(b["title"]))
-    p, q = set(a["people"]), set(b["people"])
-    people, unknown = (len(p & q) / len(q), 0.0) if p and q else (0.0, 1.0)
-    mark = float(set(a["marks"]) != set(b["marks"]))
-    year = 0.0 if a["year"] is None or b["year"] is None else 1.0 if abs(a["year"] - b["year"]) <= 1 else -1.0
-    return _vector(s, 1.0 - both, chars, tw, people, unknown, mark, year)
-
-
-def fit(x: np.ndarray, y: np.ndarray, l2: float = 0.5, rounds: int = 30) -> np.ndarray:
-    """Weights of a logistic classifier, by Newton steps."""
-    w = np.zeros(x.shape[1])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * len(y)
+            each = zip(*(batch.column(c).to_pylist() for c in ("has_abstract", "title", "heads", "people")), _lists(batch, "words"))
+            found = [keys_of(title, heads, people, words if a else None, sent.value) for a, title, heads, people, words in each]
+            take = pa.array(np.repeat(np.arange(len(found)), [len(k) for k in found]))
+            yield pa.RecordBatch.from_arrays([batch.column("rid").take(take), batch.column("source_name").take(take), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["rid", "source_name", "h"])
+
+    return df.select("rid", "source_name", "has_abstract", "title", "heads", "people", "words").mapInArrow(run, "rid long, source_name string, h long")
+
+
+FEATURES = ("abstract", "no_abstract", "title_chars", "title_in", "title_words", "people", "no_people", "other_words", "year", "title_only", "title_in_only", "people_only", "other_words_only", "other_people_only", "bias")
+OTHER, OTHER_ONLY, NO = FEATURES.index("other_words"), FEATURES.index("other_words_only"), FEATURES.index("no_abstract")
+#: Where the weights of the classifier start; each labelled pair moves them, a table without labels keeps them.
+START = np.array([9.0, 1.5, 1.5, 1.0, 1.5, 1.0, 0.5, -2.0, 0.7, 2.0, 1.0, 1.5, -2.0, -2.5, -5.5])
+
+
+class Keyed:
+    """Sets of numbers of the pairs of a batch, as one sorted array of (pair, number)."""
+
+    BITS = 44
+
+    def __init__(self, pair: np.ndarray, number: np.ndarray, n: int):
+        self.keys = np.unique(pair.astype(np.int64) << self.BITS | number.astype(np.int64) & (1 << self.BITS) - 1)
+        self.n = n
+        self.size = self.count(self.keys)
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        return np.bincount(keys >> self.BITS, minlength=self.n)
+
+    def common(self, other: "Keyed") -> np.ndarray:
+        """How many numbers each pair's sets have in common."""
+        return self.count(np.intersect1d(self.keys, other.keys, assume_unique=True))
+
+    def share(self, other: "Keyed") -> np.ndarray:
+        """The common numbers by those of the smaller set; 0 where one is empty."""
+        return self.common(other) / np.maximum(1, np.minimum(self.size, other.size))
+
+    def apart(self, other: "Keyed") -> tuple[np.ndarray, np.ndarray]:
+        """(pair, number) of what only one of the two has."""
+        keys = np.setxor1d(self.keys, other.keys, assume_unique=True)
+        return keys >> self.BITS, keys & (1 << self.BITS) - 1
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    column = batch.column(name)
+    ends = column.offsets.to_numpy()
+    return np.repeat(np.arange(batch.num_rows), np.diff(ends)), column.values.to_numpy()[ends[0] : ends[-1]]
+
+
+def _shingled(batch: pa.RecordBatch, name: str, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, shingle) of the abstracts of the pairs in ``which``."""
+    lists = list(_lists(batch, name))
+    found = [shingles(lists[k]) for k in which]
+    return np.repeat(which, [len(f) for f in found]), np.concatenate([np.zeros(0, np.int64), *found])
+
+
+def features(batch: pa.RecordBatch, known: Frequent, model: "Matcher | None" = None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Similarity features of the papers (a_) and records (b_) of a batch, the same as if there were no abstracts, and what
+    words (pair, word) only one of two titles has. ``model`` tells which of these speak for another paper."""
+    n = batch.num_rows
+    sets = {c: (Keyed(*_flat(batch, f"a_{c}"), n), Keyed(*_flat(batch, f"b_{c}"), n)) for c in ("chars", "title", "people", "tokens")}
+    both = np.array(batch.column("a_has_abstract").to_numpy(False), bool) & np.array(batch.column("b_has_abstract").to_numpy(False), bool)
+    s = np.zeros(n)
+    if both.any():
+        sides = [_shingled(batch, f"{p}_words", np.flatnonzero(both)) for p in "ab"]
+        every = [Keyed(p, h, n) for p, h in sides]
+        rare = [Keyed(p[r], h[r], n) for p, h in sides for r in (_weights(h, *known.shingles) == 0,)]
+        whole = every[0].share(every[1])
+        s = np.maximum(rare[0].share(rare[1]), np.where(whole >= 0.35, whole, 0.0))  # more than two texts of the same phrases share
+    a, b = sets["chars"]
+    common = a.common(b)
+    chars, inside = common / np.maximum(1, a.size + b.size - common), a.share(b)
+    a, b = sets["title"]
+    content = [Keyed(x.keys[r] >> x.BITS, x.keys[r] & (1 << x.BITS) - 1, n) for x in (a, b) for r in (~np.isin(x.keys & (1 << x.BITS) - 1, known.stop),)]
+    tw = np.where((content[0].size > 0) & (content[1].size > 0), content[0].share(content[1]), a.share(b))
+    a, b = sets["people"]
+    unknown = (a.size == 0) | (b.size == 0)
+    people = np.where(unknown, 0.0, a.common(b) / np.maximum(1, b.size))
+    years = [np.array(batch.column(f"{p}_year").to_numpy(False), np.float64) for p in "ab"]
+    year = np.where(np.isnan(years[0]) | np.isnan(years[1]), 0.0, np.where(np.abs(years[0] - years[1]) <= 1, 1.0, -1.0))
+    a, b = sets["tokens"]
+    apart = a.apart(b)
+    other = model.other(*apart, n) if model else np.zeros(n)
+    strange = (~unknown & (people < 0.3)).astype(float)
+    x, bare = (np.stack([s * (1 - no), no, chars, inside, tw, people, unknown, other, year, chars * no, inside * no, people * no, other * no, strange * no, np.ones(n)], axis=1) for no in ((~both).astype(float), np.ones(n)))
+    return x, bare, apart
+
+
+def fit(x: np.ndarray, y: np.ndarray, start: np.ndarray, l2: float = 0.5, rounds: int = 40) -> np.ndarray:
+    """Weights of a logistic classifier by Newton steps, drawn to ``start``; every row counts once."""
+    w = start.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + l2 * w
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
+        g = x.T @ (p - y) + l2 * (w - start)
+        h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + l2 * np.eye(len(w))
         step = np.linalg.solve(h, g)
-        w -= step
+        w -= step / max(1.0, np.abs(step).max() / 4)
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def word_odds(pair: np.ndarray, word: np.ndarray, y: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(words, odds): how much a word that only one of two like titles has speaks for another paper, from 0 to 1.
+
+    A third of the log odds of pairs that aren't a match; words seen in less than ``least`` pairs say nothing.
+    """
+    words, at = np.unique(word, return_inverse=True)
+    yes = np.bincount(at, y[pair], len(words)) if len(words) else np.zeros(0)
+    seen = np.bincount(at, minlength=len(words)) if len(words) else np.zeros(0)
+    odds = np.log(((seen - yes + 0.5) / (max(1, (1 - y).sum()) + 1)) / ((yes + 0.5) / (max(1, y.sum()) + 1)))
+    keep = (seen >= least) & (odds > 0)
+    return words[keep], np.minimum(odds[keep] / 3, 1.0)
+
+
 class Matcher:
-    """A trained classifier with calibrated probabilities."""
+    """A trained classifier with calibrated probabilities, and the words that tell papers apart."""
 
-    def __init__(self, weights: np.ndarray, scale: tuple[float, float]):
+    def __init__(self, weights: np.ndarray = START, scale: tuple[float, float] = (1.0, 0.0), odds: tuple[np.ndarray, np.ndarray] | None = None):
         self.weights, self.scale = weights, scale
+        self.odds = odds if odds is not None else (np.zeros(0, np.int64), np.zeros(0))
+
+    def other(self, pair: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+        """How much the words that only one of a pair's titles has speak for another paper: as much as the strongest."""
+        out = np.zeros(n)
+        if len(self.odds[0]) and len(word):
+            at = np.minimum(np.searchsorted(self.odds[0], word), len(self.odds[0]) - 1)
+            np.maximum.at(out, pair, np.where(self.odds[0][at] == word, self.odds[1][at], 0.0))
+        return out
 
     @classmethod
-    def train(cls, full: np.ndarray, bare: np.ndarray) -> "Matcher":
-        """``full``: features of pairs, ``bare``: of the same pairs without abstracts. Weak labels come from abstracts."""
-        both = full[:, 1] == 0
+    def train(cls, full: np.ndarray, bare: np.ndarray, pair: np.ndarray, word: np.ndarray) -> "Matcher":
+        """``full``: features of pairs, ``bare``: of the same pairs without abstracts; words (pair, word) of one title only.
+
+        Pairs whose abstracts agree or don't give the labels: of themselves, and of what they look like without abstracts.
+        A third of them is held out for the calibration, on which no other rows and no weights of classes bear.
+        """
+        both = full[:, NO] == 0
         yes, no = both & (full[:, 0] >= 0.3), both & (full[:, 0] < 0.08)
-        seen = bare[:, 2] >= 0.45  # without abstract or title nothing speaks for a match
-        x = np.concatenate([full[yes | no], bare[(yes & seen) | no]])
-        y = np.concatenate([yes[yes | no], yes[(yes & seen) | no]]).astype(float)
-        # whatever the sample holds: the plain directions of the features
-        times = 3 + len(y) // (20 * len(PRIOR))
-        x = np.concatenate([x, *[np.array([p] * times) for p, _ in PRIOR]])
-        y = np.concatenate([y, *[[t] * times for _, t in PRIOR]])
+        y, use = yes.astype(float), yes | no
         hold = np.arange(len(y)) % 3 == 2
-        w = fit(x[~hold], y[~hold])
-        s = x[hold] @ w
-        a, b = fit(np.stack([s, np.ones(len(s))], axis=1), y[hold], 1e-2) if 0 < y[hold].sum() < hold.sum() else (1.0, 0.0)
-        return cls(w, (max(float(a), 0.05), float(b)))
+        alike = use & ~hold & (bare[:, 2] >= 0.45)
+        model = cls(odds=word_odds(pair[alike[pair]], word[alike[pair]], np.where(alike, y, 0.0)) if alike.any() else None)
+        full, bare = full.copy(), bare.copy()
+        for x in (full, bare):
+            x[:, OTHER] = model.other(pair, word, len(y))
+            x[:, OTHER_ONLY] = x[:, OTHER] * x[:, NO]
+        fitted, held = use & ~hold, use & hold
+        model.weights = fit(np.concatenate([full[fitted], bare[fitted]]), np.tile(y[fitted], 2), START)
+        if 10 <= y[held].sum() <= held.sum() - 10:
+            score = bare[held] @ model.weights
+            scale = fit(np.stack([score, np.ones(len(score))], axis=1), y[held], np.array([1.0, 0.0]), 1e-2)
+            model.scale = max(float(scale[0]), 0.05), float(scale[1])
+        return model
 
     def confidence(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * (x @ self.weights) + self.scale[1], -30, 30)))
 
 
-#: Pairs whose label is plain, so that a small sample can be trained on too.
-PRIOR = [
-    (_vector(0.9, 0, 0.9, 1.0, 0, 1, 0, 0), 1.0), (_vector(0.6, 0, 0.1, 0.2, 0, 1, 0, 0), 1.0), (_vector(0.5, 0, 0.8, 0.8, 1, 0, 0, 1), 1.0),
-    (_vector(0.0, 0, 0.9, 1.0, 0, 1, 0, 0), 0.0), (_vector(0.0, 0, 0.9, 1.0, 0, 0, 1, -1), 0.0), (_vector(0.02, 0, 0.3, 0.5, 0, 0, 0, 0), 0.0),
-    (_vector(0, 1, 0.9, 1.0, 1, 0, 0, 1), 1.0), (_vector(0, 1, 0.95, 1.0, 0, 1, 0, 0), 1.0), (_vector(0, 1, 0.7, 0.8, 1, 0, 0, 1), 1.0),
-    (_vector(0, 1, 0.9, 1.0, 0, 0, 0, -1), 0.0), (_vector(0, 1, 0.9, 1.0, 1, 0, 1, 0), 0.0), (_vector(0, 1, 0.5, 0.6, 0, 1, 0, 0), 0.0),
-    (_vector(0, 1, 0.95, 1.0, 0, 0, 0, 0), 0.0), (_vector(0, 1, 0.95, 1.0, 0, 0, 1, 0), 0.0), (_vector(0, 1, 0.9, 1.0, 0, 1, 1, 0), 0.0),
-    (_vector(0, 1, 0.72, 0.6, 0, 1, 0, 0), 1.0), (_vector(0, 1, 0.5, 0.8, 1, 0, 0, 0), 1.0), (_vector(0, 1, 0.55, 0.75, 0, 1, 0, 0), 0.0),
-]
+ATTRIBUTES = ["has_abstract", "title", "chars", "tokens", "words", "people", "year"]
 
-ATTRIBUTES = ["has_abstract", "title", "chars", "marks", "words", "people", "year"]
 
+def _joined(pairs: DataFrame, papers: DataFrame, others: DataFrame) -> DataFrame:
+    rename = lambda df, p: df.select(F.col("rid").alias(f"{p}rid"), *[F.col(c).alias(p + c) for c in ATTRIBUTES])
+    return pairs.join(rename(papers, "a_"), "a_rid").join(rename(others, "b_"), "b_rid")
 
-def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[dict, dict]]:
-    cols = {}
-    for p in ("a_", "b_"):
-        for c in ATTRIBUTES:
-            col = batch.column(p + c)
-            cols[p + c] = list(_lists(batch, p + c)) if c == "words" else col.to_pylist()
-    for k in range(batch.num_rows):
-        yield {c: cols["a_" + c][k] for c in ATTRIBUTES}, {c: cols["b_" + c][k] for c in ATTRIBUTES}
 
+BATCH = 8000  #: pairs compared at a time, fewer than the numbers that a key has room for
 
-def with_features(pairs: DataFrame, papers: DataFrame, others: DataFrame, often, stop, bare: bool = False) -> DataFrame:
-    """(a_rid, b_rid, x, x_bare) of candidate pairs (a_rid, b_rid); x_bare, as if without abstracts, if ``bare``."""
-    sent = pairs.sparkSession.sparkContext.broadcast((often, stop))
-    rename = lambda df, p: df.select(F.col("rid").alias(f"{p}rid"), *[F.col(c).alias(p + c) for c in ATTRIBUTES])
-    df = pairs.join(rename(papers, "a_"), "a_rid").join(rename(others, "b_"), "b_rid")
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(k, BATCH) for batch in batches for k in range(0, batch.num_rows, BATCH))
+
+
+def sample_features(pairs: DataFrame, papers: DataFrame, others: DataFrame, known: Frequent) -> DataFrame:
+    """(a_rid, b_rid, x, x_bare, different) of candidate pairs: features with and without abstracts, words of one title only."""
+    sent = pairs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [(features(a, b, *sent.value), features(a, b, *sent.value, masked=True) if bare else None) for a, b in _pairs(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("a_rid"), batch.column("b_rid"), *(pa.array([x[k] for x in both], pa.list_(pa.float64())) for k in (0, 1))], names=["a_rid", "b_rid", "x", "x_bare"])
+        for batch in _parts(batches):
+            x, bare, (pair, word) = features(batch, sent.value)
+            ends = np.searchsorted(pair, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = [pa.array(list(v), pa.list_(pa.float64())) for v in (x, bare)]
+            yield pa.RecordBatch.from_arrays([batch.column("a_rid"), batch.column("b_rid"), *lists, pa.ListArray.from_arrays(pa.array(ends), pa.array(word))], names=["a_rid", "b_rid", "x", "x_bare", "different"])
+
+    return _joined(pairs, papers, others).mapInArrow(run, "a_rid long, b_rid long, x array<double>, x_bare array<double>, different array<long>")
+
+
+def scored(pairs: DataFrame, papers: DataFrame, others: DataFrame, known: Frequent, model: Matcher) -> DataFrame:
+    """(a_rid, b_rid, confidence) of the candidate pairs that are rather a match than not."""
+    sent = pairs.sparkSession.sparkContext.broadcast((known, model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, model = sent.value
+        for batch in _parts(batches):
+            c = model.confidence(features(batch, known, model)[0])
+            yield pa.RecordBatch.from_arrays([batch.column("a_rid"), batch.column("b_rid"), pa.array(c)], names=["a_rid", "b_rid", "confidence"]).filter(pa.array(c >= THRESHOLD))
 
-    return df.mapInArrow(run, "a_rid long, b_rid long, x array<double>, x_bare array<double>")
+    return _joined(pairs, papers, others).mapInArrow(run, "a_rid long, b_rid long, confidence double")
 
 
 def match(papers: DataFrame, others: DataFrame) -> DataFrame:
@@ -259,42 +370,33 @@ def match(papers: DataFrame, others: DataFrame) -> DataFrame:
     match nothing; null ids are left out. Of equally probable papers a record takes one of them, always the same.
     """
     cols = ["title", "abstract", "authors", "year"]
-    rid = F.xxhash64(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}))
+    text = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
     both = papers.withColumn("other_table", F.lit("")).unionByName(others).filter(F.col("id").isNotNull())
-    both = both.select("id", "other_table", *cols, rid.alias("rid"), (F.col("other_table") == "").alias("_paper"))
+    both = both.select("id", "other_table", *cols, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"), (F.col("other_table") == "").alias("_paper"))
+    # a record is told by 128 bits; its number is the first half, mixed with the second
+    both = both.withColumn("rid", F.xxhash64("h1", "h2"))
     ids = stage(both.select("_paper", "rid", "other_table", "id").distinct())
     side = F.when(F.col("_paper"), "a").otherwise("b").alias("source_name")
     rows = stage(records(both.groupBy(side, "rid").agg(*[F.first(c).alias(c) for c in cols])))
     often = frequent_shingles(rows.filter("has_abstract"), OFTEN)
     n = rows.count()
-    stop = {r[0] for r in rows.select(F.explode(F.concat("title", F.array_distinct("heads"))).alias("w")).groupBy("w").count().filter(F.col("count") >= max(3, n * TITLE_STOP)).collect()}
+    stop = rows.select(F.explode(F.concat("title", "heads")).alias("w")).groupBy("w").count().filter(F.col("count") >= max(3, n * TITLE_STOP)).collect()
+    known = Frequent(often, [r[0] for r in stop])
     a, b = rows.filter("source_name = 'a'"), rows.filter("source_name = 'b'")
-    keys = stage(_both_blocks(a, b, often, stop))
-    ka = keys.filter("source_name = 'a'").select("kind", "h", F.col("rid").alias("a_rid"), F.col("has_abstract").alias("a_has"))
-    kb = keys.filter("source_name = 'b'").select("kind", "h", F.col("rid").alias("b_rid"), F.col("has_abstract").alias("b_has"))
-    near = ka.filter("kind = 0").join(kb.filter("kind = 0"), ["kind", "h"]).select("a_rid", "b_rid")
-    # titles block all pairs: abstracts may be rewritten or shortened
-    t = lambda x, y: ka.filter(f"kind = 1 and {x}").join(kb.filter(f"kind = 1 and {y}"), ["kind", "h"]).select("a_rid", "b_rid")
-    candidates = stage(near.unionByName(t("true", "true")).distinct())
-    every = max(1, keys.filter("kind = 1").count() // 200_000)
-    trained = t(f"a_has and pmod(h, {every}) = 0", f"b_has and pmod(h, {every}) = 0").unionByName(near.filter(F.pmod(F.xxhash64("a_rid"), F.lit(every)) == 0)).distinct()
-    trained = stage(trained.orderBy(F.xxhash64("a_rid", "b_rid"), "a_rid", "b_rid").limit(SAMPLE))
-    rows_x = with_features(trained, a, b, often, stop, bare=True).orderBy("a_rid", "b_rid").select("x", "x_bare").collect()
+    keys = stage(blocks(rows, known))
+    ka = keys.filter("source_name = 'a'").select("h", F.col("rid").alias("a_rid"))
+    kb = keys.filter("source_name = 'b'").select("h", F.col("rid").alias("b_rid"))
+    candidates = stage(ka.join(kb, "h").select("a_rid", "b_rid").distinct())
+    has = lambda df, c: df.filter("has_abstract").select(F.col("rid").alias(c))
+    labelled = candidates.join(has(a, "a_rid"), "a_rid", "left_semi").join(has(b, "b_rid"), "b_rid", "left_semi")
+    trained = stage(labelled.orderBy(F.xxhash64("a_rid", "b_rid"), "a_rid", "b_rid").limit(SAMPLE)).repartition(64, "b_rid")
+    rows_x = sample_features(trained, a, b, known).orderBy(F.xxhash64("a_rid", "b_rid"), "a_rid", "b_rid").select("x", "x_bare", "different").collect()
     k = len(FEATURES)
-    model = Matcher.train(np.array([r[0] for r in rows_x]).reshape(-1, k), np.array([r[1] for r in rows_x]).reshape(-1, k))
-    sent = papers.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(2).values.to_numpy().reshape(-1, k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sent.value.confidence(x))], names=["a_rid", "b_rid", "confidence"])
-
-    scored = with_features(candidates, a, b, often, stop).select("a_rid", "b_rid", "x").mapInArrow(run, "a_rid long, b_rid long, confidence double")
-    best = scored.filter(F.col("confidence") >= THRESHOLD).groupBy("b_rid").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "a_rid")).alias("m")).select("b_rid", F.col("m.a_rid").alias("a_rid"), (-F.col("m.c")).alias("confidence"))
+    x, bare = (np.array([r[i] for r in rows_x]).reshape(-1, k) for i in (0, 1))
+    pair = np.repeat(np.arange(len(rows_x)), [len(r[2]) for r in rows_x])
+    model = Matcher.train(x, bare, pair, np.array([w for r in rows_x for w in r[2]], np.int64))
+    found = scored(candidates, a, b, known, model)
+    best = found.groupBy("b_rid").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "a_rid")).alias("m")).select("b_rid", F.col("m.a_rid").alias("a_rid"), (-F.col("m.c")).alias("confidence"))
     pid = ids.filter("_paper").groupBy(F.col("rid").alias("a_rid")).agg(F.min("id").alias("paper_id"))
     other = ids.filter("not _paper").select(F.col("rid").alias("b_rid"), "other_table", F.col("id").alias("other_id"))
     return best.join(pid, "a_rid").join(other, "b_rid").groupBy("paper_id", "other_table", "other_id").agg(F.max("confidence").alias("confidence"))
-
-
-def _both_blocks(a: DataFrame, b: DataFrame, often, stop) -> DataFrame:
-    return blocks(a, often, stop).withColumn("source_name", F.lit("a")).unionByName(blocks(b, often, stop).withColumn("source_name", F.lit("b")))

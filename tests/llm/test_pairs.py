@@ -223,3 +223,52 @@ def test_instruction_lines_are_counted_over_all_blocks(spark, monkeypatch):
     docs = [(0, line + " and more"), (1, "so " + items[3][1][len(line) :]), (2, items[4][1])]
     found = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
     assert {(r.doc_id, i) for r in found.collect() for i in r.item_ids} == {(1, 3), (2, 4)}
+
+
+def test_title_keys_agree_where_half_of_the_words_do():
+    rng = random.Random(13)
+    known = entities.Frequent((np.zeros(0, np.int64), np.zeros(0, np.int32)), [])
+    shared = 0
+    for _ in range(200):
+        words = rng.sample(range(1, 10**6), 10)
+        a, b = words[:8], words[:6] + words[8:]  # six of ten words in common
+        x, y = (set(entities.keys_of(w, [], [], None, known).tolist()) for w in (a, b))
+        shared += bool(x & y)
+    assert shared >= 196
+    long = entities.keys_of(list(range(1, 5000)), [], list(range(900)), None, known)
+    assert len(long) <= entities.TITLE_ORDERS + entities.NAME_BANDS + 2
+
+
+def test_confidence_is_calibrated():
+    rng = np.random.default_rng(17)
+    n = 60_000
+    match = rng.random(n) < 0.15
+    chars = np.clip(np.where(match, rng.normal(0.75, 0.2, n), rng.normal(0.45, 0.2, n)), 0, 1)
+    people = np.clip(np.where(match, rng.normal(0.7, 0.3, n), rng.normal(0.2, 0.3, n)), 0, 1)
+    unknown = (rng.random(n) < 0.5).astype(float)
+    people *= 1 - unknown
+    s = np.where(match, rng.uniform(0.3, 1, n), rng.uniform(0, 0.05, n))
+    zero, one = np.zeros(n), np.ones(n)
+    rows = lambda no, s: np.stack([s * (1 - no), no, chars, chars, chars, people, unknown, zero, zero, chars * no, chars * no, people * no, zero, zero, one], axis=1)
+    half = n // 2
+    model = entities.Matcher.train(rows(zero, s)[:half], rows(one, s)[:half], np.zeros(0, np.int64), np.zeros(0, np.int64))
+    c, y = model.confidence(rows(one, s)[half:]), match[half:]
+    gap = 0.0
+    for k in range(10):
+        at = (c >= k / 10) & (c < (k + 1) / 10 + (k == 9))
+        if at.sum() >= 200:
+            gap = max(gap, abs(c[at].mean() - y[at].mean()) * at.sum() / len(y))
+            assert abs(c[at].mean() - y[at].mean()) < 0.1
+    assert gap < 0.05
+
+
+def test_words_that_tell_papers_apart_are_learned():
+    full = np.zeros((60, len(entities.FEATURES)))
+    full[:, 2] = 0.9
+    full[:30, 0] = 0.9  # the first half agrees
+    bare = full.copy()
+    bare[:, entities.NO] = 1
+    pair = np.arange(60)
+    word = np.where(pair < 30, 7, 9)  # "abstract" against "reply"
+    model = entities.Matcher.train(full, bare, pair, word)
+    assert model.other(np.array([0, 1, 2]), np.array([7, 9, 5]), 4).tolist()[0] == 0 and model.other(np.array([1]), np.array([9]), 2)[1] > 0.5
