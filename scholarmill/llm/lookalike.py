@@ -15,24 +15,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Latin letters and the Cyrillic and Greek letters that are drawn alike.
+# Latin letters and the letters of other scripts that are drawn alike.
 LATIN_CYRILLIC = "aа cс dԁ eе hһ iі jј oо pр qԛ sѕ wԝ xх yу AА BВ CС EЕ GԌ HН IІ JЈ KК MМ OО PР QԚ SЅ TТ WԜ XХ YҮ"
 LATIN_GREEK = "aα iι oο vν uυ pρ AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ YΥ XΧ"
+LATIN_ARMENIAN = "gց hհ jյ nո oօ qզ uս LԼ OՕ SՏ UՍ"
+LATIN_CHEROKEE = "AᎪ BᏴ CᏟ DᎠ EᎬ GᏀ HᎻ JᎫ KᏦ LᏞ MᎷ PᏢ RᎡ SᏚ TᎢ VᏙ WᎳ ZᏃ"
 SAME_SCRIPT = {"ɡ": "g", "ɑ": "a", "ı": "i", "‐": "-", "‑": "-", "ƽ": "s", "ꞌ": "'"}
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Georgian", "Hebrew", "Arabic", "Devanagari", "Thai", "Han", "Hiragana", "Katakana", "Hangul", "Bopomofo", "Cherokee")
 #: Kinds of compatibility forms that read as the plain ones; raised, lowered, circled and the like look different.
 PLAIN_FORMS = ("<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>")
 
 
+SPELLED = {"Cyrillic": LATIN_CYRILLIC, "Greek": LATIN_GREEK, "Armenian": LATIN_ARMENIAN, "Cherokee": LATIN_CHEROKEE}
+
+
 def _pairs() -> dict[tuple[str, str], dict[str, str]]:
-    """For two scripts, the letters of the first by those of the second."""
+    """For two scripts, the letters of the first by those of the second; through Latin where neither is."""
     out: dict[tuple[str, str], dict[str, str]] = {}
-    for other, pairs in (("Cyrillic", LATIN_CYRILLIC), ("Greek", LATIN_GREEK)):
-        rows = [p for p in pairs.split()]
-        out[other, "Latin"] = {p[1]: p[0] for p in rows}
-        out["Latin", other] = {p[0]: p[1] for p in rows}
-    for a, b in (("Cyrillic", "Greek"), ("Greek", "Cyrillic")):
-        out[a, b] = {x: out["Latin", b][y] for x, y in out[a, "Latin"].items() if y in out["Latin", b]}
+    for other, pairs in SPELLED.items():
+        out[other, "Latin"] = {p[1]: p[0] for p in pairs.split()}
+        out["Latin", other] = {p[0]: p[1] for p in pairs.split()}
+    for a in SPELLED:
+        for b in SPELLED:
+            if a != b:
+                out[a, b] = {x: out["Latin", b][y] for x, y in out[a, "Latin"].items() if y in out["Latin", b]}
     # letters drawn alike in one direction only
     out["Cyrillic", "Latin"]["У"] = "Y"
     return out
@@ -115,7 +121,7 @@ def consistent(text: str | None) -> str | None:
         if of is not None and "Latin" not in of or token.isascii():
             for ch in token:
                 s = scripts(ch)
-                if s is not None and len(s) == 1 and not any(ch in ALIKE.get((*s, o), ()) for o in ("Latin", "Cyrillic", "Greek")):
+                if s is not None and len(s) == 1 and not any(ch in ALIKE.get((*s, o), ()) for o in ("Latin", *SPELLED)):
                     clear[next(iter(s))] = clear.get(next(iter(s)), 0) + 1
         out.append(token)
     main = max(clear, key=lambda s: (clear[s], s == "Latin"), default="Latin")
@@ -125,7 +131,7 @@ def consistent(text: str | None) -> str | None:
             continue
         new = spelled(token, main)
         if new is None and not of:
-            new = next((x for s in ("Latin", "Cyrillic", "Greek") if (x := spelled(token, s)) is not None), None)
+            new = next((x for s in ("Latin", *SPELLED) if (x := spelled(token, s)) is not None), None)
         if new is not None:
             out[k] = new
     return "".join(out)
@@ -161,9 +167,8 @@ def same_look(left: DataFrame, right: DataFrame) -> DataFrame:
     Spellings are paired first, once each however many rows have them, so equal strings and spellings without a partner
     are never expanded; then the ids of the spellings that have a partner are joined to those pairs.
     """
-    a = left.groupBy("field", "form", "raw").agg(F.count(F.lit(1)).alias("_n"))
-    b = right.groupBy("field", "form", "raw").agg(F.count(F.lit(1)).alias("_m"))
-    pairs = a.join(b.withColumnRenamed("raw", "raw2"), ["field", "form"]).filter("raw <> raw2").drop("_n", "_m")
+    a, b = (x.select("field", "form", "raw").distinct() for x in (left, right))
+    pairs = a.join(b.withColumnRenamed("raw", "raw2"), ["field", "form"]).filter("raw <> raw2")
     out = pairs.join(left.distinct().withColumnRenamed("id", "left_id"), ["field", "form", "raw"])
     out = out.join(right.distinct().withColumnsRenamed({"id": "right_id", "raw": "raw2"}), ["field", "form", "raw2"])
     return out.select("field", "left_id", "right_id").distinct()

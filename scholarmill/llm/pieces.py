@@ -60,7 +60,7 @@ def cut_points(text: str, limit: int, overlap: int) -> list[int]:
         return 0
 
     least = 1 + -(-(n - limit) // step)
-    for k in range(least, least + max(3, least // 4) + 1):
+    for k in range(least, 2 * least + 4):
         size = (n + (k - 1) * overlap) / k
         slack = max(limit - size, limit / 5)
         cuts: list[int] = []
@@ -74,7 +74,8 @@ def cut_points(text: str, limit: int, overlap: int) -> list[int]:
             cuts.append(c)
         if len(cuts) == k - 1 and n - (cuts[-1] - overlap) <= limit:
             return cuts
-    # no even layout holds: take the strongest boundary of the last half of what each piece can hold
+    # with twice the pieces no even layout holds, as a span or word fills a piece: take the strongest boundary of the last
+    # half of what each piece can hold
     cuts = []
     while n - (start := cuts[-1] - overlap if cuts else 0) > limit:
         top = min(start + limit, n - 1)

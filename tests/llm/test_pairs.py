@@ -19,6 +19,13 @@ def test_fm_index_against_scan():
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_marks_of_any_length_are_no_words():
+    cite = "[" + ", ".join(str(i) for i in range(1, 60)) + "]"
+    tag = '<a href="' + "x" * 500 + '" class=y>'
+    assert words(f"one {cite} two {tag}three</a> <|{'t' * 90}|> four <b>a</b>") == ["one", "two", "three", "four", "a"]
+    assert words("if x <y then 5 > 3") == ["if", "x", "y", "then", "5", "3"]
+
+
 def noisy(rng, w, share):
     out = []
     for x in w:
@@ -148,6 +155,8 @@ def test_consistent_forms():
     for a, b in [("Naive", "Naïve"), ("a-b", "a–b"), ("x²", "x2"), ("Title", "title"), ("λ-net", "l-net"), ("a, b", "a b")]:
         assert lookalike.consistent(a) != lookalike.consistent(b)
     assert lookalike.consistent("ﬁne ﬂow") == "fine flow" and lookalike.consistent("Α Study") == "A Study"
+    assert lookalike.consistent("a mօdel Oո Scale") == "a model On Scale" and lookalike.consistent("Ꭺ Study of Graphs") == "A Study of Graphs"
+    assert lookalike.consistent("Ցանկացած մարդ ազատ է") == "Ցանկացած մարդ ազատ է"
     assert lookalike.consistent("всё xорошо сегодня") == lookalike.consistent("всё хорошо сегодня")
     assert lookalike.consistent(None) is None and lookalike.consistent("") == "" and lookalike.consistent("日本語 テスト") == "日本語 テスト"
     assert lookalike.resolved("Trаnslate") == frozenset() and lookalike.resolved("123") is None
