@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from scholarmill.plans.stage import stage
 
+BM25_BLOCK = 512  #: queries whose weights, queries by terms, are sent as one matrix
 QUERY_BLOCK = 4096  #: queries that are sent to all rows at a time; the block is the only thing broadcast
 
 
@@ -113,26 +114,60 @@ def _arrow(kind: str) -> pa.DataType:
 
 
 class InvertedFile:
-    """An inverted-file index: k-means centres fitted on a bounded sample, every row in the list of its nearest centre."""
+    """An inverted-file index: k-means centres fitted on a bounded sample, every row in the list of its nearest centre.
 
-    def __init__(self, centres: np.ndarray):
-        self.centres = centres
+    There are as many lists as the root of half the number of rows. How many of them a query must look into for the wanted
+    recall is measured on the sample and kept with the index.
+    """
+
+    def __init__(self, centres: np.ndarray, probes: int = 1):
+        self.centres, self.probes = centres, probes
 
     @classmethod
-    def fit(cls, vectors: DataFrame, vector: str = "embedding", lists: int = 16, sample: int = 20_000, rounds: int = 12) -> "InvertedFile":
-        """Centres from at most ``sample`` rows, the least by hash."""
-        rows = vectors.select(vector).filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(vector)).limit(sample).toArrow()
+    def fit(cls, vectors: DataFrame, vector: str = "embedding", lists: int | None = None, sample: int = 20_000, rounds: int = 12, k: int = 5, recall: float = 0.94) -> "InvertedFile":
+        """Centres from at most ``sample`` rows, the least by hash; at most 4,096 lists."""
+        some = vectors.select(vector).filter(F.col(vector).isNotNull())
+        lists = lists or min(4096, max(1, round((some.count() / 2) ** 0.5)))
+        rows = some.orderBy(F.xxhash64(vector)).limit(sample).toArrow()
         _, m = _matrix(rows.column(0).combine_chunks()) if rows.num_rows else (None, np.zeros((0, 1)))
         if not len(m):
             return cls(np.zeros((1, 1)))
         centres = m[np.linspace(0, len(m) - 1, min(lists, len(m))).astype(int)].copy()
         for _ in range(rounds):
             near = (m @ centres.T).argmax(axis=1)
-            for c in range(len(centres)):
-                if (near == c).any():
-                    v = m[near == c].sum(axis=0)
-                    centres[c] = v / max(np.sqrt(v @ v), 1e-12)
-        return cls(centres)
+            total = np.zeros_like(centres)
+            np.add.at(total, near, m)
+            norm = np.sqrt((total * total).sum(axis=1, keepdims=True))
+            centres = np.where(norm > 1e-12, total / np.maximum(norm, 1e-12), centres)
+        return cls(centres, cls._fewest(m, centres, k, recall))
+
+    @staticmethod
+    def _fewest(m: np.ndarray, centres: np.ndarray, k: int, recall: float, asked: int = 256) -> int:
+        """The fewest lists in which ``asked`` sampled queries find that share of their ``k`` nearest sampled rows."""
+        q = m[np.linspace(0, len(m) - 1, min(asked, len(m))).astype(int)]
+        top = np.argsort(-(q @ m.T), axis=1, kind="stable")[:, :k]
+        home = (m @ centres.T).argmax(axis=1)
+        place = np.argsort(np.argsort(-(q @ centres.T), axis=1, kind="stable"), axis=1)  # of each list in a query's order
+        needed = np.sort(np.take_along_axis(place, home[top], axis=1).ravel())
+        return int(needed[max(0, int(np.ceil(recall * len(needed))) - 1)]) + 1
+
+    def build(self, vectors: DataFrame, path: str, key: str = "vec_id", vector: str = "embedding") -> None:
+        """Write the index below ``path``: every row's unit vector in the folder of its list, and the centres."""
+        spark = vectors.sparkSession
+        self._placed(vectors, key, vector).repartition("_list").write.partitionBy("_list").parquet(f"{path}/lists")
+        rows = [(i, self.probes, c.tolist()) for i, c in enumerate(self.centres)]
+        spark.createDataFrame(rows, "list int, probes int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
+
+    @classmethod
+    def load(cls, spark, path: str) -> tuple["InvertedFile", DataFrame]:
+        """The index at ``path`` and its rows, to be searched by ``search_lists``."""
+        rows = spark.read.parquet(f"{path}/centres").orderBy("list").collect()
+        return cls(np.array([r.centre for r in rows]), rows[0].probes), spark.read.parquet(f"{path}/lists")
+
+    def _placed(self, vectors: DataFrame, key: str, vector: str) -> DataFrame:
+        from scholarmill.functions.vectors import l2_normalize
+
+        return self.assign(vectors.select(key, vector), vector).select(key, l2_normalize(F.col(vector)).alias("_v"), F.explode("lists").alias("_list"))
 
     def assign(self, df: DataFrame, vector: str = "embedding", probes: int = 1) -> DataFrame:
         """``df`` with the array ``lists`` of the ``probes`` nearest lists of each row; empty where it has no such vector."""
@@ -152,15 +187,35 @@ class InvertedFile:
 
         return df.mapInArrow(run, shape)
 
-    def search(self, vectors: DataFrame, queries: DataFrame, k: int, probes: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
-        """(query_key, key, score, rank) among the rows of the ``probes`` lists nearest to each query; lists are joined in salted parts."""
-        from scholarmill.functions.vectors import dot, l2_normalize
-
-        salts = 8
-        unit = l2_normalize(F.col(vector))
-        rows = self.assign(vectors.select(key, vector), vector).select(key, unit.alias("_v"), F.explode("lists").alias("_list"), F.pmod(F.xxhash64(key), F.lit(salts)).alias("_salt"))
-        q = self.assign(queries.select(query_key, vector), vector, probes).select(query_key, unit.alias("_q"), F.explode("lists").alias("_list")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-        scored = q.join(rows, ["_list", "_salt"]).select(query_key, key, F.round(dot(F.col("_q"), F.col("_v")), 6).alias("score"))
+    def search(self, vectors: DataFrame, queries: DataFrame, k: int, probes: int | None = None, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
+        """As ``search_lists``, of vectors that are put into their lists first."""
+        return self.search_lists(self._placed(vectors, key, vector), queries, k, probes, key, vector, query_key)
+
+    def search_lists(self, rows: DataFrame, queries: DataFrame, k: int, probes: int | None = None, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", part: int = 50_000) -> DataFrame:
+        """(query_key, key, score, rank) among the rows of the ``probes`` lists nearest to each query.
+
+        A list is cut into parts of about ``part`` rows; its queries go to each. The rows and queries of a part are scored
+        by one matrix product, and only the best of each query leave it.
+        """
+        kinds, qkind = dict(rows.dtypes)[key], dict(queries.dtypes)[query_key]
+        sizes = {r[0]: r[1] for r in rows.groupBy("_list").count().collect()}  # one for each list
+        parts = F.array(*[F.lit(-(-sizes.get(i, 1) // part)) for i in range(len(self.centres))])
+        n_parts = F.get(parts, F.col("_list").cast("int"))
+        rows = rows.select("_list", F.pmod(F.xxhash64(key), n_parts.cast("long")).alias("_part"), key, "_v")
+        q = self.assign(queries.select(query_key, vector), vector, probes or self.probes).select(query_key, F.col(vector).alias("_q"), F.explode("lists").alias("_list"))
+        q = q.select("_list", F.explode(F.sequence(F.lit(0), n_parts - 1).cast("array<bigint>")).alias("_part"), query_key, "_q")
+
+        def run(q: pa.Table, v: pa.Table) -> pa.Table:
+            if not (q.num_rows and v.num_rows):
+                return pa.table({query_key: pa.array([], _arrow(qkind)), key: pa.array([], _arrow(kinds)), "score": pa.array([], pa.float64())})
+            qs, m = _matrix(q.column("_q").combine_chunks())
+            at, x = _matrix(v.column("_v").combine_chunks(), m.shape[1])
+            score = np.round(m @ x.T, 6) + 0.0
+            least = np.sort(score, axis=1)[:, -min(k, score.shape[1])][:, None] if score.size else score
+            i, j = np.nonzero(score >= least)  # with all that tie with the last
+            return pa.table({query_key: q.column(query_key).take(pa.array(qs[i])), key: v.column(key).take(pa.array(at[j])), "score": pa.array(score[i, j])})
+
+        scored = q.groupBy("_list", "_part").cogroup(rows.groupBy("_list", "_part")).applyInArrow(run, f"`{query_key}` {qkind}, `{key}` {kinds}, score double")
         order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
         return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -201,8 +256,8 @@ def bm25_best(documents: DataFrame, queries: DataFrame, k1: float = 1.5, b: floa
     floor = (df.agg(F.avg(idf)).first()[0] or 0.0) * epsilon
     n_queries, found = asked.count(), None
     dkind, qkind = dict(documents.dtypes)[doc_key], dict(queries.dtypes)[query_key]
-    for start in range(0, max(n_queries, 1), QUERY_BLOCK):
-        part = asked.orderBy(query_key).offset(start).limit(QUERY_BLOCK) if n_queries > QUERY_BLOCK else asked
+    for start in range(0, max(n_queries, 1), BM25_BLOCK):
+        part = asked.orderBy(query_key).offset(start).limit(BM25_BLOCK) if n_queries > BM25_BLOCK else asked
         rows = part.collect()
         words = part.select(F.explode("terms").alias("term")).distinct()
         weight = {r[0]: r[1] for r in words.join(df, "term").select("term", F.when(idf < 0, F.lit(floor)).otherwise(idf)).collect()}
@@ -243,3 +298,17 @@ def best_document(scored: DataFrame, query_key: str = "query_id", doc_key: str =
     """The document of the best positive score of each query, of equal ones the smaller key."""
     best = scored.filter("score > 0").groupBy(query_key).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(doc_key).alias("d"))).alias("m"))
     return best.select(query_key, F.col("m.d").alias(doc_key), (-F.col("m.s")).alias("score"))
+
+
+def title_first(documents: DataFrame, queries: DataFrame, normal, doc_key: str = "doc_id", query_key: str = "query_id", text: str = "title", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """(query_key, doc_key, score, exact): the document of the same title, of several the smaller key, with score 1; else the best by BM25.
+
+    ``normal`` turns a title into its key, whose words are the terms. Titles without a key match nothing exactly.
+    """
+    norm = lambda df, key: df.select(F.col(key), normal(F.col(text)).alias("text"))
+    docs, asked = norm(documents, doc_key).distinct(), norm(queries, query_key).filter(F.col(query_key).isNotNull()).distinct()
+    first = docs.filter("text <> ''").groupBy("text").agg(F.min(doc_key).alias(doc_key))
+    found = stage(asked.join(first, "text", "left"))
+    exact = found.filter(F.col(doc_key).isNotNull()).select(query_key, doc_key, F.lit(1.0).alias("score"), F.lit(True).alias("exact"))
+    rest = found.filter(F.col(doc_key).isNull()).select(query_key, "text")
+    return exact.unionByName(bm25_best(docs, rest, k1, b, epsilon, doc_key, query_key).withColumn("exact", F.lit(False)))

@@ -91,9 +91,6 @@ def corpus_identify(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("paper_id", "corpus_no").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-_PARTS = "WITH p AS (SELECT part_id, arxiv_id, bib_items, bbl_items FROM (SELECT DISTINCT * FROM parsed_parts))"
-
-
 @query("""
   WITH d AS (SELECT DISTINCT arxiv_id, pos, citation_key, kind, raw FROM citations WHERE raw IS NOT NULL),
   k AS (SELECT arxiv_id, citation_key, min(kind) AS kind FROM d GROUP BY 1, 2)

@@ -8,6 +8,7 @@ from scholarmill.functions.vectors import dot, l2_normalize, last_token_pool
 from scholarmill.operators import retrieval
 from scholarmill.operators.rows import number_rows
 from scholarmill.plans.registry import query
+from scholarmill.plans.stage import place
 from scholarmill.sources.tables import table
 
 K = 5
@@ -53,11 +54,27 @@ def rerank_first(spark: SparkSession, d: str) -> DataFrame:
     return best.select("query_id", "m.vec_id", "m.score")
 
 
+def _index(spark: SparkSession, d: str) -> tuple[retrieval.InvertedFile, DataFrame]:
+    """The index of all vectors, written to the shared folder and loaded from there."""
+    at = place(spark, "index")
+    v = table(spark, d, "embeddings")
+    retrieval.InvertedFile.fit(v).build(v, at)
+    return retrieval.InvertedFile.load(spark, at)
+
+
 @query()
 def topk_approximate(spark: SparkSession, d: str) -> DataFrame:
-    """TK-2: nearest vectors from an inverted file; its recall against topk_cosine is tested to be 0.9 at least."""
-    v, q = _queries(spark, d)
-    return retrieval.InvertedFile.fit(v).search(v, q, K, probes=11)
+    """TK-2, SK-11: nearest vectors from a persisted inverted file; topk_recall compares it with topk_cosine."""
+    index, lists = _index(spark, d)
+    return index.search_lists(lists, _queries(spark, d)[1], K)
+
+
+@query("SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def topk_recall(spark: SparkSession, d: str) -> DataFrame:
+    """TK-2: whether the persisted index finds at least nine tenths of the nearest vectors that exact search finds."""
+    near = topk_approximate(spark, d).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    each = topk_cosine(spark, d).join(near, ["query_id", "vec_id"], "left")
+    return each.agg(F.count_distinct("query_id").alias("n_queries"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
 
 
 @query("""
@@ -150,6 +167,32 @@ def bm25_lucene_top1(spark: SparkSession, d: str) -> DataFrame:
     return best.select("query_id", "doc_id", F.round("score", 3).alias("score"))
 
 
+_TITLE_BM25 = """
+  WITH n0 AS (SELECT DISTINCT corpus_id AS doc_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS x FROM corpus_data),
+  q0 AS (SELECT DISTINCT lookup_id AS query_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS x FROM title_lookup),
+  x AS (SELECT x, min(doc_id) AS doc_id FROM n0 WHERE x <> '' GROUP BY x),
+  d AS (SELECT doc_id, list_filter(string_split(coalesce(x, ''), ' '), lambda t: t <> '') AS w FROM n0),
+  q AS (SELECT query_id, list_filter(string_split(coalesce(x, ''), ' '), lambda t: t <> '') AS w FROM q0 WHERE x IS NULL OR x NOT IN (SELECT x FROM x)),
+  p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY 1, 2),
+  f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), n AS (SELECT count(*) AS n, avg(len(w)) AS m FROM d),
+  i AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM f, n), e AS (SELECT avg(idf) * 0.25 AS floor FROM i),
+  g AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(w) AS term FROM q) GROUP BY 1, 2),
+  s AS (SELECT query_id, p.doc_id, round(sum(qf * CASE WHEN idf < 0 THEN floor ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / m))), 6) AS score
+        FROM g JOIN i USING (term) JOIN p USING (term) JOIN d ON d.doc_id = p.doc_id, n, e GROUP BY 1, 2),
+  b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0)
+  SELECT query_id, x.doc_id, 1.0::DOUBLE AS score, true AS exact FROM q0 JOIN x USING (x) UNION ALL SELECT query_id, doc_id, round(score, 3), false FROM b WHERE r = 1"""
+
+
+@query(_TITLE_BM25)
+def title_search(spark: SparkSession, d: str) -> DataFrame:
+    """TK-3, TK-4: lookups in an index of titles only, an exact title first with score 1, else the best by BM25."""
+    from scholarmill.functions.titles import normalize_title
+
+    docs = table(spark, d, "corpus_data").select(F.col("corpus_id").alias("doc_id"), "title").distinct()
+    asked = table(spark, d, "title_lookup").select(F.col("lookup_id").alias("query_id"), "title").distinct()
+    return retrieval.title_first(docs, asked, normalize_title).select("query_id", "doc_id", F.round("score", 3).alias("score"), "exact")
+
+
 _BIBTEX = """
   WITH m AS (SELECT DISTINCT arxiv_id, title, authors, authors_parsed[1][1] AS last, versions[1].created AS created, journal_ref, doi, report_no, categories FROM arxiv_metadata),
   y AS (SELECT *, coalesce(string_split(trim(string_split(created, ',')[2]), ' ')[3], CASE WHEN contains(journal_ref, ':') THEN trim(string_split(journal_ref, ',')[-1]) END) AS year FROM m),

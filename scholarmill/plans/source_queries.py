@@ -2,7 +2,6 @@
 
 import io
 import tarfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,25 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarmill.plans.registry import query
-from scholarmill.plans.stage import shared_dir, stage
+from scholarmill.plans.stage import place, stage
 from scholarmill.sources import files, sinks
 from scholarmill.sources.tables import table
 from scholarmill.streaming import worklists
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one; it goes with the stage tables."""
-    from scholarmill.plans import stage as stages
-
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    stages._made.append(at)
-    return at
-
-
 @query("SELECT DISTINCT row_id, arxiv_id, split, source, md5(paper) AS paper_md5 FROM train_rows")
 def json_lines_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """SC-7, SC-10, SC-13, SK-1, SK-6: rows as compressed JSON lines and back, by the files with the suffix."""
-    at = _place(spark, "lines")
+    at = place(spark, "lines")
     df = table(spark, d, "train_rows").select("row_id", "arxiv_id", "split", "source", "paper").distinct()
     sinks.write_json_lines(df, at, rows_per_file=1000, compression="gzip")
     return files.json_lines(spark, at, df.schema, glob="*.json.gz").select("row_id", "arxiv_id", "split", "source", F.md5("paper").alias("paper_md5"))
@@ -37,7 +27,7 @@ def json_lines_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT arxiv_id AS key, min(title) AS title FROM arxiv_metadata WHERE title IS NOT NULL AND arxiv_id IS NOT NULL GROUP BY 1")
 def json_object_scan(spark: SparkSession, d: str) -> DataFrame:
     """SC-8: files of one JSON object each, {id: {title}}, as a table of their keys."""
-    at = _place(spark, "objects")
+    at = place(spark, "objects")
     df = table(spark, d, "arxiv_metadata").filter("title is not null and arxiv_id is not null").groupBy("arxiv_id").agg(F.min("title").alias("title"))
     objects = df.groupBy(F.substring("arxiv_id", 1, 4)).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("arxiv_id", F.struct("title"))))).alias("value"))
     objects.select("value").write.option("maxRecordsPerFile", 1).text(at)
@@ -47,7 +37,7 @@ def json_object_scan(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT corpus_id, title, md5(abstract) AS abstract_md5 FROM corpus_data WHERE corpus_id IS NOT NULL")
 def json_arrays_scan(spark: SparkSession, d: str) -> DataFrame:
     """SC-9: lines that are JSON arrays."""
-    at = _place(spark, "arrays")
+    at = place(spark, "arrays")
     table(spark, d, "corpus_data").filter("corpus_id is not null").select("corpus_id", "title", "abstract").distinct().select(F.to_json(F.array("corpus_id", "title", "abstract"))).write.text(at)
     return files.json_arrays(spark, at, ["corpus_id", "title", "abstract"]).select("corpus_id", "title", F.md5("abstract").alias("abstract_md5"))
 
@@ -55,7 +45,7 @@ def json_arrays_scan(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT vec_id, embedding[1] AS first, len(embedding) AS n FROM embeddings WHERE embedding IS NOT NULL")
 def vector_shards(spark: SparkSession, d: str) -> DataFrame:
     """SC-11, SK-10: vectors written as shards and read again."""
-    at = _place(spark, "vectors")
+    at = place(spark, "vectors")
     sinks.write_vectors(table(spark, d, "embeddings").filter("embedding is not null"), at)
     return files.vectors(spark, at).select("vec_id", F.get("embedding", F.lit(0)).alias("first"), F.size("embedding").cast("long").alias("n"))
 
@@ -63,7 +53,7 @@ def vector_shards(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id || '.html' AS name, md5(min(title || chr(10) || bibtex)) AS page_md5 FROM bibtex GROUP BY 1")
 def html_pages(spark: SparkSession, d: str) -> DataFrame:
     """SC-19, SK-13: pages restored from Base64 and bundled again."""
-    at = _place(spark, "pages")
+    at = place(spark, "pages")
     pages = table(spark, d, "bibtex").groupBy(F.concat("id", F.lit(".html")).alias("name")).agg(F.min(F.concat("title", F.lit("\n"), "bibtex")).alias("page"))
     stage(sinks.restore_html(pages.select("name", F.base64(F.encode("page", "UTF-8")).alias("content_b64")), at))
     return files.html_bundle(spark, at).select("name", F.md5(F.unbase64("content_b64")).alias("page_md5"))
@@ -100,7 +90,7 @@ def _or_none(c: str) -> Column:
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
     """(month, paper_id, rel_path, text) of a tree of papers: main files with inclusions and bibliographies, written and walked."""
-    at = _place(spark, "papers")
+    at = place(spark, "papers")
     p = table(spark, d, "parsed_parts").filter("intro is not null and arxiv_id rlike '^[0-9]{4}[.][0-9]+$'").groupBy("arxiv_id").agg(F.min_by(F.struct("intro", "related_work", "bib"), "part_id").alias("p")).select("arxiv_id", "p.*")
     main = F.concat(F.lit("\\documentclass{a}\n\\input{parts/intro}\n\\include{parts/rel.tex}\n\\input{none}\n% "), "arxiv_id", F.lit("\n"))
     parts = {"main.tex": main, "short.tex": F.lit("\\documentclass"), "parts/intro.tex": _or_none("intro"), "parts/rel.tex": _or_none("related_work"), "b.bib": _or_none("bib"), "a.bib": F.concat(F.lit("@misc{"), "arxiv_id", F.lit("}"))}
@@ -192,7 +182,7 @@ def history_export(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT title, min(lookup_id) AS lookup_id FROM title_lookup WHERE title IS NOT NULL GROUP BY title")
 def cache_grown_by_stream(spark: SparkSession, d: str) -> DataFrame:
     """SM-5, SK-9: a lookup cache that grows by a stream of files, each title once."""
-    at, cache, checkpoint = (_place(spark, n) for n in ("arriving", "cache", "offsets"))
+    at, cache, checkpoint = (place(spark, n) for n in ("arriving", "cache", "offsets"))
     df = table(spark, d, "title_lookup").select("lookup_id", "title")
     df.repartitionByRange(4, "lookup_id").write.parquet(at)
     grown = worklists.grow_cache(spark.readStream.schema(df.schema).parquet(at), "title", "lookup_id", cache, checkpoint)
@@ -204,7 +194,7 @@ def cache_grown_by_stream(spark: SparkSession, d: str) -> DataFrame:
   SELECT item_id, md5(CASE WHEN h <> '' THEN substr(h, 1, length(h) - 1) ELSE text END) AS text_md5, h <> '' AS done FROM p""")
 def sessions_by_stream(spark: SparkSession, d: str) -> DataFrame:
     """SM-1, SM-3: texts that arrive in two chunks, each session cut after three sentences by its own state."""
-    at, out, checkpoint = (_place(spark, n) for n in ("chunks", "states", "offsets"))
+    at, out, checkpoint = (place(spark, n) for n in ("chunks", "states", "offsets"))
     half = F.floor(F.length("text") / 2).cast("int")
     t = table(spark, d, "test_items").filter("text <> '' and not contains(text, '<|')").select(F.col("item_id").cast("string").alias("session_id"), "text")
     chunks = F.array(F.struct(F.lit(0).alias("pos"), F.substring(F.col("text"), F.lit(1), half).alias("chunk")), F.struct(F.lit(1).alias("pos"), F.substring(F.col("text"), half + 1, F.length("text")).alias("chunk")))

@@ -27,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes with the stage tables."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(at)
+    return at
+
+
 def clear_stages(spark: SparkSession) -> int:
     """Delete the stage tables made so far, once what was built on them is written; the number of folders."""
     jvm, n = spark.sparkContext._jvm, len(_made)

@@ -185,6 +185,14 @@ def three_sentences(spark: SparkSession, d: str) -> DataFrame:
     return df.select("doc_id", "c.enough", F.md5("c.text").alias("head"))
 
 
+@query("""WITH w AS (SELECT doc_id, string_split(substr(text, 11), ' ') AS w FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, len(w) AS n_words, len(list_filter(w, lambda x: ends_with(x, '.') OR contains(x, '.' || chr(10)))) AS n_ends FROM w""")
+def yielded_words(spark: SparkSession, d: str) -> DataFrame:
+    """ST-39, FI-16: the words that a text yields behind its first ten characters, and how many of them end a sentence."""
+    w = table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", cite.yield_words(F.col("text"), F.lit(10)).alias("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.filter("w", cite.ends_sentence)).cast("long").alias("n_ends"))
+
+
 _LINE_SPAN = r"<\|cite_start\|>(.*?)<\|cite_end\|>"
 _KEY = rf"regexp_replace(regexp_replace(replace(substr(s, 14, 24), ' ', ''), '^:+|:+$', '', 'g'), '[,\t-\r \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]', '', 'g')"
 

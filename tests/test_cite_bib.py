@@ -76,3 +76,11 @@ def test_titles(spark):
     assert values(spark, ["  A--B:\tC9 ", "", None], titles.normalize_title) == ["a b c9", "", None]
     assert values(spark, ["\\emph{A} \\& B\u00a0C``d''*"], titles.join_title) == ['a & b c"d"']
     assert values(spark, ["{A}.\n b  c"], titles.display_title) == ["A b c"]
+
+
+def test_numbers_by_command(spark):
+    df = spark.createDataFrame([("a \\citep{x} b~\\cite{y,z} c \\citep{w}",), (None,)], "t string")
+    row, none = (r.c for r in df.select(cite.extract_citations_by_command(F.col("t")).alias("c")).collect())
+    assert row.text == "a<|cite_2|> b<|multi_cite_1_1|><|multi_cite_1_2|> c<|cite_3|>"
+    assert [(k.token, k.key) for k in row.tokens] == [("<|multi_cite_1_1|>", "y"), ("<|multi_cite_1_2|>", "z"), ("<|cite_2|>", "x"), ("<|cite_3|>", "w")]
+    assert none.text is None
