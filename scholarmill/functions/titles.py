@@ -45,3 +45,10 @@ def byte_size(n: Column) -> Column:
     """A number of bytes as B, KB, MB or GB, whole units, rounded down."""
     unit = lambda k, name: F.concat(F.floor(n / (1 << k)).cast("string"), F.lit(name))
     return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, unit(10, " KB")).when(n < 1 << 30, unit(20, " MB")).otherwise(unit(30, " GB"))
+
+
+def citation_label(key: Column, url: Column, longest: int = 110, cut: int = 105, width: int = 150) -> Column:
+    """A key, cut to ``cut`` characters where it has more than ``longest``, padded so that it and the address fill ``width``."""
+    short = F.when(F.length(key) > longest, F.concat(F.substring(key, 1, cut), F.lit("...  "))).otherwise(key)
+    used = F.least(F.length(key), F.lit(longest))
+    return F.concat(short, F.repeat(F.lit(" "), F.greatest(F.lit(0), width - used - F.length(url))), url)

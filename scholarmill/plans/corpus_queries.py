@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scholarmill.functions import bib
 from scholarmill.functions.cite import as_reference, reference_span
 from scholarmill.functions.prompts import few_shot, first_line, spaced_markers
-from scholarmill.functions.titles import byte_size, normalize_title, yymm
+from scholarmill.functions.titles import byte_size, citation_label, display_title, normalize_title, yymm
 from scholarmill.operators import assembly, rows
 from scholarmill.plans.registry import query
 from scholarmill.sources.tables import table
@@ -102,17 +102,18 @@ def cite_bib_join(spark: SparkSession, d: str) -> DataFrame:
     return items.groupBy("arxiv_id", "citation_key").agg(F.min(order).alias("m")).select("arxiv_id", "citation_key", "m.kind", "m.raw")
 
 
-@query(r"""WITH i AS (SELECT DISTINCT arxiv_id, unnest(list_filter(bib_items, lambda x: x IS NOT NULL)) AS raw, 0 AS kind FROM parsed_parts UNION SELECT DISTINCT arxiv_id, unnest(list_filter(bbl_items, lambda x: x IS NOT NULL)), 1 FROM parsed_parts),
-  k AS (SELECT arxiv_id, raw, kind, CASE WHEN kind = 0 THEN nullif(trim(regexp_extract(raw, '@\w+[ \t\r\f\v\n]*\{([^,]+),', 1)), '') ELSE nullif(trim(regexp_extract(regexp_replace(raw, '[ \t\r\f\v\n]+', ' ', 'g'), '\\bibitem *(?:\[(?:[^\[\]]|\{[^{}]*\})*\])? *\{([^}]+)\}', 1)), '') END AS citation_key FROM i),
+@query(r"""WITH i AS (SELECT arxiv_id, unnest(bib_items) AS raw, 0 AS kind FROM parsed_parts UNION SELECT arxiv_id, unnest(bbl_items), 1 FROM parsed_parts UNION SELECT arxiv_id, raw, kind FROM citations),
+  k AS (SELECT arxiv_id, raw, kind, CASE WHEN kind = 0 THEN nullif(trim(regexp_extract(raw, '@\w+[ \t\r\f\v\n]*\{([^,]+),', 1)), '') ELSE nullif(trim(regexp_extract(regexp_replace(raw, '[ \t\r\f\v\n]+', ' ', 'g'), '\\bibitem *(?:\[(?:[^\[\]]|\{[^{}]*\})*\])? *\{([^}]+)\}', 1)), '') END AS citation_key FROM i WHERE raw IS NOT NULL),
   c AS (SELECT DISTINCT arxiv_id, citation_key FROM citations WHERE citation_key IS NOT NULL), j AS (SELECT c.arxiv_id, c.citation_key, min((kind, raw)) AS m FROM c LEFT JOIN k ON k.arxiv_id = c.arxiv_id AND k.citation_key = c.citation_key GROUP BY 1, 2)
   SELECT arxiv_id, citation_key, m[1] AS kind, md5(m[2]) AS raw_md5 FROM j""")
 def key_items(spark: SparkSession, d: str) -> DataFrame:
-    """JN-2: the item of each cited key among its paper's .bib items (kind 0), else its .bbl items (kind 1); a miss keeps its row."""
-    p = table(spark, d, "parsed_parts")
-    each = lambda column, key, kind: p.select("arxiv_id", F.explode(column).alias("raw")).filter(F.col("raw").isNotNull()).select("arxiv_id", "raw", F.lit(kind).alias("kind"), key(F.col("raw")).alias("citation_key"))
-    items = each("bib_items", bib.entry_key, 0).union(each("bbl_items", bib.bibitem_key, 1))
-    best = items.filter(F.col("citation_key").isNotNull()).groupBy("arxiv_id", "citation_key").agg(F.min(F.struct("kind", "raw")).alias("m"))
-    cited = table(spark, d, "citations").filter(F.col("citation_key").isNotNull()).select("arxiv_id", "citation_key").distinct()
+    """JN-2: the item of each cited key among its paper's .bib items (kind 0), else its .bbl items (kind 1), by the key that the item gives; a miss keeps its row."""
+    p, c = table(spark, d, "parsed_parts"), table(spark, d, "citations")
+    raw = p.select("arxiv_id", F.explode("bib_items").alias("raw"), F.lit(0).alias("kind")).union(p.select("arxiv_id", F.explode("bbl_items"), F.lit(1))).union(c.select("arxiv_id", "raw", "kind"))
+    key = F.when(F.col("kind") == 0, bib.entry_key(F.col("raw"))).otherwise(bib.bibitem_key(F.col("raw")))
+    items = raw.filter(F.col("raw").isNotNull()).select("arxiv_id", "kind", "raw", key.alias("citation_key")).filter(F.col("citation_key").isNotNull())
+    best = items.groupBy("arxiv_id", "citation_key").agg(F.min(F.struct("kind", "raw")).alias("m"))
+    cited = c.filter(F.col("citation_key").isNotNull()).select("arxiv_id", "citation_key").distinct()
     return cited.join(best, ["arxiv_id", "citation_key"], "left").select("arxiv_id", "citation_key", "m.kind", F.md5("m.raw").alias("raw_md5"))
 
 
@@ -451,3 +452,32 @@ def events_by_day(spark: SparkSession, d: str) -> DataFrame:
     """Events by day: an addition of this engine, the batch form of the windowed stream."""
     e = table(spark, d, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type")
     return e.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.countDistinct("user_id").alias("n_users"))
+
+
+@query("""SELECT DISTINCT arxiv_id, trim(regexp_replace(translate(regexp_replace(title, '[\\x00-\\x20\\x7f\\x{A0}]', ' ', 'g'), '{}.', ''), ' {2,}', ' ', 'g')) AS title, md5('<|reference_start|>' || replace(abstract, chr(10), ' ') || '<|reference_end|>') AS text_md5 FROM arxiv_metadata WHERE contains(replace(lower(categories), 'physics', ''), 'cs.') AND length(abstract) > 10""")
+def corpus_by_category(spark: SparkSession, d: str) -> DataFrame:
+    """PJ-3, FI-1, ST-12: papers of computer science as reference texts, titles cleaned, abstracts on one line."""
+    m = table(spark, d, "arxiv_metadata").filter(F.contains(F.replace(F.lower("categories"), F.lit("physics"), F.lit("")), F.lit("cs.")) & (F.length("abstract") > 10))
+    text = F.concat(F.lit("<|reference_start|>"), F.replace("abstract", F.lit("\n"), F.lit(" ")), F.lit("<|reference_end|>"))
+    return m.select("arxiv_id", F.trim(display_title(F.col("title"))).alias("title"), F.md5(text).alias("text_md5")).distinct()
+
+
+@query("SELECT DISTINCT arxiv_id, title FROM arxiv_metadata WHERE regexp_matches(arxiv_id, '^24[0-9]{2}')")
+def month_shard(spark: SparkSession, d: str) -> DataFrame:
+    """FI-8: the papers of a shard of months, which is the feature."""
+    return table(spark, d, "arxiv_metadata").filter(yymm(F.col("arxiv_id")).rlike("^24[0-9]{2}$")).select("arxiv_id", "title").distinct()
+
+
+@query("""SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (n // 1024) || ' KB' WHEN n < 1073741824 THEN (n // 1048576) || ' MB' ELSE (n // 1073741824) || ' GB' END AS size FROM (SELECT o_orderkey, CAST(floor(pow(2, o_orderkey % 40)) AS BIGINT) + o_orderkey AS n FROM orders)""")
+def byte_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """ST-43: sizes in bytes up to gigabytes."""
+    n = F.floor(F.pow(F.lit(2), F.col("o_orderkey") % 40)).cast("long") + F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", byte_size(n).alias("size"))
+
+
+@query("""WITH c AS (SELECT DISTINCT citation_key || title || citation_key AS k, 'https://x.y/' || id AS u FROM bibtex)
+  SELECT k, CASE WHEN length(k) > 110 THEN substr(k, 1, 105) || '...  ' ELSE k END || repeat(' ', greatest(0, 150 - least(length(k), 110) - length(u))) || u AS label FROM c""")
+def citation_labels(spark: SparkSession, d: str) -> DataFrame:
+    """PJ-10: long keys cut, padded so that key and address fill a line."""
+    c = table(spark, d, "bibtex").select(F.concat("citation_key", "title", "citation_key").alias("k"), F.concat(F.lit("https://x.y/"), "id").alias("u")).distinct()
+    return c.select("k", citation_label(F.col("k"), F.col("u")).alias("label"))

@@ -112,6 +112,31 @@ def section_parts(spark: SparkSession, d: str) -> DataFrame:
     return df.select("doc_id", F.md5(latex.clean_section(F.col("intro"))).alias("intro"), F.md5("related").alias("related"), F.md5(latex.other_text(F.col(_T), F.col("intro"), F.col("related"))).alias("other"))
 
 
+_FIRST_HEADS = "|".join(m.replace("NAME", "Introduction").replace(r"\s*", _WS + "*").replace(r"\s+", _WS + "+") for m in latex.INTRO_MARKS)
+
+
+_FIRST = rf"regexp_extract(t, '(?is)(?:{_FIRST_HEADS})(.+?)\n(?:\\section|\\chapter|\d+\.|II\.|\\begin\{{)', 1)"
+
+
+@query(_SQL_TEX + f" SELECT doc_id, md5(nullif({_trim(_FIRST)}, '')) AS intro FROM tex")
+def first_generation_intro(spark: SparkSession, d: str) -> DataFrame:
+    """ST-10: introductions by the first generation's rule."""
+    return latex_documents(spark, d).select("doc_id", F.md5(latex.introduction_first_generation(F.col(_T))).alias("intro"))
+
+
+_PREFIX = _lit("<|paper_start|> " + "\n".join(latex.PREAMBLE) + "\n\n\\title{")
+
+
+@query(rf"""WITH p AS (SELECT DISTINCT part_id, p.title, m.abstract, p.intro FROM parsed_parts p LEFT JOIN (SELECT arxiv_id, min(abstract) AS abstract FROM arxiv_metadata GROUP BY 1) m USING (arxiv_id))
+  SELECT part_id, md5({_PREFIX} || nullif(trim(title), '') || '}}' || chr(10) || chr(10) || '\begin{{document}}' || chr(10) || chr(10) || '\makefile' || chr(10) || chr(10) || '\begin{{abstract}}' || chr(10) || replace(replace(nullif(trim(abstract), ''), '<|reference_start|>', ''), '<|reference_end|>', '')
+    || '\end{{abstract}}' || chr(10) || chr(10) || replace(replace(nullif(intro, ''), 'Introduction' || chr(10), '\section{{Introduction}}' || chr(10) || chr(10)), 'Related Work' || chr(10), '\section{{Related Work}}' || chr(10) || chr(10)) || '\end{{document}} <|paper_end|>') AS paper_md5 FROM p""")
+def model_papers(spark: SparkSession, d: str) -> DataFrame:
+    """PJ-6, PJ-7: whole papers for the model, from preamble to end marker."""
+    m = table(spark, d, "arxiv_metadata").groupBy("arxiv_id").agg(F.min("abstract").alias("abstract"))
+    p = table(spark, d, "parsed_parts").select("part_id", "arxiv_id", "title", "intro").distinct().join(m, "arxiv_id", "left")
+    return p.select("part_id", F.md5(latex.paper_text(F.col("title"), F.col("abstract"), F.col("intro"))).alias("paper_md5"))
+
+
 @query(_SQL_TEX + r""" SELECT doc_id, md5('<|paper_start|> ' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\documentclass\{[^}]*\}', '', 'g'), '\\usepackage\{[^}]*\}', '', 'g'), '\\begin\{document\}', '', 'g'), '\\end\{document\}', '', 'g'), '^[ \t\r\f\v\n]+|[ \t\r\f\v\n]+$', '', 'g')) AS h FROM tex""")
 def clean_latex(spark: SparkSession, d: str) -> DataFrame:
     """ST-33: a paper for the model."""

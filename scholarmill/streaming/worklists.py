@@ -1,6 +1,6 @@
 """Incremental operators: a lookup cache that grows by batches, running state of events, sessions cut after sentences."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,6 +79,7 @@ def grown(text: str, chunk: str, sentences: int) -> tuple[str, bool]:
     return text, False
 
 
-def may_complete(text: str, least: int = 3, most_chars: int = 32_000) -> bool:
-    """Whether a text is long enough to be completed and short enough for the model."""
-    return least <= len(text.strip()) and len(text) <= most_chars
+def may_complete(text: str, least: int = 3, most_chars: int = 32_000, most_tokens: int = 15_000, count: Callable[[str], int] | None = None) -> bool:
+    """Whether a text is long enough to be completed and short enough for the model, by characters and by tokens."""
+    count = count or (lambda t: len(t.split()))
+    return least <= len(text.strip()) and len(text) <= most_chars and count(text) <= most_tokens
