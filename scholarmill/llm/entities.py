@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarmill.llm.lookalike import consistent
-from scholarmill.llm.overlap import _lists, _weights, frequent_shingles, shingles
+from scholarmill.llm.overlap import SHINGLE, _lists, _weights, frequent_shingles, shingles
 from scholarmill.llm.words import word_hash
 from scholarmill.plans.stage import stage
 
@@ -126,6 +126,14 @@ class Frequent:
 
     def __init__(self, shingles_: tuple[np.ndarray, np.ndarray], stop: list[int]):
         self.shingles, self.stop = shingles_, np.array(sorted(stop), np.int64)
+        self.often = np.unique(shingles_[0] & (1 << Keyed.BITS) - 1)
+
+    def rare(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys of shingles are rare."""
+        if not len(self.often):
+            return np.ones(len(keys), bool)
+        number = keys & (1 << Keyed.BITS) - 1
+        return self.often[np.minimum(np.searchsorted(self.often, number), len(self.often) - 1)] != number
 
     def content(self, x: list[int]) -> np.ndarray:
         """The words that aren't frequent; all of a title of little else than frequent words."""
@@ -211,10 +219,13 @@ def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shingled(batch: pa.RecordBatch, name: str, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, shingle) of the abstracts of the pairs in ``which``."""
-    lists = list(_lists(batch, name))
-    found = [shingles(lists[k]) for k in which]
-    return np.repeat(which, [len(f) for f in found]), np.concatenate([np.zeros(0, np.int64), *found])
+    """(pair, shingle) of the abstracts of the pairs that ``which`` marks; all have more words than a shingle."""
+    pair, words = _flat(batch, name)
+    if len(words) < SHINGLE:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    m = len(words) - SHINGLE + 1
+    inside = which[pair[:m]] & (pair[:m] == pair[SHINGLE - 1 :])  # not across the end of an abstract
+    return pair[:m][inside], shingles(words)[inside]
 
 
 def features(batch: pa.RecordBatch, known: Frequent, model: "Matcher | None" = None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -225,11 +236,12 @@ def features(batch: pa.RecordBatch, known: Frequent, model: "Matcher | None" = N
     both = np.array(batch.column("a_has_abstract").to_numpy(False), bool) & np.array(batch.column("b_has_abstract").to_numpy(False), bool)
     s = np.zeros(n)
     if both.any():
-        sides = [_shingled(batch, f"{p}_words", np.flatnonzero(both)) for p in "ab"]
-        every = [Keyed(p, h, n) for p, h in sides]
-        rare = [Keyed(p[r], h[r], n) for p, h in sides for r in (_weights(h, *known.shingles) == 0,)]
-        whole = every[0].share(every[1])
-        s = np.maximum(rare[0].share(rare[1]), np.where(whole >= 0.35, whole, 0.0))  # more than two texts of the same phrases share
+        a, b = (Keyed(*_shingled(batch, f"{p}_words", both), n) for p in "ab")
+        common = np.intersect1d(a.keys, b.keys, assume_unique=True)
+        whole = a.count(common) / np.maximum(1, np.minimum(a.size, b.size))
+        rare, in_a, in_b = (a.count(k[known.rare(k)]) for k in (common, a.keys, b.keys))
+        # rare shingles, or all where two texts have more in common than the same phrases give
+        s = np.maximum(rare / np.maximum(1, np.minimum(in_a, in_b)), np.where(whole >= 0.35, whole, 0.0))
     a, b = sets["chars"]
     common = a.common(b)
     chars, inside = common / np.maximum(1, a.size + b.size - common), a.share(b)
