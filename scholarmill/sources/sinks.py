@@ -32,17 +32,21 @@ def side_files(files: DataFrame, root: str) -> DataFrame:
     """Write (path, content) below the shared folder ``root``, a file each; (path, n_bytes) of what was written.
 
     ``content`` is text or bytes, an empty one makes a mark such as "done". Paths that lead out of the folder, null ones
-    and null contents are left out. The folder must be one that all executors share.
+    and null contents are left out. The folder must be a mounted one that all executors share; a store of another kind is an error.
     """
     import pyarrow as pa
 
+    root = root.removeprefix("file://")
+    if "://" in root:
+        raise ValueError(f"files can't be written one by one to {root}")
+
     def run(batches):
         for b in batches:
             paths, sizes = [], []
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not safe(path):
                     continue
-                at = Path(root.removeprefix("file://")) / path
+                at = Path(root) / path
                 at.parent.mkdir(parents=True, exist_ok=True)
                 at.write_bytes(content)
                 paths.append(path)

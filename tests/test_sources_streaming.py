@@ -3,6 +3,7 @@ import gzip
 import io
 import tarfile
 
+import pytest
 from pyspark.sql import functions as F
 from scholarmill.sources import files, sinks
 from scholarmill.streaming import worklists
@@ -111,3 +112,27 @@ def test_sessions(spark, tmp_path):
     q = worklists.sessions(stream).writeStream.format("memory").queryName("sessions").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.session_id, r.text, r.done) for r in spark.sql("select * from sessions").collect()} == {("s1", "One. Two. Three.", True), ("s2", "y", False)}
+
+
+def test_side_files(spark, tmp_path):
+    df = spark.createDataFrame([("a/b.txt", "x"), ("../out", "y"), ("/abs", "z"), (None, "n"), ("done", "")], "path string, content string")
+    assert {(r.path, r.n_bytes) for r in sinks.side_files(df, f"file://{tmp_path}").collect()} == {("a/b.txt", 1), ("done", 0)}
+    assert (tmp_path / "a/b.txt").read_text() == "x" and (tmp_path / "done").exists() and not (tmp_path.parent / "out").exists()
+    with pytest.raises(ValueError):
+        sinks.side_files(df, "hdfs://host/x")
+
+
+def test_plug_ins_tell_what_failed(spark):
+    def broken(keys):
+        raise KeyError("no service")
+
+    work = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    assert {(r.k, r.payload, r.message) for r in files.looked_up(work, "k", broken).collect()} == {(k, None, "KeyError: 'no service'") for k in "ab"}
+    assert {r.message for r in files.looked_up(work, "k", lambda ks: ks[:1], batch=2).collect()} == {"1 answers to 2 keys"}
+    with pytest.raises(FileNotFoundError):
+        files.vectors(spark, "/nowhere/at/all")
+
+
+def test_completion_is_guarded_by_characters_and_tokens():
+    assert worklists.may_complete("abc") and not worklists.may_complete(" a ") and not worklists.may_complete("x" * 32_001)
+    assert not worklists.may_complete("a b c d", most_tokens=3) and worklists.may_complete("a b c d", most_tokens=3, count=lambda t: 1)
