@@ -8,7 +8,7 @@ plain forms: full-width letters, ligatures, spaces, composed accents, no invisib
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +57,7 @@ def scripts(ch: str) -> frozenset[str] | None:
     return frozenset(s for s in SCRIPTS if regex.match(rf"\p{{scx={s}}}", ch)) or frozenset(["other"])
 
 
+@lru_cache(maxsize=200_000)
 def resolved(token: str) -> frozenset[str] | None:
     """The intersection of the script sets of the token's letters: None without letters, empty for a mixed token."""
     sets = [s for s in map(scripts, token) if s is not None]
@@ -101,6 +102,15 @@ def _settled(ch: str) -> bool:
     return _plain(ch) == ch and scripts(ch) in (None, frozenset(["Latin"])) and not unicodedata.combining(ch)
 
 
+@cache
+def _telling(ch: str) -> str | None:
+    """The one script of a letter that has no look-alike in another."""
+    s = scripts(ch)
+    if s is None or len(s) != 1 or any(ch in ALIKE.get((*s, o), ()) for o in ("Latin", *SPELLED)):
+        return None
+    return next(iter(s))
+
+
 def consistent(text: str | None) -> str | None:
     """The consistent form of ``text``: texts that look the same have the same one. Null stays null.
 
@@ -119,10 +129,9 @@ def consistent(text: str | None) -> str | None:
     for token in _tokens(text):
         of = resolved(token)
         if of is not None and "Latin" not in of or token.isascii():
-            for ch in token:
-                s = scripts(ch)
-                if s is not None and len(s) == 1 and not any(ch in ALIKE.get((*s, o), ()) for o in ("Latin", *SPELLED)):
-                    clear[next(iter(s))] = clear.get(next(iter(s)), 0) + 1
+            for s in map(_telling, token):
+                if s is not None:
+                    clear[s] = clear.get(s, 0) + 1
         out.append(token)
     main = max(clear, key=lambda s: (clear[s], s == "Latin"), default="Latin")
     for k, token in enumerate(out):
@@ -137,10 +146,15 @@ def consistent(text: str | None) -> str | None:
     return "".join(out)
 
 
-def _tokens(text: str) -> list[str]:
+@cache
+def _token_pattern():
     import regex
 
-    return regex.findall(r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+", text)
+    return regex.compile(r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+")
+
+
+def _tokens(text: str) -> list[str]:
+    return _token_pattern().findall(text)
 
 
 def with_consistent(df: DataFrame, text: str, out: str = "consistent_form") -> DataFrame:

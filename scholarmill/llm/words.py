@@ -7,7 +7,7 @@ from functools import lru_cache
 from scholarmill.llm.lookalike import _settled, consistent
 
 # Marks that are no words: hyphenated line ends (joined), citations, project tokens, tags, commands, references.
-JOIN = re.compile(r"(?<=\w)-[ \t]*\n\s*(?=\w)")
+JOIN = re.compile(r"-(?<=\w-)[ \t]*\n\s*(?=\w)")
 MARKS = re.compile(
     r"\\(?:cite\w*|ref|label|footnotemark)\*?(?:\[[^\]]*\])*\{[^}]*\}|<\|[^|>]+\|>|</?[A-Za-z][\w:-]*(?:\s+[\w:-]+=(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))*\s*/?>|"
     r"\[\^?\d+(?:[\s,;–-]+\d+)*\]|\[\^?[\w,;\- ]{1,12}\]|\((?:[A-Z][\w.'-]*(?: (?:and|&) [A-Z][\w.'-]*| et al\.?)?,? (?:19|20)\d\d[a-z]?(?:; )?)+\)|\\[A-Za-z]+\*?|&[A-Za-z]+;"
