@@ -91,7 +91,7 @@ def _or_none(c: str) -> Column:
 def _tree(spark: SparkSession, d: str) -> DataFrame:
     """(month, paper_id, rel_path, text) of a tree of papers: main files with inclusions and bibliographies, written and walked."""
     at = place(spark, "papers")
-    p = table(spark, d, "parsed_parts").filter("intro is not null and arxiv_id rlike '^[0-9]{4}[.][0-9]+$'").groupBy("arxiv_id").agg(F.min_by(F.struct("intro", "related_work", "bib"), "part_id").alias("p")).select("arxiv_id", "p.*")
+    p = table(spark, d, "parsed_parts").filter("intro is not null and arxiv_id is not null").groupBy(F.replace("arxiv_id", F.lit("/"), F.lit("")).alias("arxiv_id")).agg(F.min_by(F.struct("intro", "related_work", "bib"), "part_id").alias("p")).select("arxiv_id", "p.*")
     main = F.concat(F.lit("\\documentclass{a}\n\\input{parts/intro}\n\\include{parts/rel.tex}\n\\input{none}\n% "), "arxiv_id", F.lit("\n"))
     parts = {"main.tex": main, "short.tex": F.lit("\\documentclass"), "parts/intro.tex": _or_none("intro"), "parts/rel.tex": _or_none("related_work"), "b.bib": _or_none("bib"), "a.bib": F.concat(F.lit("@misc{"), "arxiv_id", F.lit("}"))}
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("rel"), t.alias("text")) for n, t in parts.items()])).alias("f")
@@ -100,7 +100,7 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
     return files.papers(spark, at.removeprefix("file://"))
 
 
-_PAPERS = """WITH p AS (SELECT arxiv_id, min_by(struct_pack(intro, related_work, bib), part_id) AS p FROM parsed_parts WHERE intro IS NOT NULL AND regexp_matches(arxiv_id, '^[0-9]{4}[.][0-9]+$') GROUP BY 1)"""
+_PAPERS = """WITH p AS (SELECT replace(arxiv_id, '/', '') AS arxiv_id, min_by(struct_pack(intro, related_work, bib), part_id) AS p FROM parsed_parts WHERE intro IS NOT NULL AND arxiv_id IS NOT NULL GROUP BY 1)"""
 
 
 @query(_PAPERS + r""" SELECT arxiv_id AS paper_id, md5('\documentclass{a}' || chr(10) || coalesce(nullif(p.intro, ''), '% none') || chr(10) || coalesce(nullif(p.related_work, ''), '% none') || chr(10) || '\input{none}' || chr(10) || '% ' || arxiv_id || chr(10)) AS tex_md5, CAST(2 AS INTEGER) AS n_main FROM p WHERE NOT regexp_matches(p.intro || coalesce(p.related_work, ''), '\\(input|include)[^a-z]')""")
@@ -170,13 +170,10 @@ def bib_samples(spark: SparkSession, d: str) -> DataFrame:
     return df.select("part_id", F.posexplode(files.split_samples(F.col("bib"))).alias("pos", "x")).select("part_id", F.col("pos").cast("long").alias("pos"), F.md5("x").alias("sample_md5"))
 
 
-@query("SELECT arxiv_id AS k, md5('% Exported now, ' || count(*) || ' entries' || chr(10) || chr(10) || string_agg(raw, chr(10) || chr(10) ORDER BY pos, raw)) AS content_md5 FROM (SELECT arxiv_id, raw, min(pos) AS pos FROM citations WHERE raw IS NOT NULL AND arxiv_id = (SELECT min(arxiv_id) FROM citations WHERE raw IS NOT NULL) GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT arxiv_id, md5('% Exported now, ' || count(*) || ' entries' || chr(10) || chr(10) || string_agg(raw, chr(10) || chr(10) ORDER BY pos, raw)) AS content_md5 FROM (SELECT arxiv_id, raw, min(pos) AS pos FROM citations WHERE raw IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
 def history_export(spark: SparkSession, d: str) -> DataFrame:
-    """SK-14, DT-4: one session's history of entries as a file, which is the feature; the session is the first paper."""
-    c = table(spark, d, "citations").filter("raw is not null")
-    first = c.agg(F.min("arxiv_id").alias("k"))
-    entries = c.join(F.broadcast(first), F.col("arxiv_id") == F.col("k"), "left_semi")
-    return first.crossJoin(sinks.history_file(entries, "raw", "pos", "now")).select("k", F.md5("content").alias("content_md5"))
+    """SK-14, DT-4: each session's history of entries as a file; a paper stands for a session."""
+    return sinks.history_file(table(spark, d, "citations"), "raw", "pos", "now", "arxiv_id").select("arxiv_id", F.md5("content").alias("content_md5"))
 
 
 @query("SELECT title, min(lookup_id) AS lookup_id FROM title_lookup WHERE title IS NOT NULL GROUP BY title")
@@ -190,13 +187,17 @@ def cache_grown_by_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(cache).select("title", "lookup_id")
 
 
-@query(r"""WITH p AS (SELECT item_id, text, regexp_extract(text, '(?s)^((?:.*?[.!?][ \n]){3})', 1) AS h FROM test_items WHERE text <> '' AND NOT contains(text, '<|'))
-  SELECT item_id, md5(CASE WHEN h <> '' THEN substr(h, 1, length(h) - 1) ELSE text END) AS text_md5, h <> '' AS done FROM p""")
+_SPAN = r"(?s)<\|cite_start\|>.*?<\|cite_end\|>"
+
+
+@query(rf"""WITH p AS (SELECT item_id, text, string_split_regex(text, '{_SPAN}') AS outside, regexp_extract_all(text, '{_SPAN}') AS spans FROM test_items WHERE text <> ''),
+  h AS (SELECT *, regexp_extract(array_to_string(outside, chr(1)), '(?s)^((?:.*?[.!?][ \n]){{3}})', 1) AS h FROM p), g AS (SELECT *, string_split(substr(h, 1, length(h) - 1), chr(1)) AS kept FROM h)
+  SELECT item_id, md5(CASE WHEN h <> '' THEN array_to_string(list_transform(kept, lambda x, i: CASE WHEN i = 1 THEN x ELSE spans[i - 1] || x END), '') ELSE text END) AS text_md5, h <> '' AS done FROM g""")
 def sessions_by_stream(spark: SparkSession, d: str) -> DataFrame:
     """SM-1, SM-3: texts that arrive in two chunks, each session cut after three sentences by its own state."""
     at, out, checkpoint = (place(spark, n) for n in ("chunks", "states", "offsets"))
     half = F.floor(F.length("text") / 2).cast("int")
-    t = table(spark, d, "test_items").filter("text <> '' and not contains(text, '<|')").select(F.col("item_id").cast("string").alias("session_id"), "text")
+    t = table(spark, d, "test_items").filter("text <> ''").select(F.col("item_id").cast("string").alias("session_id"), "text")
     chunks = F.array(F.struct(F.lit(0).alias("pos"), F.substring(F.col("text"), F.lit(1), half).alias("chunk")), F.struct(F.lit(1).alias("pos"), F.substring(F.col("text"), half + 1, F.length("text")).alias("chunk")))
     t = t.select("session_id", F.explode(chunks).alias("c")).select("session_id", "c.*")
     t.write.parquet(at)

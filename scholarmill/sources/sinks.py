@@ -70,8 +70,11 @@ def merge_sorted(df: DataFrame, path: str, order: str, compression: str = "gzip"
     df.repartitionByRange(order).sortWithinPartitions(order).write.mode("errorifexists").option("compression", compression).json(path)
 
 
-def history_file(entries: DataFrame, entry: str, order: str, when: str) -> DataFrame:
-    """(content): distinct entries in first-seen order below a header with the given time and their number."""
-    first = entries.filter(F.col(entry).isNotNull()).groupBy(entry).agg(F.min(order).alias("_o"))
-    joined = first.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("_o", entry))).alias("x"))
-    return joined.select(F.concat(F.lit(f"% Exported {when}, "), F.col("n").cast("string"), F.lit(" entries\n\n"), F.array_join(F.transform("x", lambda e: e[entry]), "\n\n")).alias("content"))
+def history_file(entries: DataFrame, entry: str, order: str, when: str, session: str | None = None) -> DataFrame:
+    """(content), or (session, content) of each session: distinct entries in first-seen order below a header with the given
+    time and their number. A session's history is one file, so its entries meet in one row."""
+    keys = [session] if session else []
+    first = entries.filter(F.col(entry).isNotNull()).groupBy(*keys, entry).agg(F.min(order).alias("_o"))
+    joined = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("_o", entry))).alias("x"))
+    content = F.concat(F.lit(f"% Exported {when}, "), F.col("n").cast("string"), F.lit(" entries\n\n"), F.array_join(F.transform("x", lambda e: e[entry]), "\n\n"))
+    return joined.select(*keys, content.alias("content"))
