@@ -40,7 +40,7 @@ SENTENCE = re.compile(r"(?<=[.!?])[\"”’»)]*\s+|(?<=[。！？])\s*|\n\s*\n|
 #: are tried only where one can begin.
 ASIDE = re.compile(
     r"(?=[\[“„«`\"@\\$<]|https?://|^\s*[\[\\@\w])(?:"
-    r"^\s*\[\d+\].*$|^\s*\\bibitem.*$|^\s*@\w+\s*\{.*$|\[\d+\]\s*[„“\"][^”“\"\n]*[”“\"]|[“„][^”“\n]*[”“]|«[^»\n]*»|``.*?''|\"[^\"\n]*\"|"
+    r"^\s*\[\d+\].*$|^\s*\\bibitem.*$|^\s*@\w+\s*\{.*$|\[\d+\]\s*[„“\"][^”“\"\n]*[”“\"]|[“„][^”“\n]*[”“]|«[^»\n]*»|``[^`\n]*?''|\"[^\"\n]*\"|"
     r"@\w+\s*\{(?:[^{}]|\{[^{}]*\})*\}|^\s*\w+\s*=\s*[{\"].*$|\\(?:cite\w*|ref|label|footnote|href|url)\*?(?:\[[^\]]*\])?\{[^}]*\}|\$\$?[^$\n]+\$\$?|<\|[^|>]*\|>|\\[A-Za-z]+\*?|https?://\S+|</?\w+[^<>]*>)",
     re.M,
 )

@@ -48,7 +48,7 @@ GRAMMAR = {
         "strong": r"\*\*(?=\S)[^*\n]+?(?<=\S)\*\*|(?<!\w)__(?=\S)[^_\n]+?(?<=\S)__(?!\w)",
         "strike": r"~~(?=\S)[^~\n]+~~",
         "emphasis": r"(?<![\w*\\])\*(?=[^\s*])[^*\n]*?(?<=[^\s*])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])[^_\n]*?(?<=[^\s_])_(?![\w_])",
-        "link": r"!?\[[^\]\n]*\]\([^)\s]*(?:\s+\"[^\"]*\")?\)",
+        "link": r"!?\[[^\[\]\n]*\]\([^)\s]*(?:\s+\"[^\"]*\")?\)",
         "note": r"\[\^[\w-]+\]:?",
         "list": r"(?m:^[ \t]*(?:[-*+]|\d{1,3}\.)[ \t]+(?=\S))",
         "block": r"(?m:^>[ \t]?(?=\S))",
@@ -78,10 +78,28 @@ BIBTEX = re.compile(r"^\s*@\w+\s*\{", re.M)
 ENTRY = re.compile(r"^\s*@\w+\s*\{[^,\n]*,?|^\s*\w+\s*=\s*\{|\}\s*,?\s*$", re.M)
 
 
+#: What opens and closes a stretch over lines.
+OVER_LINES = (("<!--", "-->"), ("\\[", "\\]"), ("\\(", "\\)"))
+STRETCHES = (*OVER_LINES, *((f"<{t}", f"</{t}>") for t in ("pre", "syntaxhighlight", "math", "span")), *((f"\\begin{{{e}", f"\\end{{{e}") for e in ("verbatim", "lstlisting", "minted", "equation", "align", "gather", "displaymath", "eqnarray", "multline")))
+
+
+def shut(text: str, pairs: tuple[tuple[str, str], ...], new: str = " ") -> str:
+    """The text with the first sign of each opening behind the last closing replaced: it opens nothing, and need not be tried."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = text
+    for a, b in pairs:
+        at = low.find(a, max(0, low.rfind(b)))
+        if at >= 0:
+            text = text[:at] + new + text[at + 1 :].replace(a, new + a[1:])
+            low = text.lower() if len(text.lower()) == len(text) else text
+    return text
+
+
 def masked(text: str) -> str:
     """The text with what only looks like markup blanked out, at the same positions."""
     blank = lambda m: " " * len(m[0])
-    text = TOKEN.sub(lambda m: "\x00" * len(m[0]), PATH.sub(blank, text))
+    text = shut(TOKEN.sub(lambda m: "\x00" * len(m[0]), PATH.sub(blank, text)), OVER_LINES)
     if BIBTEX.search(text):
         text = re.sub(r"\{(?=\{)|(?<=\})\}", " ", ENTRY.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text))
     return text
@@ -130,7 +148,7 @@ FORMULA = re.compile(
 ACCENT = {'"': "\u0308", "'": "\u0301", "`": "\u0300", "^": "\u0302", "~": "\u0303", "=": "\u0304", ".": "\u0307"}
 #: (what a text must hold for the rule to apply, pattern, replacement)
 RULES: list[tuple[str, re.Pattern, object]] = [
-    ("<", re.compile(r"<!--.*?-->", re.S), ""),
+    ("-->", re.compile(r"<!--.*?-->", re.S), ""),
     ("%", re.compile(GRAMMAR["latex"]["remark"]), ""),
     ("\\", re.compile(r"\\(?:label|vspace|hspace|index|pagestyle|bibliographystyle|bibliography)\*?\{[^{}]*\}"), ""),
     ("\\", re.compile(r"~?\\(?:cite\w*)\*?(?:\[[^\]]*\])*\{([^{}]*)\}"), lambda m: f" [{m[1]}]"),
@@ -139,7 +157,7 @@ RULES: list[tuple[str, re.Pattern, object]] = [
     ("\\", re.compile(r"\\(?:chapter|section)\*?\{((?:[^{}]|\{[^{}]*\})*)\}"), lambda m: f"\n# {m[1]}\n"),
     ("\\", re.compile(r"\\subsection\*?\{((?:[^{}]|\{[^{}]*\})*)\}"), lambda m: f"\n## {m[1]}\n"),
     ("\\", re.compile(r"\\(?:subsubsection|paragraph)\*?\{((?:[^{}]|\{[^{}]*\})*)\}"), lambda m: f"\n### {m[1]}\n"),
-    ("<", re.compile(r"<h([1-6])[^>]*>(.*?)</h\1>", re.S | re.I), lambda m: f"\n{'#' * int(m[1])} {m[2].strip()}\n"),
+    ("</", re.compile(r"<h([1-6])[^>]*>(.*?)</h\1>", re.S | re.I), lambda m: f"\n{'#' * int(m[1])} {m[2].strip()}\n"),
     ("==", re.compile(r"^(={2,6})[ \t]*([^=\n].*?)[ \t]*\1[ \t]*$", re.M), lambda m: f"{'#' * (len(m[1]) - 1)} {m[2]}"),
     ("\\", re.compile(r"\\begin\{\w+\*?\}(?:\[[^\]]*\])?|\\end\{\w+\*?\}"), "\n"),
     ("\\", re.compile(r"\\item(?:\[([^\]]*)\])?[ \t]*"), lambda m: "- " + (m[1] + " " if m[1] else "")),
@@ -147,11 +165,11 @@ RULES: list[tuple[str, re.Pattern, object]] = [
     ("", re.compile(r"^[ \t]*(?:[*+-]|[*#:;]{1,5})[ \t]+(?=\S)(?<!# )", re.M), lambda m: m[0] if m[0].startswith("#") else "- "),
     ("<", re.compile(r"<br\s*/?>", re.I), "\n"),
     ("<", re.compile(r"</(?:p|div|ul|ol|tr|table|blockquote|dd|dt)>", re.I), "\n\n"),
-    ("<", re.compile(r"<ref[^>/]*>(.*?)</ref>", re.S | re.I), lambda m: f" ({m[1]})"),
+    ("</", re.compile(r"<ref[^>/]*>(.*?)</ref>", re.S | re.I), lambda m: f" ({m[1]})"),
     ("\\", re.compile(r"\\footnote\{((?:[^{}]|\{[^{}]*\})*)\}"), lambda m: f" ({m[1]})"),
     ("<", re.compile(rf"</?(?:{'|'.join(TAGS.split())})(?:\s[^<>]*)?/?>", re.I), ""),
     ("[^", re.compile(r"\[\^[\w-]+\]:?"), ""),
-    ("](", re.compile(r"!?\[([^\]\n]*)\]\([^)\s]*(?:\s+\"[^\"]*\")?\)"), lambda m: m[1]),
+    ("](", re.compile(r"!?\[([^\[\]\n]*)\]\([^)\s]*(?:\s+\"[^\"]*\")?\)"), lambda m: m[1]),
     ("[[", re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]"), lambda m: m[1]),
     ("[http", re.compile(r"\[https?://\S+ ([^\]\n]*)\]"), lambda m: m[1]),
     ("**", re.compile(r"\*\*(?=\S)([^*\n]+?)(?<=\S)\*\*"), lambda m: m[1]),
@@ -172,6 +190,16 @@ ARGUMENTS = re.compile(r"(?:\[[^\[\]]*\]|\{[^{}]*\})*")
 HOLE = re.compile("\ue000(\\d+)\ue001")
 
 
+SHUT = {"<": "\ue002", "\\": "\ue003"}  #: what stands for the first sign of an opening that opens nothing
+
+
+def opened(text: str, again: bool) -> str:
+    """The text with openings that open nothing marked, or with the marks taken back."""
+    for sign, mark in SHUT.items():
+        text = text.replace(mark, sign) if again else shut(text, tuple(p for p in STRETCHES if p[0][0] == sign), mark)
+    return text
+
+
 def clean(text: str | None, template: set[tuple[str, str]] | None = None) -> str | None:
     """Clean text of a value: Markdown headings and lists, fenced code, formulas between dollars, no other markup.
 
@@ -206,8 +234,10 @@ def clean(text: str | None, template: set[tuple[str, str]] | None = None) -> str
         return text
     bibtex = bool(BIBTEX.search(text))
     text = TOKEN.sub(lambda m: hold(m[0]), PATH.sub(lambda m: hold(m[0]), text))
+    text = opened(text, False)
     text = CODE.sub(lambda m: "\n" + hold("```\n" + html.unescape(m["a"] or m["b"] or m["c"] or "") + "\n```") + "\n", text)
     text = FORMULA.sub(lambda m: hold(f"$${m['e'] or m['f'] or m['h']}$$" if m["e"] or m["f"] or m["h"] else f"${m['a'] or m['b'] or m['c'] or m['d'] or m['g'] or ''}$"), text)
+    text = opened(text, True)
     text = re.sub(r"(?<![`\w])`([^`\n]+)`(?![`\w'])", lambda m: hold(m[0]), text)
     text = re.sub(r"<code[^>]*>([^<\n]*)</code>|\\texttt\{([^{}]*)\}", lambda m: hold(f"`{m[1] or m[2] or ''}`"), text)
     if not bibtex:
@@ -230,7 +260,7 @@ def loose(text: str | None, found: list[tuple[str, str, str, int, int]] | None =
     if not text or not LOOSE.search(t := masked(text)):
         return []
     taken = bytearray(len(text))
-    spans = [(a, b) for *_, a, b in (tokens(text) if found is None else found)] + [m.span() for p in (CODE, FORMULA) for m in p.finditer(text)]
+    spans = [(a, b) for *_, a, b in (tokens(text) if found is None else found)] + [m.span() for p in (CODE, FORMULA) for m in p.finditer(shut(text, STRETCHES))]
     for a, b in spans:
         taken[a:b] = b"\1" * (b - a)
     return [(f"<{m['a']}>" if m["a"] else f"[{m['b']}]", m.start(), m.end()) for m in LOOSE.finditer(t) if 1 not in taken[m.start() : m.end()]]

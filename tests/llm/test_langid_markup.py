@@ -157,3 +157,14 @@ def test_tokens_outside_of_the_template_stay():
     assert markup.clean("**a** and \\emph{b}", {("markdown", "any strong")}) == "a and \\emph{b}"
     assert markup.clean("**a**", set()) == "**a**"
     assert markup.tokens("the $" + "x_1 + " * 200 + "y$ sum") and markup.tokens("``" + "long " * 200 + "quote''")
+
+
+@pytest.mark.parametrize("opening", ["<!-- ", "\\[ ", "<pre> ", "<math> ", "[[", "\\begin{verbatim} ", "``a ", "`"])
+def test_openings_that_open_nothing_stay_linear(opening):
+    import time
+
+    start = time.time()
+    text = opening * 20_000
+    markup.all_tokens(text), markup.clean(text), langid.counted(text)
+    assert time.time() - start < 20
+    assert markup.clean("<!-- a --> b <!-- c") == "b <!-- c" and markup.clean("<pre>x</pre> <pre>y") == "```\nx\n```\n y"
