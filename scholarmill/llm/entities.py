@@ -18,15 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarmill.llm.lookalike import consistent
-from scholarmill.llm.overlap import SHINGLE, _lists, _weights, frequent_shingles, shingles
+from scholarmill.llm.overlap import SHINGLE, _weights, frequent_shingles, shingles
 from scholarmill.llm.words import word_hash
-from scholarmill.plans.stage import stage
+from scholarmill.plans.stage import drop, stage
 
 BANDS, ROWS = 24, 2  #: of abstracts
 TITLE_ORDERS, HEAD_ORDERS, SHORT_ORDERS = 60, 40, 24  #: random orders of words, of first letters and of the words of short titles
 NAME_BANDS = 20  #: of a word and a name each
 OFTEN = 100  #: a shingle in one abstract of so many is frequent
 SAMPLE = 20_000  #: at most so many candidate pairs train the classifier
+KEY_BYTES = 80  #: of a key with its sketch, shuffled
+RECORD_BYTES, SLICE_BYTES = 300, 1 << 27  #: a slice of the keys has at most so many bytes a record, or so many in all if these are more
+PARTS = 256  #: of the records by number
+PAIRS = 3  #: at most so many pairs a record are on disk, if one part has no more
+PASS = 250_000  #: pairs that meet their attributes in one pass, or one for every four records if these are more
 TITLE_STOP = 0.06  #: a title word in so large a share of titles says nothing; with n words a title there are at most n / TITLE_STOP
 THRESHOLD = 0.5
 WORD = re.compile(r"[^\W_]+")
@@ -79,46 +84,83 @@ def records(df: DataFrame) -> DataFrame:
     return df.select("source_name", "rid", "title", "abstract", "authors", "year").mapInArrow(run, RECORD)
 
 
-def rare_shingles(words: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of an abstract, and those that aren't frequent."""
-    h = np.unique(shingles(words)) if len(words) else np.zeros(0, np.int64)
-    return h, h[_weights(h, *often) == 0]
+Sets = tuple[np.ndarray, np.ndarray]  #: the numbers of the sets of a batch one after another, and how many each set has
+
+
+def _of(sets: Sets) -> np.ndarray:
+    """The set of each number."""
+    return np.repeat(np.arange(len(sets[1])), sets[1])
+
+
+def _where(sets: Sets, keep: np.ndarray) -> Sets:
+    return sets[0][keep], np.bincount(_of(sets)[keep], minlength=len(sets[1]))
 
 
 def hashed(x: np.ndarray, n: int, first: int = 0) -> np.ndarray:
-    """``n`` hashes of each of a set of numbers, with the seeds from ``first`` on."""
+    """``n`` hashes of each of an array's numbers, before its last axis, with the seeds from ``first`` on."""
     x = x.astype(np.uint64)
-    x = (x[None, :] ^ (x[None, :] >> np.uint64(31))) * _SEEDS[first : first + n, None]
+    x = (x ^ (x >> np.uint64(31)))[..., None, :] * _SEEDS[first : first + n, None]
     return x ^ (x >> np.uint64(32))
 
 
-def minima(x: np.ndarray, n: int, first: int = 0) -> np.ndarray:
-    """The least of each of ``n`` hashes of a set of numbers."""
-    return hashed(x, n, first).min(axis=1)
-
+def minima(sets: Sets, n: int, first: int = 0) -> np.ndarray:
+    """The least of each of ``n`` hashes of each set; none may be empty."""
+    starts = np.concatenate([[0], np.cumsum(sets[1])[:-1]])
+    out = np.zeros((len(sets[1]), n), np.uint64)
+    if len(out):
+        for k in range(n):
+            out[:, k] = np.minimum.reduceat(hashed(sets[0], 1, first + k)[0], starts)
+    return out
 
-def lowest(x: np.ndarray, k: int, n: int, first: int, kind: int) -> np.ndarray:
-    """MinHash over the sets of ``k`` of the numbers: a key for the ``k`` that come first in each of ``n`` random orders.
 
-    Sets of which c of u numbers are common have the same ones first with probability c (c-1) … / u (u-1) …; the same ones
-    in two orders make one key.
-    """
-    first_k = np.sort(x[np.argsort(hashed(x, n, first), axis=1)[:, :k]], axis=1).astype(np.uint64)
-    h = np.full(n, kind, np.uint64)
-    for column in first_k.T:
+def _folded(columns: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+    for column in columns:
         h = (h ^ column) * np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(29)
     return h.view(np.int64)
 
 
-def bands(m: np.ndarray, rows: int, kind: int) -> np.ndarray:
-    """A key for each ``rows`` minima; keys of different bands and kinds differ."""
-    m = m.reshape(-1, rows)
-    h = np.arange(len(m), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind)
-    for k in range(rows):
-        h = (h ^ m[:, k]) * np.uint64(0xC2B2AE3D27D4EB4F)
-        h ^= h >> np.uint64(29)
-    return h.view(np.int64)
+Keys = list[tuple[np.ndarray, np.ndarray]]  #: (set, key)
+
+
+def _distinct(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) without repeats of the rows of ``keys``, which are those of the sets ``at``."""
+    keys = np.sort(keys, axis=1)
+    new = np.ones(keys.shape, bool)
+    new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+    return np.repeat(at, new.sum(axis=1)), keys[new]
+
+
+def lowest(sets: Sets, k: int, n: int, first: int, kind: int, most: int = 1 << 62) -> Keys:
+    """MinHash over the subsets of ``k`` numbers of each set of up to ``most``: a key for the ``k`` that come first in each
+    of ``n`` random orders.
+
+    Sets of which c of u numbers are common have the same ones first with probability c (c-1) … / u (u-1) …; the same ones
+    in two orders make one key.
+    """
+    out: Keys = []
+    starts = np.cumsum(sets[1]) - sets[1]
+    for size in np.unique(sets[1][(sets[1] > 0) & (sets[1] <= most)]).tolist():
+        which = np.flatnonzero(sets[1] == size)
+        orders = n if size > k else 1  # a set of up to k numbers is the same in any order
+        step = max(1, 2_000_000 // (orders * size))
+        for at in (which[i : i + step] for i in range(0, len(which), step)):
+            x = sets[0][starts[at][:, None] + np.arange(size)].astype(np.int64)
+            if orders > 1:
+                some = np.argpartition(hashed(x, n, first), k - 1, axis=2)[:, :, :k]
+                x = np.take_along_axis(x[:, None, :], some, axis=2)
+            else:
+                x = x[:, None, :]
+            x = np.sort(x, axis=2).astype(np.uint64)
+            out.append(_distinct(at, _folded([x[:, :, i] for i in range(x.shape[2])], np.full(x.shape[:2], kind, np.uint64))))
+    return out
+
+
+def bands(at: np.ndarray, m: np.ndarray, rows: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key): a key for each ``rows`` minima of the sets ``at``; keys of different bands and kinds differ."""
+    m = m.reshape(len(m), -1, rows)
+    h = np.tile(np.arange(m.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind), (len(m), 1))
+    return _distinct(at, _folded([m[:, :, k] for k in range(rows)], h))
 
 
 class Frequent:
@@ -135,48 +177,186 @@ class Frequent:
         number = keys & (1 << Keyed.BITS) - 1
         return self.often[np.minimum(np.searchsorted(self.often, number), len(self.often) - 1)] != number
 
-    def content(self, x: list[int]) -> np.ndarray:
+    def content(self, sets: Sets) -> Sets:
         """The words that aren't frequent; all of a title of little else than frequent words."""
-        w = np.array(x, np.int64)
-        some = w[~np.isin(w, self.stop)]
-        return some if len(some) >= 3 else w
+        some = ~np.isin(sets[0], self.stop)
+        return _where(sets, some | (_where(sets, some)[1] < 3)[_of(sets)])
+
+
+def _filled(sets: Sets, which: np.ndarray | None = None) -> tuple[np.ndarray, Sets]:
+    """The sets that have a number, and that ``which`` marks."""
+    keep = sets[1] > 0 if which is None else which & (sets[1] > 0)
+    return np.flatnonzero(keep), (sets[0][keep[_of(sets)]], sets[1][keep])
+
+
+def abstract_sets(words: Sets, known: Frequent) -> tuple[Sets, Sets]:
+    """The distinct shingles of abstracts, and those that aren't frequent; none of an abstract shorter than a shingle."""
+    of, flat = _of(words), words[0]
+    m = max(0, len(flat) - SHINGLE + 1)
+    inside = of[:m] == of[len(of) - m :]  # not across the end of an abstract
+    of, h = of[:m][inside], (shingles(flat) if m else flat[:0])[:m][inside]
+    order = np.lexsort((h, of))
+    of, h = of[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+    every = h[new], np.bincount(of[new], minlength=len(words[1]))
+    return every, _where(every, _weights(every[0], *known.shingles) == 0)
+
+
+def abstract_keys(words: Sets, known: Frequent) -> Keys:
+    """Bands of minima of the rare shingles of abstracts."""
+    every, rare = abstract_sets(words, known)
+    # where a group of near copies makes its own shingles frequent, all shingles block too
+    parts = (_filled(rare), _filled(every, 2 * rare[1] < every[1]))
+    return [bands(at, minima(part, BANDS * ROWS), ROWS, 0) for at, part in parts if len(at)]
+
+
+def title_keys(title: Sets, known: Frequent) -> Keys:
+    """Three of a title's words, of a title of up to three words two as well, and the whole title."""
+    w = known.content(title)
+    return lowest(w, 3, TITLE_ORDERS, 0, 1) + lowest(w, 2, SHORT_ORDERS, 200, 5, 3) + lowest(title, 1 << 40, 1, 0, 2) + lowest(w, 1 << 40, 1, 0, 2)
+
+
+def head_keys(heads: Sets, known: Frequent) -> Keys:
+    """Three of the first letters of a title's words."""
+    return lowest(known.content(heads), 3, HEAD_ORDERS, 100, 4)
+
+
+def name_keys(title: Sets, people: Sets, known: Frequent) -> Keys:
+    """A word with a name each."""
+    both = (title[1] > 0) & (people[1] > 0)
+    at, w = _filled(known.content(title), both)
+    m = np.stack([minima(w, NAME_BANDS, 300), minima(_filled(people, both)[1], NAME_BANDS, 330)], axis=2)
+    return [bands(at, m.reshape(len(at), -1), 2, 3)] if len(at) else []
+
+
+KINDS = ("abstract", "title", "heads", "names")
+
+
+def kind_keys(kind: str, sets: dict[str, Sets], known: Frequent) -> Keys:
+    if kind == "abstract":
+        return abstract_keys(sets["words"], known)
+    if kind == "names":
+        return name_keys(sets["title"], sets["people"], known)
+    return (title_keys if kind == "title" else head_keys)(sets[kind], known)
 
 
 def keys_of(title: list[int], heads: list[int], people: list[int], words: np.ndarray | None, known: Frequent) -> np.ndarray:
-    """The blocking keys of a record: of its abstract, three of its title's words, three of their first letters, a word
-    with a name, and its whole title; of a title of up to three words two as well."""
-    out = []
-    if words is not None:
-        every, rare = rare_shingles(words, known.shingles)
-        # where a group of near copies makes its own shingles frequent, all shingles block too
-        for part in ([rare] if len(rare) else []) + ([every] if 2 * len(rare) < len(every) else []):
-            out.append(bands(minima(part, BANDS * ROWS), ROWS, 0))
-    if title:
-        w = known.content(title)
-        out.append(lowest(w, 3, TITLE_ORDERS, 0, 1))
-        if len(w) <= 3:
-            out.append(lowest(w, 2, SHORT_ORDERS, 200, 5))
-        for part in (np.array(title, np.int64), w):
-            out.append(lowest(part, len(part), 1, 0, 2))
-        if people:
-            out.append(bands(np.stack([minima(w, NAME_BANDS, 300), minima(np.array(people, np.int64), NAME_BANDS, 330)], axis=1), 2, 3))
-    if heads:
-        out.append(lowest(known.content(heads), 3, HEAD_ORDERS, 100, 4))
+    """The blocking keys of a record: of its abstract, its title's words, their first letters, and words with names."""
+    one = lambda x: (np.array(x, np.int64), np.array([len(x)]))
+    sets = {"title": one(title), "heads": one(heads), "people": one(people), "words": one([] if words is None else words)}
+    out = [k for kind in KINDS for _, k in kind_keys(kind, sets, known)]
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
-def blocks(df: DataFrame, known: Frequent) -> DataFrame:
-    """(rid, source_name, h): the blocking keys of each record."""
-    sent = df.sparkSession.sparkContext.broadcast(known)
+WORDS_OF = {"abstract": 3, "chars": 4}  #: 64-bit words of a sketch
+SKETCH = [f"chars{k}" for k in range(WORDS_OF["chars"])] + [f"abstract{k}" for k in range(WORDS_OF["abstract"])] + ["people", "n_chars", "n_abstract", "n_people"]
+ANY = -1  #: n_abstract of a sketch that says nothing
+
+
+def bitmaps(sets: Sets, n: int) -> np.ndarray:
+    """A bit for each number of a set, in ``n`` 64-bit words for each set."""
+    out, some = np.zeros((n, len(sets[1])), np.uint64), sets[1] > 0
+    bit = hashed(sets[0], 1, 400)[0] >> np.uint64(8)
+    slot, value = (bit >> np.uint64(6)) % np.uint64(n), np.uint64(1) << (bit & np.uint64(63))
+    for k in range(n if some.any() else 0):
+        out[k, some] = np.bitwise_or.reduceat(np.where(slot == k, value, np.uint64(0)), (np.cumsum(sets[1]) - sets[1])[some])
+    return out
+
+
+def sketches(chars: Sets, words: Sets, people: Sets, known: Frequent) -> list[np.ndarray]:
+    """The columns SKETCH: a bit for each three letters of a title, four bits of each of an abstract's 48 minima, a bit for
+    each name, and the sizes."""
+    columns = [*bitmaps(chars, WORDS_OF["chars"]), *np.zeros((WORDS_OF["abstract"], len(chars[1])), np.uint64), bitmaps(people, 1)[0]]
+    every, rare = abstract_sets(words, known)
+    at, part = _filled(rare)
+    m = minima(part, 16 * WORDS_OF["abstract"]) >> np.uint64(20) & np.uint64(15)
+    for k in range(WORDS_OF["abstract"]):
+        columns[WORDS_OF["chars"] + k][at] = np.bitwise_or.reduce(m[:, 16 * k : 16 * k + 16] << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
+    frequent = (every[1] > 0) & (2 * rare[1] < every[1])
+    return [c.view(np.int64) for c in columns] + [chars[1], np.where(frequent, ANY, rare[1]), people[1]]
+
+
+LIKE = 0.65  #: titles are alike when the shorter one has so large a share of its threes of letters in the other, names as well
+WEAK, STRONG = 4, 8  #: abstracts without common shingles agree in 3 of the 48 minima's bits, those with a sixth in common in 10
+SIZES = 2.5  #: from so many times the size on, a shortened abstract's minima say nothing
+
+
+def _differ(k: int) -> str:
+    x = f"(a_abstract{k} ^ b_abstract{k})"
+    y = f"({x} | shiftrightunsigned({x}, 1))"
+    return f"bit_count(({y} | shiftrightunsigned({y}, 2)) & {int('1' * 16, 16)}L)"
+
+
+def _within(columns: list[str], size: str, share: float, least: int) -> str:
+    """Whether ``share`` of the smaller set can be in the other: no more bits are missing there than numbers."""
+    missing = [" + ".join(f"bit_count({p}_{c} & ~{q}_{c})" for c in columns) for p, q in ("ab", "ba")]
+    return f"(least(a_{size}, b_{size}) >= {least} and if(a_{size} <= b_{size}, {missing[0]}, {missing[1]}) <= {1 - share:.2f}D * least(a_{size}, b_{size}))"
+
+
+#: Whether a pair that shares a key is compared: abstracts are alike, or titles or names, unless both have abstracts of like
+#: length that differ. Never false for like titles of which one lacks an abstract.
+_EQUAL = f"({16 * WORDS_OF['abstract']} - {' - '.join(_differ(k) for k in range(WORDS_OF['abstract']))})"
+_ALIKE = f"({_within([f'chars{k}' for k in range(WORDS_OF['chars'])], 'n_chars', LIKE, 1)} or {_within(['people'], 'n_people', LIKE, 2)})"
+COMPARED = f"""a_n_abstract = {ANY} or b_n_abstract = {ANY} or (a_n_abstract > 0 and b_n_abstract > 0 and {_EQUAL} >= {STRONG}) or ({_ALIKE} and
+    (a_n_abstract = 0 or b_n_abstract = 0 or {_EQUAL} >= {WEAK} or greatest(a_n_abstract, b_n_abstract) >= {SIZES}D * least(a_n_abstract, b_n_abstract)))"""
+
+
+def _sets(batch: pa.RecordBatch, name: str) -> Sets:
+    column = batch.column(name)
+    ends = column.offsets.to_numpy()
+    return column.values.to_numpy()[ends[0] : ends[-1]].astype(np.int64), np.diff(ends).astype(np.int64)
+
+
+def blocks(rows: DataFrame, known: Frequent) -> DataFrame:
+    """(rid, source_name, SKETCH…, keys): the sketch and the blocking keys of each record that has some."""
+    sent = rows.sparkSession.sparkContext.broadcast(known)
+    read = ["title", "heads", "people", "chars", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = zip(*(batch.column(c).to_pylist() for c in ("has_abstract", "title", "heads", "people")), _lists(batch, "words"))
-            found = [keys_of(title, heads, people, words if a else None, sent.value) for a, title, heads, people, words in each]
-            take = pa.array(np.repeat(np.arange(len(found)), [len(k) for k in found]))
-            yield pa.RecordBatch.from_arrays([batch.column("rid").take(take), batch.column("source_name").take(take), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["rid", "source_name", "h"])
+            sets = {c: _sets(batch, c) for c in read}
+            sets["words"] = _where(sets["words"], np.array(batch.column("has_abstract").to_numpy(False), bool)[_of(sets["words"])])
+            none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            at, keys = (np.concatenate(x) for x in zip(none, *(k for kind in KINDS for k in kind_keys(kind, sets, sent.value))))
+            order = np.argsort(at, kind="stable")
+            ends = np.searchsorted(at[order], np.arange(batch.num_rows + 1)).astype(np.int32)
+            arrays = [batch.column("rid"), batch.column("source_name"), *map(pa.array, sketches(sets["chars"], sets["words"], sets["people"], sent.value))]
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order])))
+            yield pa.RecordBatch.from_arrays(arrays, names=["rid", "source_name", *SKETCH, "keys"]).filter(pa.array(np.diff(ends) > 0))
+
+    schema = "rid long, source_name string, " + ", ".join(f"{c} long" for c in SKETCH) + ", keys array<long>"
+    return rows.select("rid", "source_name", "has_abstract", *read).mapInArrow(run, schema)
+
 
-    return df.select("rid", "source_name", "has_abstract", "title", "heads", "people", "words").mapInArrow(run, "rid long, source_name string, h long")
+def _united(parts: list[DataFrame]) -> DataFrame:
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.union(part)
+    return both
+
+
+def candidates_of(keyed: DataFrame, first: int, last: int, slices: int) -> DataFrame:
+    """(a_rid, b_rid): the distinct pairs that share a key and whose sketches agree, of any paper and the records of the
+    ``first`` to before the ``last`` of PARTS parts.
+
+    ``slices`` of the keys come one after another, so that only a share of them is on disk at a time. A pair is tested
+    where it meets, before it is written anywhere.
+    """
+    part = F.pmod("rid", F.lit(PARTS))
+    keyed = keyed.filter((F.col("source_name") == "a") | (part >= first) & (part < last))
+    found = []
+    for k in range(slices):
+        mine = F.filter("keys", lambda h: F.pmod(h, F.lit(slices)) == k) if slices > 1 else F.col("keys")  # noqa: B023
+        each = keyed.select("source_name", "rid", *SKETCH, F.explode(mine).alias("h"))
+        ka, kb = (each.filter(F.col("source_name") == p).select("h", *[F.col(c).alias(f"{p}_{c}") for c in ("rid", *SKETCH)]) for p in "ab")
+        found.append(stage(ka.join(kb, "h").filter(COMPARED).select("a_rid", "b_rid").distinct(), release=True))
+    if slices == 1:
+        return found[0]
+    once = stage(_united(found).distinct(), release=True)
+    for each in found:
+        drop(each)
+    return once
 
 
 FEATURES = ("abstract", "no_abstract", "title_chars", "title_in", "title_words", "people", "no_people", "other_words", "year", "title_only", "title_in_only", "people_only", "other_words_only", "other_people_only", "bias")
@@ -374,6 +554,33 @@ def scored(pairs: DataFrame, papers: DataFrame, others: DataFrame, known: Freque
     return _joined(pairs, papers, others).mapInArrow(run, "a_rid long, b_rid long, confidence double")
 
 
+def trained(pairs: DataFrame, papers: DataFrame, others: DataFrame, known: Frequent) -> Matcher:
+    """A classifier of the pairs of two abstracts, at most SAMPLE, the least by hash."""
+    has = lambda df, c: df.filter("has_abstract").select(F.col("rid").alias(c))
+    labelled = pairs.join(has(papers, "a_rid"), "a_rid", "left_semi").join(has(others, "b_rid"), "b_rid", "left_semi")
+    some = stage(labelled.orderBy(F.xxhash64("a_rid", "b_rid"), "a_rid", "b_rid").limit(SAMPLE), release=True)
+    sampled = stage(sample_features(some.repartition(64, "b_rid"), papers, others, known), release=True)
+    rows_x = sampled.orderBy(F.xxhash64("a_rid", "b_rid"), "a_rid", "b_rid").select("x", "x_bare", "different").collect()
+    x, bare = (np.array([r[i] for r in rows_x]).reshape(-1, len(FEATURES)) for i in (0, 1))
+    pair = np.repeat(np.arange(len(rows_x)), [len(r[2]) for r in rows_x])
+    return Matcher.train(x, bare, pair, np.array([w for r in rows_x for w in r[2]], np.int64))
+
+
+def best_of(pairs: DataFrame, papers: DataFrame, others: DataFrame, known: Frequent, model: Matcher, passes: int) -> list[DataFrame]:
+    """(b_rid, a_rid, confidence) in parts: the most probable paper of each record that has one.
+
+    Pairs meet the attributes of both sides in ``passes``, each of them all pairs of some records, so that only a share of
+    the pairs is on disk with attributes at a time.
+    """
+    parts = []
+    for k in range(passes):
+        mine = lambda df, c: df.filter(F.pmod(F.xxhash64(c), F.lit(passes)) == k) if passes > 1 else df  # noqa: E731, B023
+        found = scored(mine(pairs, "b_rid"), papers, mine(others, "rid"), known, model)
+        best = found.groupBy("b_rid").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "a_rid")).alias("m"))
+        parts.append(stage(best.select("b_rid", F.col("m.a_rid").alias("a_rid"), (-F.col("m.c")).alias("confidence")), release=True))
+    return parts
+
+
 def match(papers: DataFrame, others: DataFrame) -> DataFrame:
     """(paper_id, other_table, other_id, confidence): the paper that each record describes, with a calibrated probability.
 
@@ -387,28 +594,30 @@ def match(papers: DataFrame, others: DataFrame) -> DataFrame:
     both = both.select("id", "other_table", *cols, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"), (F.col("other_table") == "").alias("_paper"))
     # a record is told by 128 bits; its number is the first half, mixed with the second
     both = both.withColumn("rid", F.xxhash64("h1", "h2"))
-    ids = stage(both.select("_paper", "rid", "other_table", "id").distinct())
+    ids = stage(both.select("_paper", "rid", "other_table", "id").distinct(), release=True)
     side = F.when(F.col("_paper"), "a").otherwise("b").alias("source_name")
-    rows = stage(records(both.groupBy(side, "rid").agg(*[F.first(c).alias(c) for c in cols])))
+    rows = stage(records(both.groupBy(side, "rid").agg(*[F.first(c).alias(c) for c in cols])), release=True)
     often = frequent_shingles(rows.filter("has_abstract"), OFTEN)
     n = rows.count()
     stop = rows.select(F.explode(F.concat("title", "heads")).alias("w")).groupBy("w").count().filter(F.col("count") >= max(3, n * TITLE_STOP)).collect()
     known = Frequent(often, [r[0] for r in stop])
     a, b = rows.filter("source_name = 'a'"), rows.filter("source_name = 'b'")
-    keys = stage(blocks(rows, known))
-    ka = keys.filter("source_name = 'a'").select("h", F.col("rid").alias("a_rid"))
-    kb = keys.filter("source_name = 'b'").select("h", F.col("rid").alias("b_rid"))
-    candidates = stage(ka.join(kb, "h").select("a_rid", "b_rid").distinct())
-    has = lambda df, c: df.filter("has_abstract").select(F.col("rid").alias(c))
-    labelled = candidates.join(has(a, "a_rid"), "a_rid", "left_semi").join(has(b, "b_rid"), "b_rid", "left_semi")
-    trained = stage(labelled.orderBy(F.xxhash64("a_rid", "b_rid"), "a_rid", "b_rid").limit(SAMPLE)).repartition(64, "b_rid")
-    rows_x = sample_features(trained, a, b, known).orderBy(F.xxhash64("a_rid", "b_rid"), "a_rid", "b_rid").select("x", "x_bare", "different").collect()
-    k = len(FEATURES)
-    x, bare = (np.array([r[i] for r in rows_x]).reshape(-1, k) for i in (0, 1))
-    pair = np.repeat(np.arange(len(rows_x)), [len(r[2]) for r in rows_x])
-    model = Matcher.train(x, bare, pair, np.array([w for r in rows_x for w in r[2]], np.int64))
-    found = scored(candidates, a, b, known, model)
-    best = found.groupBy("b_rid").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "a_rid")).alias("m")).select("b_rid", F.col("m.a_rid").alias("a_rid"), (-F.col("m.c")).alias("confidence"))
+    keyed = stage(blocks(rows, known), release=True)
+    size = int((keyed.agg(F.sum(F.size("keys"))).first()[0] or 0) * KEY_BYTES)
+    # the records' parts in turn, as many at a time as have so many pairs that they fit beside the tables
+    parts, model, done, share = [], None, 0, max(1, min(PARTS, PARTS * PASS // max(1, n)))
+    while done < PARTS:
+        last = min(PARTS, done + share)
+        pairs = candidates_of(keyed, done, last, max(1, -(-size // max(SLICE_BYTES, n * RECORD_BYTES))))
+        if last == PARTS:
+            drop(keyed)
+        found = pairs.count()
+        model = model or trained(pairs, a, b, known)
+        parts += best_of(pairs, a, b, known, model, max(1, -(-found // max(PASS, n // 4))))
+        drop(pairs)
+        share, done = max(1, min(PARTS, int((last - done) * max(PASS, PAIRS * n) / max(1, found)))), last
+    drop(rows)
+    best = _united(parts)
     pid = ids.filter("_paper").groupBy(F.col("rid").alias("a_rid")).agg(F.min("id").alias("paper_id"))
     other = ids.filter("not _paper").select(F.col("rid").alias("b_rid"), "other_table", F.col("id").alias("other_id"))
     return best.join(pid, "a_rid").join(other, "b_rid").groupBy("paper_id", "other_table", "other_id").agg(F.max("confidence").alias("confidence"))

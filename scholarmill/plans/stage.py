@@ -43,16 +43,36 @@ def clear_stages(spark: SparkSession) -> int:
     return n
 
 
-def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, partition_by: list[str] | None = None, release: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet stage table and read it again.
 
-    The files survive the loss of any executor, and what follows plans with their true size.
+    The files survive the loss of any executor, and what follows plans with their true size. ``release`` deletes the
+    shuffle files of the write as soon as it ends, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    try:
+        if release:
+            spark.conf.set(CLEANUP, "true")
+        writer = df.write.option("compression", "zstd")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
+    finally:
+        if release:
+            spark.conf.set(CLEANUP, before)
     _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a stage table, as ``stage`` gave it, that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _made[:] = [m for m in _made if m.rpartition("/")[2] != folder.rpartition("/")[2]]

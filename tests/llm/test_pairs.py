@@ -1,9 +1,11 @@
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 from scholarmill.llm import entities, fmindex, leaks, lookalike, overlap
 from scholarmill.llm.words import words
+from scholarmill.plans import stage
 
 VOCAB = [a + b for a in ("ka", "lo", "mi", "zu", "re", "to") for b in ("ban", "dor", "fel", "gis", "tun", "vik", "wen", "xal")]
 
@@ -281,3 +283,84 @@ def test_words_that_tell_papers_apart_are_learned():
     word = np.where(pair < 30, 7, 9)  # "abstract" against "reply"
     model = entities.Matcher.train(full, bare, pair, word)
     assert model.other(np.array([0, 1, 2]), np.array([7, 9, 5]), 4).tolist()[0] == 0 and model.other(np.array([1]), np.array([9]), 2)[1] > 0.5
+
+
+def alike_titles(rng, n):
+    """Papers whose titles are five words of thirty, so that most share three with hundreds; a record of each, half without an abstract."""
+    titles = [" ".join(rng.sample(VOCAB[:30], 5)) for _ in range(n)]
+    abstracts = [[rng.choice(VOCAB) + rng.choice(VOCAB) for _ in range(60)] for _ in titles]
+    people = [" and ".join(f"{rng.choice(VOCAB)}{rng.choice(VOCAB)} {rng.choice(VOCAB)}{rng.choice(VOCAB)}".title() for _ in range(2)) for _ in titles]
+    papers = [(f"p{i}", t, " ".join(a), q, 2015) for i, (t, a, q) in enumerate(zip(titles, abstracts, people))]
+    others = [("t", f"o{i}", t[:4] + t[5:], " ".join(noisy(rng, a, 0.05)) if i % 2 else None, q, 2015) for i, (t, a, q) in enumerate(zip(titles, abstracts, people))]
+    return papers, others
+
+
+def test_pairs_of_like_titles_do_not_fill_the_disk(spark, monkeypatch):
+    papers, others = alike_titles(random.Random(31), 800)
+    staged, plain = [], entities.stage
+
+    def counted(*args, **kwargs):
+        table = plain(*args, **kwargs)
+        staged.append(table.count())
+        return table
+
+    monkeypatch.setattr(entities, "stage", counted)
+    got = {(r.paper_id, r.other_id) for r in entities.match(spark.createDataFrame(papers, PAPER), spark.createDataFrame(others, OTHER)).collect()}
+    assert len(got & {(f"p{i}", f"o{i}") for i in range(800)}) >= 792
+    assert max(staged) <= 10 * 1600  # before, a row for each key and one for each pair of three common words
+
+
+def test_parts_slices_and_passes_give_the_same_pairs(spark, monkeypatch):
+    papers, others = (spark.createDataFrame(x, c) for x, c in zip(alike_titles(random.Random(32), 150), (PAPER, OTHER)))
+    rows = entities.records(papers.withColumn("source_name", F.lit("a")).unionByName(others.drop("other_table").withColumn("source_name", F.lit("b"))).withColumn("rid", F.xxhash64("id")))
+    known = entities.Frequent((np.zeros(0, np.int64), np.zeros(0, np.int32)), [])
+    keyed = entities.stage(entities.blocks(rows, known))
+    pairs = lambda *x: [tuple(r) for r in entities.candidates_of(keyed, *x).collect()]
+    whole = pairs(0, entities.PARTS, 1)
+    assert len(whole) == len(set(whole)) >= 150
+    apart = [pairs(a, b, 3) for a, b in ((0, 5), (5, 100), (100, entities.PARTS))]
+    assert sorted(whole) == sorted(sum(apart, [])) and all(apart[1:])
+    a, b = rows.filter("source_name = 'a'"), rows.filter("source_name = 'b'")
+    table = entities.stage(entities.candidates_of(keyed, 0, entities.PARTS, 1))
+    best = [sorted(tuple(r) for p in entities.best_of(table, a, b, known, entities.Matcher(), n) for r in p.collect()) for n in (1, 4)]
+    assert best[0] and best[0] == best[1]
+    want = {(r.paper_id, r.other_id, round(r.confidence, 9)) for r in entities.match(papers, others).collect()}
+    for name in ("SLICE_BYTES", "RECORD_BYTES", "PAIRS"):
+        monkeypatch.setattr(entities, name, 1)
+    monkeypatch.setattr(entities, "PASS", 100)
+    monkeypatch.setattr(entities, "KEY_BYTES", 0.01)
+    got = {(r.paper_id, r.other_id) for r in entities.match(papers, others).collect()}
+    assert len(got & {x[:2] for x in want}) >= 0.97 * len(want)
+
+
+def test_sketches_never_drop_a_like_title(spark):
+    rng = np.random.default_rng(5)
+    known = entities.Frequent((np.zeros(0, np.int64), np.zeros(0, np.int32)), [])
+    none = (np.zeros(0, np.int64), np.zeros(400, np.int64))
+    left, right = [], []
+    for _ in range(400):
+        x = rng.integers(0, 1 << 31, rng.integers(1, 120))
+        left.append(x)
+        k = int(np.ceil(0.65 * len(x)))  # a share of 0.65 is kept, the rest replaced and added to
+        right.append(np.concatenate([x[:k], rng.integers(0, 1 << 31, len(x) - k + rng.integers(0, 40))]))
+    columns = [entities.sketches((np.concatenate(s), np.array([len(x) for x in s])), none, none, known) for s in (left, right)]
+    rows = [[int(c[i]) for side in columns for c in side] for i in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(f"{p}_{c} long" for p in "ab" for c in entities.SKETCH))
+    assert df.filter(entities.COMPARED).count() == 400
+    turned = [[int(c[i]) for c in columns[0]] + [int(c[(i + 7) % 400]) for c in columns[1]] for i in range(400)]
+    assert spark.createDataFrame(turned, df.schema).filter(entities.COMPARED).count() < 40
+
+
+def test_staging_frees_its_shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for n in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in n}
+    before = shuffled()
+    table = stage.stage(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count(), release=True)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and table.count() == 700
+    assert spark.conf.get(stage.CLEANUP) == "false"
+    stage.drop(table)
+    assert not any(table.inputFiles()[0].rpartition("/")[0].endswith(m.rpartition("/")[2]) for m in stage._made)
