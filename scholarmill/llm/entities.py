@@ -22,13 +22,13 @@ from scholarmill.llm.overlap import SHINGLE, _weights, frequent_shingles, shingl
 from scholarmill.llm.words import word_hash
 from scholarmill.plans.stage import drop, stage
 
-BANDS, ROWS = 24, 2  #: of abstracts
+BANDS, ROWS = 24, 2  #: of abstracts; a sketch has bits of all 48 minima
 TITLE_ORDERS, HEAD_ORDERS, SHORT_ORDERS = 60, 40, 24  #: random orders of words, of first letters and of the words of short titles
 NAME_BANDS = 20  #: of a word and a name each
 OFTEN = 100  #: a shingle in one abstract of so many is frequent
 SAMPLE = 20_000  #: at most so many candidate pairs train the classifier
 KEY_BYTES = 80  #: of a key with its sketch, shuffled
-RECORD_BYTES, SLICE_BYTES = 300, 1 << 27  #: a slice of the keys has at most so many bytes a record, or so many in all if these are more
+RECORD_BYTES, SLICE_BYTES = 200, 1 << 27  #: a slice of the keys has at most so many bytes a record, or so many in all if these are more
 PARTS = 256  #: of the records by number
 PAIRS = 3  #: at most so many pairs a record are on disk, if one part has no more
 PASS = 250_000  #: pairs that meet their attributes in one pass, or one for every four records if these are more
@@ -96,10 +96,14 @@ def _where(sets: Sets, keep: np.ndarray) -> Sets:
     return sets[0][keep], np.bincount(_of(sets)[keep], minlength=len(sets[1]))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64)
+    return x ^ (x >> np.uint64(31))
+
+
 def hashed(x: np.ndarray, n: int, first: int = 0) -> np.ndarray:
     """``n`` hashes of each of an array's numbers, before its last axis, with the seeds from ``first`` on."""
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(31)))[..., None, :] * _SEEDS[first : first + n, None]
+    x = mixed(x)[..., None, :] * _SEEDS[first : first + n, None]
     return x ^ (x >> np.uint64(32))
 
 
@@ -108,8 +112,11 @@ def minima(sets: Sets, n: int, first: int = 0) -> np.ndarray:
     starts = np.concatenate([[0], np.cumsum(sets[1])[:-1]])
     out = np.zeros((len(sets[1]), n), np.uint64)
     if len(out):
+        x = mixed(sets[0])
         for k in range(n):
-            out[:, k] = np.minimum.reduceat(hashed(sets[0], 1, first + k)[0], starts)
+            h = x * _SEEDS[first + k]
+            h ^= h >> np.uint64(32)
+            out[:, k] = np.minimum.reduceat(h, starts)
     return out
 
 
@@ -195,7 +202,7 @@ def abstract_sets(words: Sets, known: Frequent) -> tuple[Sets, Sets]:
     m = max(0, len(flat) - SHINGLE + 1)
     inside = of[:m] == of[len(of) - m :]  # not across the end of an abstract
     of, h = of[:m][inside], (shingles(flat) if m else flat[:0])[:m][inside]
-    order = np.lexsort((h, of))
+    order = np.argsort(of << Keyed.BITS | h & (1 << Keyed.BITS) - 1)
     of, h = of[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
@@ -203,12 +210,22 @@ def abstract_sets(words: Sets, known: Frequent) -> tuple[Sets, Sets]:
     return every, _where(every, _weights(every[0], *known.shingles) == 0)
 
 
-def abstract_keys(words: Sets, known: Frequent) -> Keys:
-    """Bands of minima of the rare shingles of abstracts."""
-    every, rare = abstract_sets(words, known)
-    # where a group of near copies makes its own shingles frequent, all shingles block too
-    parts = (_filled(rare), _filled(every, 2 * rare[1] < every[1]))
-    return [bands(at, minima(part, BANDS * ROWS), ROWS, 0) for at, part in parts if len(at)]
+class Abstracts:
+    """The abstracts of a batch: those with rare shingles and the minima of these, and those with few rare ones."""
+
+    def __init__(self, words: Sets, known: Frequent):
+        every, rare = abstract_sets(words, known)
+        self.size, self.few = rare[1], 2 * rare[1] < every[1]
+        self.at, part = _filled(rare)
+        self.minima = minima(part, BANDS * ROWS)
+        # where a group of near copies makes its own shingles frequent, all shingles block too
+        self.few_at, part = _filled(every, self.few)
+        self.few_minima = minima(part, BANDS * ROWS)
+
+
+def abstract_keys(abstracts: Abstracts) -> Keys:
+    """Bands of minima of the shingles of abstracts."""
+    return [bands(at, m, ROWS, 0) for at, m in ((abstracts.at, abstracts.minima), (abstracts.few_at, abstracts.few_minima)) if len(at)]
 
 
 def title_keys(title: Sets, known: Frequent) -> Keys:
@@ -230,26 +247,19 @@ def name_keys(title: Sets, people: Sets, known: Frequent) -> Keys:
     return [bands(at, m.reshape(len(at), -1), 2, 3)] if len(at) else []
 
 
-KINDS = ("abstract", "title", "heads", "names")
-
-
-def kind_keys(kind: str, sets: dict[str, Sets], known: Frequent) -> Keys:
-    if kind == "abstract":
-        return abstract_keys(sets["words"], known)
-    if kind == "names":
-        return name_keys(sets["title"], sets["people"], known)
-    return (title_keys if kind == "title" else head_keys)(sets[kind], known)
+def all_keys(sets: dict[str, Sets], abstracts: Abstracts, known: Frequent) -> Keys:
+    return abstract_keys(abstracts) + title_keys(sets["title"], known) + head_keys(sets["heads"], known) + name_keys(sets["title"], sets["people"], known)
 
 
 def keys_of(title: list[int], heads: list[int], people: list[int], words: np.ndarray | None, known: Frequent) -> np.ndarray:
     """The blocking keys of a record: of its abstract, its title's words, their first letters, and words with names."""
     one = lambda x: (np.array(x, np.int64), np.array([len(x)]))
-    sets = {"title": one(title), "heads": one(heads), "people": one(people), "words": one([] if words is None else words)}
-    out = [k for kind in KINDS for _, k in kind_keys(kind, sets, known)]
+    sets = {"title": one(title), "heads": one(heads), "people": one(people)}
+    out = [k for _, k in all_keys(sets, Abstracts(one([] if words is None else words), known), known)]
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
-WORDS_OF = {"abstract": 3, "chars": 4}  #: 64-bit words of a sketch
+WORDS_OF = {"abstract": BANDS * ROWS // 16, "chars": 4}  #: 64-bit words of a sketch
 SKETCH = [f"chars{k}" for k in range(WORDS_OF["chars"])] + [f"abstract{k}" for k in range(WORDS_OF["abstract"])] + ["people", "n_chars", "n_abstract", "n_people"]
 ANY = -1  #: n_abstract of a sketch that says nothing
 
@@ -264,17 +274,14 @@ def bitmaps(sets: Sets, n: int) -> np.ndarray:
     return out
 
 
-def sketches(chars: Sets, words: Sets, people: Sets, known: Frequent) -> list[np.ndarray]:
+def sketches(chars: Sets, abstracts: Abstracts, people: Sets) -> list[np.ndarray]:
     """The columns SKETCH: a bit for each three letters of a title, four bits of each of an abstract's 48 minima, a bit for
     each name, and the sizes."""
     columns = [*bitmaps(chars, WORDS_OF["chars"]), *np.zeros((WORDS_OF["abstract"], len(chars[1])), np.uint64), bitmaps(people, 1)[0]]
-    every, rare = abstract_sets(words, known)
-    at, part = _filled(rare)
-    m = minima(part, 16 * WORDS_OF["abstract"]) >> np.uint64(20) & np.uint64(15)
+    m = abstracts.minima >> np.uint64(20) & np.uint64(15)
     for k in range(WORDS_OF["abstract"]):
-        columns[WORDS_OF["chars"] + k][at] = np.bitwise_or.reduce(m[:, 16 * k : 16 * k + 16] << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
-    frequent = (every[1] > 0) & (2 * rare[1] < every[1])
-    return [c.view(np.int64) for c in columns] + [chars[1], np.where(frequent, ANY, rare[1]), people[1]]
+        columns[WORDS_OF["chars"] + k][abstracts.at] = np.bitwise_or.reduce(m[:, 16 * k : 16 * k + 16] << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
+    return [c.view(np.int64) for c in columns] + [chars[1], np.where(abstracts.few, ANY, abstracts.size), people[1]]
 
 
 LIKE = 0.65  #: titles are alike when the shorter one has so large a share of its threes of letters in the other, names as well
@@ -317,11 +324,12 @@ def blocks(rows: DataFrame, known: Frequent) -> DataFrame:
         for batch in batches:
             sets = {c: _sets(batch, c) for c in read}
             sets["words"] = _where(sets["words"], np.array(batch.column("has_abstract").to_numpy(False), bool)[_of(sets["words"])])
+            abstracts = Abstracts(sets["words"], sent.value)
             none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            at, keys = (np.concatenate(x) for x in zip(none, *(k for kind in KINDS for k in kind_keys(kind, sets, sent.value))))
+            at, keys = (np.concatenate(x) for x in zip(none, *all_keys(sets, abstracts, sent.value)))
             order = np.argsort(at, kind="stable")
             ends = np.searchsorted(at[order], np.arange(batch.num_rows + 1)).astype(np.int32)
-            arrays = [batch.column("rid"), batch.column("source_name"), *map(pa.array, sketches(sets["chars"], sets["words"], sets["people"], sent.value))]
+            arrays = [batch.column("rid"), batch.column("source_name"), *map(pa.array, sketches(sets["chars"], abstracts, sets["people"]))]
             arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order])))
             yield pa.RecordBatch.from_arrays(arrays, names=["rid", "source_name", *SKETCH, "keys"]).filter(pa.array(np.diff(ends) > 0))
 
@@ -371,7 +379,11 @@ class Keyed:
     BITS = 44
 
     def __init__(self, pair: np.ndarray, number: np.ndarray, n: int):
-        self.keys = np.unique(pair.astype(np.int64) << self.BITS | number.astype(np.int64) & (1 << self.BITS) - 1)
+        keys = pair.astype(np.int64) << self.BITS | number.astype(np.int64) & (1 << self.BITS) - 1
+        if not (keys[1:] > keys[:-1]).all():
+            keys.sort()  # np.unique hashes whole numbers, which takes several times as long
+            keys = keys[np.append(True, keys[1:] != keys[:-1])]
+        self.keys = keys
         self.n = n
         self.size = self.count(self.keys)
 

@@ -343,7 +343,7 @@ def test_sketches_never_drop_a_like_title(spark):
         left.append(x)
         k = int(np.ceil(0.65 * len(x)))  # a share of 0.65 is kept, the rest replaced and added to
         right.append(np.concatenate([x[:k], rng.integers(0, 1 << 31, len(x) - k + rng.integers(0, 40))]))
-    columns = [entities.sketches((np.concatenate(s), np.array([len(x) for x in s])), none, none, known) for s in (left, right)]
+    columns = [entities.sketches((np.concatenate(s), np.array([len(x) for x in s])), entities.Abstracts(none, known), none) for s in (left, right)]
     rows = [[int(c[i]) for side in columns for c in side] for i in range(400)]
     df = spark.createDataFrame(rows, ", ".join(f"{p}_{c} long" for p in "ab" for c in entities.SKETCH))
     assert df.filter(entities.COMPARED).count() == 400
