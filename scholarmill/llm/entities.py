@@ -571,7 +571,8 @@ def trained(pairs: DataFrame, papers: DataFrame, others: DataFrame, known: Frequ
     has = lambda df, c: df.filter("has_abstract").select(F.col("rid").alias(c))
     labelled = pairs.join(has(papers, "a_rid"), "a_rid", "left_semi").join(has(others, "b_rid"), "b_rid", "left_semi")
     some = stage(labelled.orderBy(F.xxhash64("a_rid", "b_rid"), "a_rid", "b_rid").limit(SAMPLE), release=True)
-    sampled = stage(sample_features(some.repartition(64, "b_rid"), papers, others, known), release=True)
+    mine = lambda df, c: df.join(F.broadcast(some.select(F.col(c).alias("rid")).distinct()), "rid", "left_semi")
+    sampled = stage(sample_features(some.repartition(64, "b_rid"), mine(papers, "a_rid"), mine(others, "b_rid"), known), release=True)
     rows_x = sampled.orderBy(F.xxhash64("a_rid", "b_rid"), "a_rid", "b_rid").select("x", "x_bare", "different").collect()
     x, bare = (np.array([r[i] for r in rows_x]).reshape(-1, len(FEATURES)) for i in (0, 1))
     pair = np.repeat(np.arange(len(rows_x)), [len(r[2]) for r in rows_x])
